@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import bpe, exact_dedup, language_id, url_filter
+from kinfold.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, secret_scan, url_filter
 from kinfold.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -27,8 +31,28 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = chat_format.last_turn_pairs(table(spark, sf_dir, "conversations"))
+    return chat_format.format_preferences(chosen, rejected)
+
+
+OPERATORS = (
+    op1_secret_scan,
+    op3_bpe,
+    op5_exact_dedup,
+    op6_url_filter,
+    op7_language_id,
+    op9_decontaminate,
+    op10_chat_format,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op5_exact_dedup, op6_url_filter, op7_language_id)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 #: White space of the contracts, as a class of DuckDB's regular expressions.
@@ -65,4 +89,24 @@ ORACLE_SQL = {
                coalesce(by_rule, CASE WHEN regexp_matches(path, '/(casino|phishing|tracking|adserver|warez)/')
                                       THEN 'block' ELSE 'allow' END) AS verdict
         FROM b""",
+    "op10_chat_format": """
+        WITH c AS (
+            SELECT DISTINCT conv_id AS pair_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations),
+        e AS (
+            SELECT pair_id, max(turn) AS last_turn, arg_max(text, (turn, text)) AS last_text FROM c GROUP BY pair_id),
+        r AS (
+            SELECT DISTINCT c.pair_id, turn, role, CASE WHEN turn = e.last_turn THEN o.last_text ELSE text END AS text
+            FROM c JOIN e USING (pair_id) LEFT JOIN e o ON o.pair_id = c.pair_id + 1
+            WHERE turn <> e.last_turn OR o.pair_id IS NOT NULL),
+        d AS (
+            SELECT pair_id, min(turn) AS first
+            FROM ((FROM c EXCEPT FROM r) UNION ALL (FROM r EXCEPT FROM c)) GROUP BY pair_id),
+        s AS (
+            SELECT c.*, 'chosen' AS side FROM c UNION ALL SELECT r.*, 'rejected' FROM r)
+        SELECT pair_id, CASE WHEN d.first IS NULL OR turn < d.first THEN 'prompt' ELSE side END AS part, turn, role,
+               '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
+               NOT (d.first IS NULL OR turn < d.first) AND role = 'assistant' AS trained
+        FROM s LEFT JOIN d USING (pair_id)
+        WHERE side = 'chosen' OR NOT (d.first IS NULL OR turn < d.first)""",
 }
