@@ -27,7 +27,9 @@ CENTROIDS = 4
 DIMENSIONS = 4096
 ITERATIONS = 8
 #: A text is rejected if its cosine is under this share of the lowest hundredth of its language's own sample.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.4
+#: A text of fewer different trigrams can't come as near; its bound falls as their square root.
+FULL_TRIGRAMS = 200
 UNKNOWN = "und"
 
 _RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -35,9 +37,10 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 def _buckets(text: str) -> np.ndarray:
-    """The bucket of each trigram of the lower-cased bytes, where digits and white space count as a blank."""
-    raw = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
-    raw[(raw <= 32) | ((raw >= 48) & (raw <= 57))] = 32
+    """The bucket of each trigram of the lower-cased bytes; a run of ASCII characters other than letters is one blank."""
+    raw = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
+    letter = (raw >= 128) | ((raw >= 97) & (raw <= 122))
+    raw = np.where(letter, raw, 32)[letter | np.concatenate([[True], letter[:-1]])].astype(np.uint32)
     mixed = (raw[:-2] * np.uint32(65536) + raw[1:-1] * np.uint32(256) + raw[2:]) * np.uint32(2654435761)
     return mixed >> np.uint32(20)
 
@@ -63,7 +66,8 @@ class Model:
         cosine = _unit(np.log1p(counts) * self.idf) @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
-        return self.owner[best], score, score < self.least[self.owner[best]]
+        reach = np.sqrt(np.minimum(1, (counts > 0).sum(axis=1) / FULL_TRIGRAMS))
+        return self.owner[best], score, score < self.least[self.owner[best]] * reach
 
 
 def _cluster(rows: np.ndarray, k: int) -> np.ndarray:

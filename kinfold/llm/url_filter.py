@@ -55,7 +55,7 @@ class PatternRule:
 
     @property
     def regex(self) -> str:
-        return "^" + "[\\s\\S]*".join(map(re.escape, self.pattern.replace("/", "\n/", 1).split("*"))) + "$"
+        return "^" + "[\\s\\S]*".join(re.escape(part).replace("/", "\n?/") for part in self.pattern.split("*")) + "$"
 
     @property
     def literals(self) -> list[str]:
