@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, secret_scan, url_filter
+from kinfold.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, secret_scan, simhash, url_filter
 from kinfold.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,6 +46,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_secret_scan,
+    op2_simhash,
     op3_bpe,
     op5_exact_dedup,
     op6_url_filter,
