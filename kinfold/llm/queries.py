@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, secret_scan, simhash, url_filter
+from kinfold.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, pii, secret_scan, simhash, url_filter
 from kinfold.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ OPERATORS = (
     op1_secret_scan,
     op2_simhash,
     op3_bpe,
+    op4_pii,
     op5_exact_dedup,
     op6_url_filter,
     op7_language_id,
