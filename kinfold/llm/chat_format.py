@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import hex_sha256
+
 PROMPT, CHOSEN, REJECTED = "prompt", "chosen", "rejected"
 TRAINED_ROLE = "assistant"
 TEMPLATE = "<|%s|>\n%s<|end|>\n"
@@ -27,11 +29,17 @@ def _turns(conversations: DataFrame, side: str) -> DataFrame:
 
 
 def first_difference(turns: DataFrame) -> DataFrame:
-    """pair_id, first: the smallest turn on which the two sides differ; no row where they are the same."""
-    here = lambda side: F.when(F.col("side") == side, F.struct("role", "text"))
-    mark = lambda side: F.when(F.col("side") == side, F.xxhash64("role", "text"))
-    facts = [f(side) for side in (CHOSEN, REJECTED) for f in (lambda s: F.min(here(s)), lambda s: F.max(here(s)), lambda s: F.count(here(s)), lambda s: F.bit_xor(mark(s)))]
-    of_turn = turns.groupBy("pair_id", "turn").agg(*[x.alias(f"f{k}") for k, x in enumerate(facts)])
+    """pair_id, first: the smallest turn on which the two sides differ; no row where they are the same.
+
+    The rows of a turn are compared by digests of role and text, as often as each occurs.
+    """
+    digest = F.unhex(hex_sha256(F.concat_ws("\n", F.length("role").cast("string"), "role", "text")))
+    light = turns.select("pair_id", "turn", "side", digest.alias("digest"))
+    here = lambda side: F.when(F.col("side") == side, F.col("digest"))
+    # a null stands for nothing here, so the sums of hashes are those of the side alone
+    mark = lambda side: F.sum(F.when(F.col("side") == side, F.xxhash64("digest").cast("decimal(38,0)")))
+    facts = [f for side in (CHOSEN, REJECTED) for f in (F.min(here(side)), F.max(here(side)), F.count(here(side)), mark(side))]
+    of_turn = light.groupBy("pair_id", "turn").agg(*[x.alias(f"f{k}") for k, x in enumerate(facts)])
     same = F.lit(True)
     for k in range(4):
         same = same & F.col(f"f{k}").eqNullSafe(F.col(f"f{k + 4}"))
@@ -44,11 +52,11 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     part is prompt for the longest common turn prefix, else chosen or rejected; in order of turn
     the rendered turns of a part make its text. trained is true for the assistant's turns of
     completions. A null turn counts as -1, a null role or text as empty; rows that repeat a turn
-    in full count once, and different rows of one turn number are compared and rendered together.
+    number are compared together, as often as each occurs, and each is rendered.
     A pair of equal conversations has a prompt alone; one side missing leaves no prompt. Rows
     without a pair_id are one pair. Empty tables give an empty result.
     """
-    turns = _turns(chosen, CHOSEN).unionByName(_turns(rejected, REJECTED)).distinct()
+    turns = _turns(chosen, CHOSEN).unionByName(_turns(rejected, REJECTED))
     first = first_difference(turns).withColumnRenamed("pair_id", "of_pair")
     joined = turns.join(first, turns["pair_id"].eqNullSafe(first["of_pair"]), "left")
     shared = F.col("first").isNull() | (F.col("turn") < F.col("first"))

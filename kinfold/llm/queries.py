@@ -101,17 +101,17 @@ ORACLE_SQL = {
         FROM b""",
     "op10_chat_format": """
         WITH c AS (
-            SELECT DISTINCT conv_id AS pair_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            SELECT conv_id AS pair_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
             FROM conversations),
         e AS (
             SELECT pair_id, max(turn) AS last_turn, arg_max(text, (turn, text)) AS last_text FROM c GROUP BY pair_id),
         r AS (
-            SELECT DISTINCT c.pair_id, turn, role, CASE WHEN turn = e.last_turn THEN o.last_text ELSE text END AS text
+            SELECT c.pair_id, turn, role, CASE WHEN turn = e.last_turn THEN o.last_text ELSE text END AS text
             FROM c JOIN e USING (pair_id) LEFT JOIN e o ON o.pair_id = c.pair_id + 1
             WHERE turn <> e.last_turn OR o.pair_id IS NOT NULL),
         d AS (
             SELECT pair_id, min(turn) AS first
-            FROM ((FROM c EXCEPT FROM r) UNION ALL (FROM r EXCEPT FROM c)) GROUP BY pair_id),
+            FROM ((FROM c EXCEPT ALL FROM r) UNION ALL (FROM r EXCEPT ALL FROM c)) GROUP BY pair_id),
         s AS (
             SELECT c.*, 'chosen' AS side FROM c UNION ALL SELECT r.*, 'rejected' FROM r)
         SELECT pair_id, CASE WHEN d.first IS NULL OR turn < d.first THEN 'prompt' ELSE side END AS part, turn, role,

@@ -211,8 +211,8 @@ def test_tokens_of_long_texts_do_not_depend_on_chunks(monkeypatch):
 # chats
 def test_preferences(spark):
     schema = "pair_id long, turn long, role string, text string, side string"
-    chosen = [(1, 0, "user", "a", ""), (1, 1, "assistant", "b", ""), (1, 2, "assistant", "c", ""), (2, 0, "user", "q", ""), (3, 0, "user", "s", ""), (4, None, None, None, ""), (1, 0, "user", "a", "")]
-    rejected = [(1, 0, "user", "a", ""), (1, 1, "assistant", "x", ""), (1, 2, "assistant", "c", ""), (3, 0, "user", "s", ""), (5, 0, "assistant", "t", "")]
+    chosen = [(1, 0, "user", "a", ""), (1, 1, "assistant", "b", ""), (1, 2, "assistant", "c", ""), (2, 0, "user", "q", ""), (3, 0, "user", "s", ""), (4, None, None, None, ""), (6, 0, "user", "d", ""), (6, 0, "user", "d", "")]
+    rejected = [(1, 0, "user", "a", ""), (1, 1, "assistant", "x", ""), (1, 2, "assistant", "c", ""), (3, 0, "user", "s", ""), (5, 0, "assistant", "t", ""), (6, 0, "user", "d", "")]
     found = chat_format.format_preferences(spark.createDataFrame(chosen, schema), spark.createDataFrame(rejected, schema))
     rows = {(r["pair_id"], r["part"], r["turn"]): (r["rendered"], r["trained"]) for r in found.collect()}
     text = lambda role, t: f"<|{role}|>\n{t}<|end|>\n"
@@ -226,6 +226,8 @@ def test_preferences(spark):
         (3, "prompt", 0): (text("user", "s"), False),
         (4, "chosen", -1): (text("", ""), False),
         (5, "rejected", 0): (text("assistant", "t"), True),
+        (6, "chosen", 0): (text("user", "d"), False),
+        (6, "rejected", 0): (text("user", "d"), False),
     }
     one = {r["pair_id"]: r for r in chat_format.assemble(found).collect()}[1]
     assert one["prompt"] == text("user", "a") and one["chosen"] == text("assistant", "b") + text("assistant", "c")
