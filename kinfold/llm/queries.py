@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, pii, secret_scan, simhash, url_filter
+from kinfold.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, pii, secret_scan, simhash, suffix_dedup, url_filter
 from kinfold.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,7 @@ OPERATORS = (
     op5_exact_dedup,
     op6_url_filter,
     op7_language_id,
+    op8_suffix_dedup,
     op9_decontaminate,
     op10_chat_format,
 )
