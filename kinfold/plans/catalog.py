@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from kinfold.plans import evaluation_queries, kernel_queries, pair_queries, sequence_queries
 from kinfold.plans.registry import ORACLES, QUERIES, Query
 
+#: Importing these modules registers their queries.
+MODULES = (sequence_queries, pair_queries, evaluation_queries, kernel_queries)
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
