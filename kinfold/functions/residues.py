@@ -42,7 +42,7 @@ def between(residues: Column, start: Column, end: Column) -> Column:
 
 def letters(residues: Column) -> Column:
     """Array of the letters; empty for an empty string."""
-    return F.when(F.length(residues) > 0, F.split(residues, "(?!^)")).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(residues) > 0, F.split(residues, "")).otherwise(F.array().cast("array<string>"))
 
 
 def wrapped(residues: Column, width: int = WRAP) -> Column:

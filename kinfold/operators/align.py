@@ -69,7 +69,7 @@ def cells_of(scored: DataFrame) -> DataFrame:
 def trees(distances: DataFrame, sequences: DataFrame, linkage: int = 0) -> DataFrame:
     """The guide tree of each family as rows of nodes; the leaves are the labels in order, -1 stands for none."""
 
-    def run(key, frame: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    def run(key, frame, pairs):
         labels = sorted(frame["label"])
         at = {x: k for k, x in enumerate(labels)}
         d = np.zeros((len(labels), len(labels)))
@@ -91,7 +91,7 @@ def _nodes(frame: pd.DataFrame):
 def sequence_weights(tree: DataFrame) -> DataFrame:
     """family, label, w."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key, frame):
         w = weights(_nodes(frame), int(frame["is_leaf"].sum()))
         return pd.DataFrame({"family": key[0], "label": range(len(w)), "w": w})
 
@@ -102,7 +102,7 @@ def merge_schedules(tree: DataFrame) -> DataFrame:
     """family, ord, depth, left_ord, right_ord, left_leaves, right_leaves."""
     schema = "family string, ord int, depth int, left_ord int, right_ord int, left_leaves array<int>, right_leaves array<int>"
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key, frame):
         columns = [c.split()[0] for c in schema.split(", ")]
         return pd.DataFrame([{"family": key[0], **m} for m in merge_order(_nodes(frame))], columns=columns)
 
@@ -120,7 +120,7 @@ def merge_families(sequences: DataFrame, cells: DataFrame, tree: DataFrame, s1:
     nodes = tree.select("family", "node", "left", "right", "parent", "dist", "is_leaf", "n_leaves", F.lit(None).cast("string").alias("header"), F.lit(None).cast("string").alias("residues"))
     rows = sequences.select("family", F.col("label").alias("node"), *none("int", "int", "int", "double", "boolean", "int"), "header", "residues").toDF(*nodes.columns)
 
-    def run(key, given: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    def run(key, given, pairs):
         own = given[given["residues"].notna()].sort_values("node")
         nodes = _nodes(given[given["residues"].isna()])
         labels = own["node"].tolist()

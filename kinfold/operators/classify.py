@@ -39,18 +39,25 @@ def letter_shares(a: str, b: str) -> np.ndarray:
 
 @dataclass
 class SoftmaxClassifier:
-    """Linear softmax over letter_shares, fitted by gradient descent with focal weights and early stopping."""
+    """Linear softmax over standardised letter_shares, fitted by gradient descent with early stopping."""
 
     weights: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+
+    def features(self, frame: pd.DataFrame) -> np.ndarray:
+        x = np.stack([letter_shares(a, b) for a, b in zip(frame["res_a"], frame["res_b"], strict=True)])
+        return np.column_stack([(x - self.mean) / self.spread, np.ones(len(x))])
 
     def __call__(self, frame: pd.DataFrame) -> np.ndarray:
-        x = np.stack([np.append(letter_shares(a, b), 1) for a, b in zip(frame["res_a"], frame["res_b"], strict=True)])
-        return (x @ self.weights).argmax(axis=1)
+        return (self.features(frame) @ self.weights).argmax(axis=1)
 
 
-def fit(rows: pd.DataFrame, classes: int = CLASSES, epochs: int = 300, rate: float = 0.5, seed: int = 929) -> SoftmaxClassifier:
+def fit(rows: pd.DataFrame, classes: int = CLASSES, epochs: int = 300, rate: float = 0.1, seed: int = 929) -> SoftmaxClassifier:
     """rows: res_a, res_b, cls, held (whether a row only decides when to stop). A bounded sample, as a frame."""
-    x = np.stack([np.append(letter_shares(a, b), 1) for a, b in zip(rows["res_a"], rows["res_b"], strict=True)])
+    raw = np.stack([letter_shares(a, b) for a, b in zip(rows["res_a"], rows["res_b"], strict=True)])
+    model = SoftmaxClassifier(np.zeros((raw.shape[1] + 1, classes)), raw.mean(axis=0), np.where(raw.std(axis=0) > 1e-6, raw.std(axis=0), 1.0))
+    x = model.features(rows)
     y = np.eye(classes)[rows["cls"].to_numpy()]
     held = rows["held"].to_numpy(bool)
     w = np.random.default_rng(seed).normal(0, 0.01, (x.shape[1], classes))
@@ -65,7 +72,7 @@ def fit(rows: pd.DataFrame, classes: int = CLASSES, epochs: int = 300, rate: flo
         elif (idle := idle + 1) > PATIENCE:
             break
         w = w - rate * x[~held].T @ (p - y)[~held] / max(1, (~held).sum())
-    return SoftmaxClassifier(best)
+    return SoftmaxClassifier(best, model.mean, model.spread)
 
 
 def cross_validated(pairs: DataFrame, sample_rows: int = 20_000) -> tuple[list[float], SoftmaxClassifier]:

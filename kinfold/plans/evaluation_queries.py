@@ -50,7 +50,7 @@ def class_frequency(spark, sf_dir):
 @query(
     "pid_bins_mean",
     f"""WITH {_PAIRS},
-    pid AS (SELECT family, avg(len(list_filter(range(1, least(length(ra), length(rb)) + 1), k -> ra[k] = rb[k])) / least(length(ra), length(rb))) AS pid FROM p GROUP BY family),
+    pid AS (SELECT family, avg(len(list_filter(range(1, least(length(ra), length(rb)) + 1), lambda k: ra[k] = rb[k])) / least(length(ra), length(rb))) AS pid FROM p GROUP BY family),
     sheet AS (SELECT CAST(doc_id % 9 AS VARCHAR) AS family, arg_min(quality, doc_id)::DOUBLE AS tc, arg_min(toxic, doc_id)::DOUBLE AS sp FROM labels GROUP BY doc_id % 9)
     SELECT CASE WHEN pid <= 0.3 THEN '0-30' WHEN pid <= 0.6 THEN '30-60' ELSE '60-100' END AS bin, count(*) AS families,
            round(sum(coalesce(tc, 0)) / count(*), 9) AS mean_tc, round(sum(coalesce(sp, 0)) / count(*), 9) AS mean_sp
@@ -103,7 +103,7 @@ def em_two_level_mean(spark, sf_dir):
     return E.two_level_mean(T.load(spark, sf_dir, "lineitem"), "l_returnflag", "l_orderkey", "l_quantity").withColumn("mean", F.round("mean", 6))
 
 
-@query("one_hot_class", f"WITH {_VOTES} SELECT family, cls, array_to_string(list_transform(range(4), k -> CASE WHEN k = cls THEN 1 ELSE 0 END), '') AS bits, count(*) AS n FROM v GROUP BY ALL")
+@query("one_hot_class", f"WITH {_VOTES} SELECT family, cls, array_to_string(list_transform(range(4), lambda k: CASE WHEN k = cls THEN 1 ELSE 0 END), '') AS bits, count(*) AS n FROM v GROUP BY ALL")
 def one_hot_class(spark, sf_dir):
     rows = _votes(spark, sf_dir).withColumn("bits", F.array_join(one_hot(F.col("cls"), 4), ""))
     return rows.groupBy("family", "cls", "bits").agg(F.count("*").alias("n"))

@@ -58,7 +58,7 @@ def pair_across_groups(spark, sf_dir):
 @query(
     "pair_identity",
     f"""WITH {_PAIRS}
-    SELECT family, a, b, round(len(list_filter(range(1, least(length(ra), length(rb)) + 1), k -> ra[k] = rb[k])) / least(length(ra), length(rb)), 9) AS identity FROM p""",
+    SELECT family, a, b, round(len(list_filter(range(1, least(length(ra), length(rb)) + 1), lambda k: ra[k] = rb[k])) / least(length(ra), length(rb)), 9) AS identity FROM p""",
 )
 def pair_identity(spark, sf_dir):
     found = pairs.all_pairs(T.benchmark_sequences(spark, sf_dir))
@@ -81,7 +81,7 @@ def pair_score(spark, sf_dir):
     """
     WITH d AS (
         SELECT CAST(x.label AS VARCHAR) AS family, x.vec_id AS a, y.vec_id AS b,
-               round(sqrt(list_sum(list_transform(range(1, 65), k -> (x.embedding[k]::DOUBLE - y.embedding[k]::DOUBLE) ** 2))), 6) AS d
+               round(sqrt(list_sum(list_transform(range(1, 65), lambda k: (x.embedding[k]::DOUBLE - y.embedding[k]::DOUBLE) ** 2))), 6) AS d
         FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id)
     SELECT family, m.a AS a, m.b AS b, m.d AS d FROM (SELECT family, min({'d': d, 'a': a, 'b': b}) AS m FROM d GROUP BY family)""",
 )

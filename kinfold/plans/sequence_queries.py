@@ -45,9 +45,9 @@ def fasta_wrap60(spark, sf_dir):
     "token_pad512",
     f"""
     WITH t AS (
-        SELECT doc_id, list_transform(string_split({_CLEAN}, ''), x -> instr('{R.TOKENS}', x)) AS raw FROM documents),
-    f AS (SELECT doc_id, list_filter(raw, k -> k > 0) AS x FROM t)
-    SELECT doc_id, array_to_string(list_concat(list_transform(range(greatest(0, 512 - len(x))), k -> 0), x[greatest(1, len(x) - 511):]), ' ') AS x
+        SELECT doc_id, list_transform(string_split({_CLEAN}, ''), lambda x: instr('{R.TOKENS}', x)) AS raw FROM documents),
+    f AS (SELECT doc_id, list_filter(raw, lambda k: k > 0) AS x FROM t)
+    SELECT doc_id, array_to_string(list_concat(list_transform(range(greatest(0, 512 - len(x))), lambda k: 0), x[greatest(1, len(x) - 511):]), ' ') AS x
     FROM f""",
 )
 def token_pad512(spark, sf_dir):
@@ -89,7 +89,7 @@ def project_columns(spark, sf_dir):
     return alignment.project(rows, rows.filter("label < 2"))
 
 
-_WITHIN = lambda groups: "(" + " OR ".join(f"len(list_filter(letters, x -> NOT contains('{g}', x))) = 0" for g in groups) + ")"
+_WITHIN = lambda groups: "(" + " OR ".join(f"len(list_filter(letters, lambda x: NOT contains('{g}', x))) = 0" for g in groups) + ")"
 
 
 @query(
@@ -146,7 +146,7 @@ def sort_by_header(spark, sf_dir):
     return rows.select("family", "header", F.col("label").cast("long").alias("place"))
 
 
-@query("highlight_case", f"WITH {_BENCH} SELECT family, label, array_to_string(list_transform(range(1, length(residues) + 1), k -> CASE WHEN k % 3 = 0 THEN upper(residues[k]) ELSE lower(residues[k]) END), '') AS residues FROM b")
+@query("highlight_case", f"WITH {_BENCH} SELECT family, label, array_to_string(list_transform(range(1, length(residues) + 1), lambda k: CASE WHEN k % 3 = 0 THEN upper(residues[k]) ELSE lower(residues[k]) END), '') AS residues FROM b")
 def highlight_case(spark, sf_dir):
     rows = T.benchmark_sequences(spark, sf_dir)
     scores = F.transform(R.letters(F.col("residues")), lambda _, k: F.when((k + 1) % 3 == 0, 1.0).otherwise(0.0))

@@ -19,7 +19,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_fasta(files: DataFrame, strip_gaps: bool = True) -> DataFrame:
     """family, label, header, residues, valid of files (family, content). Empty records keep their place."""
-    parts = F.filter(F.split("content", r"(?m)^[ \t]*>"), lambda x: F.trim(x) != "")
+    parts = F.filter(F.split("content", r"(?m)^[ \t]*>"), lambda x: F.regexp_like(x, F.lit(r"\S")))
     first = F.when(F.regexp_like("content", F.lit(r"^\s*>")), parts).otherwise(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))))
     records = files.select("family", F.posexplode(first).alias("label", "record"))
     header, body = F.trim(F.regexp_extract("record", r"^([^\n]*)", 1)), F.regexp_extract("record", r"^[^\n]*\n([\s\S]*)$", 1)
