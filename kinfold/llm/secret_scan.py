@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import spans
-from kinfold.llm.common import hex_sha256
+from kinfold.llm.common import hex_sha256, stored
 
 LEDGER_SCHEMA = "blob_id binary, kind string, version int, spans array<struct<start:int,stop:int>>"
 
@@ -128,4 +128,5 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
         hex_sha256(spans.joined(_ordered(base))).alias("base_sha256"),
         spans.joined(_ordered(rules)).alias("spans"),
     )
-    return on_paths(versions, digests).drop("blob_id")
+    # written, so that the join has two plain exchanges, of which Spark splits that of a hot blob
+    return on_paths(versions, stored(digests)).drop("blob_id")
