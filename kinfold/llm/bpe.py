@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import pieces
+
 #: Words of more parts than this are merged by heap; the results are the same.
 SHORT_WORD = 128
 #: Words held by each of the two generations of a worker's cache.
@@ -164,7 +166,7 @@ def _of_worker(spec: str) -> WordCache:
 def _per_text(spec: str, fields: list[tuple[str, pa.DataType]], make: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _of_worker(spec.value)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [make(cache, text or "") for text in batch.column(1).to_pylist()]
             columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", *(n for n, _ in fields)])
@@ -209,7 +211,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _of_worker(spec.value)._tokenizer
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [tokenizer.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

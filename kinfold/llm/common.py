@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,36 @@ def hex_sha256(column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_KEY = "__kinfold_key"
+
+
+def restrict(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of docs for each doc_id that is in ids; null is an identifier like any other.
+
+    The key is a struct, which equals another by its fields, null or not; join and
+    deduplication share its partitioning, so texts are shuffled once.
+    """
+    wanted = ids.select(F.struct("doc_id").alias(_KEY)).distinct()
+    keyed = docs.withColumn(_KEY, F.struct("doc_id"))
+    return keyed.join(wanted, _KEY, "left_semi").dropDuplicates([_KEY]).select(*docs.columns)
+
+
+#: Bytes of Arrow data that a Python worker turns into objects at once; a longer row goes alone.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about PIECE_BYTES, so that a worker's memory does not follow Spark's batches."""
+    for batch in batches:
+        rows = batch.num_rows
+        parts = [(0, rows)] if rows else []
+        while parts:
+            at, to = parts.pop()
+            piece = batch.slice(at, to - at)
+            if to - at > 1 and piece.nbytes > PIECE_BYTES:
+                middle = (at + to) // 2
+                parts += [(middle, to), (at, middle)]
+            else:
+                yield piece

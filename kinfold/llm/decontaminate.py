@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import pieces
+
 #: 1: the token counts, 0: it is ignored.
 MASKS = ("1101100101", "1010011011", "1110010011")
 SPAN = 10
@@ -183,7 +185,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in batches:
+            for batch in pieces(batches):
                 ids, rows = batch.column(0).to_pylist(), []
                 for doc_id, hashes in zip(ids, token_arrays(batch.column(1).to_pylist()), strict=True):
                     rows += [(doc_id, index.items[k][0], *hit, len(index.items[k][1])) for k, hit in index.search(hashes).items()]

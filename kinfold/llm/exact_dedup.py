@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WHITE_SPACE
+from kinfold.llm.common import WHITE_SPACE, pieces, restrict
 
 #: Bytes of a text that lead its sort key; the digest of the whole text follows.
 HEAD_BYTES = 32
@@ -40,7 +40,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None]]:
 
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         best: dict[bytes, list] = {}
         for doc_id, text in _rows(batch):
             content, n_chars = normalised(text), len(text or "")
@@ -80,7 +80,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             names=["digest", "n_bytes", "keep_id", "group_size"],
         )
 
-    for batch in batches:
+    for batch in pieces(batches):
         closed = []
         for digest, content, n_chars, keep_id, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if open_group is not None and open_group[1] == content:
@@ -97,7 +97,7 @@ def _compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         texts = batch.column(1).to_pylist()
         contents = [normalised(t) for t in texts]
         yield pa.RecordBatch.from_arrays(
@@ -143,6 +143,4 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops; of rows that repeat a doc_id, one stays."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return found.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return restrict(docs, exact_dedup(docs).filter("kept"))

@@ -18,8 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import pieces
+
 #: Rows of each language that the classifier is fitted on, at most; chosen by a hash of their doc_id.
 SAMPLE_ROWS = 600
+#: Rows of all languages together, at most; with many languages each has fewer.
+ALL_SAMPLE_ROWS = 20_000
 #: Languages that can be learned: those with the most rows.
 MAX_LANGUAGES = 200
 CENTROIDS = 4
@@ -103,39 +107,42 @@ def held_out(column):
 
 
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         found = [np.unique(_buckets(t), return_counts=True) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(2),
                 pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())),
                 pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32())),
             ],
-            names=["lang", "buckets", "counts"],
+            names=["lang", "mark", "buckets", "counts"],
         )
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the rows of docs whose lang isn't null, whose text has a letter and that aren't held out.
 
-    At most sample_rows rows of each of MAX_LANGUAGES languages reach the driver, as sparse
-    counts; a hash of doc_id chooses them. Without labelled rows the model knows no language.
+    About 1.3 times sample_rows rows of each of MAX_LANGUAGES languages reach the driver, as
+    sparse counts, and sample_rows are used; a hash of doc_id chooses them. Without labelled rows the model knows no language.
     """
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")) & ~held_out(F.col("doc_id")))
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return fit_model([], np.zeros((0, DIMENSIONS), np.float32))
-    mark = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    shares = {r["lang"]: min(1_000_000, max(1, int(1_300_000 * sample_rows / r["count"]))) for r in sizes}
-    bound = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
-    chosen = labelled.withColumn("mark", mark).filter(F.col("mark") < bound)
-    picked = chosen.select("lang", "text", "mark").mapInArrow(_sample_counts, "lang string, buckets array<int>, counts array<int>").toLocalIterator()
-    seen: dict[str, int] = dict.fromkeys(shares, 0)
+    sample_rows = max(1, min(sample_rows, ALL_SAMPLE_ROWS // len(sizes)))
+    mark = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000_000))
+    # a third more than wanted, by a bound on the hash, so that nearly always enough rows are left
+    bounds = {r["lang"]: min(1_000_000_000, max(1, int(1_300_000_000 * sample_rows / r["count"]))) for r in sizes}
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("lang"))
+    chosen = labelled.withColumn("mark", mark).filter(F.col("mark") < bound).select("lang", "text", "mark")
+    picked = chosen.mapInArrow(_sample_counts, "lang string, mark long, buckets array<int>, counts array<int>").collect()
+    taken: dict[str, int] = dict.fromkeys(bounds, 0)
     labels, rows = [], []
-    for r in picked:
-        if seen[r["lang"]] < sample_rows:
-            seen[r["lang"]] += 1
+    for r in sorted(picked, key=lambda r: (r["lang"], r["mark"], r["buckets"])):
+        if taken[r["lang"]] < sample_rows:
+            taken[r["lang"]] += 1
             row = np.zeros(DIMENSIONS, np.float32)
             row[np.array(r["buckets"], int)] = r["counts"]
             labels.append(r["lang"])
@@ -155,7 +162,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(2).to_pylist()
             lang, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             known = [i for i, t in enumerate(texts) if model.languages and t and _LETTER.search(t)]

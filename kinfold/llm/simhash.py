@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import stored
+from kinfold.llm.common import pieces, restrict, stored
 from kinfold.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -55,7 +55,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
@@ -72,7 +72,7 @@ def _bits(values: np.ndarray) -> np.ndarray:
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each two bits are set in the same fingerprint."""
     total = np.zeros((64, 64), np.int64)
-    for batch in batches:
+    for batch in pieces(batches):
         bits = _bits(np.ascontiguousarray(batch.column(0).to_numpy())).astype(np.float32)
         total += (bits.T @ bits).astype(np.int64)
     if total.any():
@@ -207,6 +207,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return found.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return restrict(docs, near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
