@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Positions; a shard is far shorter than 2 ** 31.
+_INT = np.int32
+
 
 def classify(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one (S-type). s ends in a unique smallest letter."""
@@ -21,7 +24,7 @@ def classify(s: np.ndarray) -> np.ndarray:
 
 def leftmost_smaller(is_s: np.ndarray) -> np.ndarray:
     """Positions of S-type suffixes that follow an L-type one."""
-    return np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    return (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(_INT)
 
 
 def _fill(sa: np.ndarray, s: np.ndarray, at: np.ndarray, wanted: np.ndarray, block: np.ndarray, step: int) -> None:
@@ -32,20 +35,21 @@ def _fill(sa: np.ndarray, s: np.ndarray, at: np.ndarray, wanted: np.ndarray, blo
         return
     letters = s[before]
     order = np.argsort(letters, kind="stable")
-    counts = np.bincount(letters, minlength=len(at))
-    firsts = np.cumsum(counts) - counts
-    place = np.arange(len(before)) - np.repeat(firsts, counts)
-    letters = letters[order]
-    sa[at[letters] + (place if step > 0 else -1 - place)] = before[order]
+    counts = np.bincount(letters, minlength=len(at)).astype(_INT)
+    firsts = np.cumsum(counts, dtype=_INT) - counts
+    # where each letter's block begins, less the place of its first suffix in the sorted block
+    base = at - firsts if step > 0 else at - 1 + firsts
+    place = np.arange(len(before), dtype=_INT)
+    sa[np.repeat(base, counts) + (place if step > 0 else -place)] = before[order]
     at += step * counts
 
 
 def induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
     """The suffix array if lms is sorted by suffix; else all suffixes sorted by their part up to the next of lms."""
-    sa = np.full(len(s), -1, np.int64)
+    sa = np.full(len(s), -1, _INT)
     counts = np.bincount(s, minlength=size)
-    stops = np.cumsum(counts)
-    starts = stops - counts
+    stops = np.cumsum(counts).astype(_INT)
+    starts = stops - counts.astype(_INT)
     seeds = np.bincount(s[lms], minlength=size)
     # those of one bucket keep their order
     groups = np.split(lms[np.argsort(s[lms], kind="stable")], np.cumsum(seeds)[:-1])
@@ -73,7 +77,7 @@ def induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) -> np.nd
 def _name(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Of each of lms, the rank of its substring up to the next of lms; ordered has them sorted by it."""
     length = np.diff(lms, append=len(s) - 1) + 1
-    index = np.zeros(len(s), np.int64)
+    index = np.zeros(len(s), _INT)
     index[lms] = np.arange(len(lms))
     of = length[index[ordered]]
     same = np.zeros(len(ordered), bool)
@@ -90,16 +94,24 @@ def _name(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _sort_names(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of names. Each round names twice as long parts, from pairs of names."""
-    rank, width, n = names + 1, 1, len(names)
-    while rank.max() < n:
-        after = np.zeros(n, np.int64)
-        after[:-width] = rank[width:]
-        pairs = rank * (n + 1) + after
-        order = np.argsort(pairs, kind="stable")
-        fresh = np.concatenate([[True], pairs[order][1:] != pairs[order][:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
+    """The order of the suffixes of names. Each round tells apart twice as long parts, among those that still tie."""
+    n, width = len(names), 1
+    # a rank is the first place of all that tie with it
+    rank = (np.cumsum(np.bincount(names)) - np.bincount(names))[names]
+    live = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+    while len(live):
+        after = np.where(live + width < n, rank[np.minimum(live + width, n - 1)] + 1, 0)
+        old = rank[live]
+        order = np.argsort(old * (n + 1) + after)
+        live, old, after = live[order], old[order], after[order]
+        place = np.arange(len(live))
+        begins = np.append(True, old[1:] != old[:-1])
+        fresh = begins | np.append(True, after[1:] != after[:-1])
+        group, part = np.maximum.accumulate(np.where(begins, place, 0)), np.maximum.accumulate(np.where(fresh, place, 0))
+        rank[live] = old + part - group
+        tied = ~fresh
+        tied[:-1] |= ~fresh[1:]
+        live = live[tied]
         width *= 2
     return np.argsort(rank)
 
@@ -125,30 +137,31 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, room: np.ndarray, most: int
     agree, the prefix is one shorter than that of the position before; only others are compared.
     """
     n = len(s)
-    before = np.zeros(n, np.int64)
+    before = np.zeros(n, _INT)
     before[sa[1:]] = sa[:-1]
     first = sa[0]
     own = np.ones(n, bool)
-    at = np.arange(1, n)
-    own[1:] = (before[at] == 0) | (s[at - 1] != s[before[at] - 1]) | (room[at - 1] == 0) | (at - 1 == first)
+    own[1:] = (before[1:] == 0) | (s[:-1] != s[before[1:] - 1]) | (room[:-1] == 0)
+    if first + 1 < n:
+        own[first + 1] = True
     own[first] = True
     where = np.flatnonzero(own)
     padded = np.concatenate([s, np.zeros(most + 16, np.uint8)])
     words = np.zeros(len(padded) - 7, np.uint64)
     for k in range(8):
         words |= padded[k : len(padded) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
-    prefix = np.zeros(len(where), np.int64)
+    prefix = np.zeros(len(where), _INT)
     live = np.arange(len(where))
     for at in range(0, most, 8):
         differ = words[where[live] + at] ^ words[before[where[live]] + at]
         low = differ & (~differ + np.uint64(1))
         agreed = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) // 8)
-        prefix[live] += agreed
+        prefix[live] += agreed.astype(_INT)
         live = live[differ == 0]
         if not len(live):
             break
     prefix = np.minimum(prefix, np.minimum(room[where], room[before[where]]))
     prefix[where == first] = 0
     # what is not compared is one shorter than its left neighbour
-    near = np.cumsum(own) - 1
-    return np.maximum(0, prefix[near] - (np.arange(n) - where[near]))
+    near = np.cumsum(own, dtype=_INT) - 1
+    return np.maximum(0, prefix[near] - (np.arange(n, dtype=_INT) - where.astype(_INT)[near]))

@@ -21,19 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import hex_sha256, shuffle_partitions, stored
+from kinfold.llm.common import hex_sha256, pieces, shuffle_partitions, stored
 from kinfold.llm.suffix_array import permuted_prefixes, suffix_array
 
 STRING = 200
 #: Bytes of an anchor.
-K = 32
+K = 100
+#: Two contexts with a common string agree on some extension of the anchor in these steps; each has one key for a step.
+STEPS = 4
 #: Bytes of contexts that one suffix array is made of; one anchor has at most SHARD_CONTEXTS there.
-SHARD_BYTES = 2_000_000
-SHARD_CONTEXTS = 5_000
+SHARD_BYTES = 1_000_000
+SHARD_CONTEXTS = 20_000
 #: Bytes of a text whose anchors are found at once.
 CHUNK = 1 << 20
 #: Stands between contexts; UTF-8 has no such byte.
 _END = 0xFE
+#: Rows that a task hands back at once.
+ROWS = 50_000
 _POWER = 0x9E3779B97F4A7C15
 
 _ANCHORS = "tid binary, at long, anchor long"
@@ -45,9 +49,11 @@ def _window_hashes(raw: np.ndarray) -> np.ndarray:
     """A mixed hash of the K bytes from each position on."""
     h, power, width = raw.astype(np.uint64) + np.uint64(1), np.uint64(_POWER), 1
     with np.errstate(over="ignore"):
-        while width < K:
+        while 2 * width <= K:
             h = h[:-width] * power + h[width:]
             power, width = power * power, 2 * width
+        if rest := K - width:  # the second part overlaps with the first
+            h = h[:-rest] * power + h[rest:]
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
@@ -82,12 +88,23 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for tid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            at, h = anchors(np.frombuffer(body.encode(), np.uint8))
-            for k in range(0, len(at), 100_000):
-                part = at[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([tid] * len(part), pa.binary()), pa.array(part, pa.int64()), pa.array(h[k : k + 100_000].view(np.int64))], names=["tid", "at", "anchor"])
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        at, h = (np.concatenate([x[k] for x in held]) for k in (1, 2))
+        tids = pa.array([x[0] for x in held], pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), [len(x[1]) for x in held])))
+        return pa.RecordBatch.from_arrays([tids, pa.array(at, pa.int64()), pa.array(h.view(np.int64))], names=["tid", "at", "anchor"])
+
+    held, size = [], 0
+    for batch in pieces(batches):
+        for tid, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            at, h = anchors(np.frombuffer(body, np.uint8))
+            for k in range(0, len(at), ROWS):
+                held.append((tid, at[k : k + ROWS], h[k : k + ROWS]))
+                size += len(held[-1][1])
+                if size >= ROWS:
+                    yield packed(held)
+                    held, size = [], 0
+    if held:
+        yield packed(held)
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,50 +112,83 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     seen: set[bytes] = set()
     names = [c.split()[0] for c in _CONTEXTS.split(", ")]
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-    for batch in batches:
+    for batch in pieces(batches):
         rows: list[tuple] = []
-        for tid, body, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = body.encode()
-            for place in places:
-                at = place["at"]
+        tids, texts, every, hashes = batch.columns
+        for tid, raw, places, found in zip(tids.to_pylist(), texts.cast(pa.binary()).to_pylist(), every.to_pylist(), hashes.to_pylist(), strict=True):
+            for at, anchor in zip(places, found, strict=True):
                 low = max(0, at - (STRING - K))
                 part = raw[low : at + STRING]
                 key = blake2b(part, digest_size=16, salt=(at - low).to_bytes(2, "little")).digest()
-                rows.append((tid, at, place["anchor"], key, at - low, None if key in seen else part))
+                rows.append((tid, at, anchor, key, at - low, None if key in seen else part))
                 seen.add(key)
-                if len(rows) >= 50_000:
+                if len(rows) >= ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def step_bounds() -> list[int]:
+    return [(STRING - K) * i // STEPS for i in range(STEPS + 1)] + [STRING - K + 1]
+
+
+def keys(body: bytes, lead: int) -> list[tuple[int, bytes]]:
+    """Extensions of the anchor, one of which any two contexts with a common string have in common.
+
+    If such contexts agree on l bytes before the anchor and r after it, l + r is STRING - K at
+    least. With bounds from 0 to STRING - K in steps, bound i up to l and bound i + 1 above it,
+    they agree on bound i before and on all that bound i + 1 leaves after the anchor.
+    """
+    need, bounds, found = STRING - K, step_bounds(), []
+    for i, low in enumerate(bounds[:-1]):
+        after = max(0, need - bounds[i + 1] + 1)
+        if lead >= low and len(body) - lead - K >= after:
+            found.append((i, body[lead - low : lead + K + after]))
+    return found
+
+
+def _with_partner(rows: list[tuple]) -> list[tuple]:
+    """The contexts of an anchor that have a key in common with another one."""
+    first: dict[tuple[int, bytes], int] = {}
+    kept: set[int] = set()
+    for k, (_, _, lead, body, _) in enumerate(rows):
+        for key in keys(body, lead):
+            other = first.setdefault(key, k)
+            if other != k:
+                kept |= {other, k}
+    return [rows[k] for k in sorted(kept)]
+
+
 def repeated_in_shard(bodies: list[bytes], leads: list[int], owners: list[int]) -> list[tuple[int, int] | None]:
     """Of each context, where its strings that another context of the same owner has begin and end."""
     sizes = np.array([len(b) for b in bodies])
     joined = bytes([_END]).join(bodies) + bytes([_END])
     s = np.append(np.frombuffer(joined, np.uint8) + np.uint8(1), np.uint8(0))
     firsts = np.cumsum(sizes + 1) - (sizes + 1)
-    of = np.append(np.repeat(np.arange(len(bodies)), sizes + 1), len(bodies) - 1)
-    offset = np.arange(len(s)) - firsts[of]
-    room = np.maximum(0, sizes[of] - offset)
+    of = np.append(np.repeat(np.arange(len(bodies), dtype=np.int32), sizes + 1), np.int32(len(bodies) - 1))
+    offset = np.arange(len(s), dtype=np.int32) - firsts.astype(np.int32)[of]
+    room = np.maximum(0, sizes.astype(np.int32)[of] - offset)
     sa = suffix_array(s)
     prefix = permuted_prefixes(s, sa, room, int(sizes.max()))
-    run = np.cumsum(prefix[sa] < STRING)
+    run = np.cumsum(prefix[sa] < STRING, dtype=np.int32)
     full = room[sa] >= STRING
     at, run = sa[full], run[full]
     context = of[at]
-    place = offset[at] - np.array(leads)[context] + 2 * STRING
-    key = (run * len(bodies) + np.array(owners)[context]) * (4 * STRING) + place
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    twice = order[np.append(same, False) | np.append(False, same)]
+    place = offset[at] - np.array(leads, np.int32)[context] + 2 * STRING
+    key = (run.astype(np.int64) * len(bodies) + np.array(owners)[context]) * (4 * STRING) + place
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    twice = np.zeros(len(s), bool)
+    twice[at[order[np.append(same, False) | np.append(False, same)]]] = True
+    # in order of position, the first and the last of each context bound what is repeated
+    hits = np.flatnonzero(twice)
+    context = of[hits]
+    change = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(hits) else hits
     found: list[tuple[int, int] | None] = [None] * len(bodies)
-    if len(twice):
-        low, high = np.full(len(bodies), 1 << 30), np.full(len(bodies), -1)
-        np.minimum.at(low, context[twice], offset[at[twice]])
-        np.maximum.at(high, context[twice], offset[at[twice]])
-        found = [(a, b + STRING) if b >= 0 else None for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+    for k, low, high in zip(context[change].tolist(), offset[hits[change]].tolist(), offset[hits[np.append(change[1:], len(hits)) - 1]].tolist() if len(hits) else [], strict=True):
+        found[k] = low, high + STRING
     return found
 
 
@@ -165,43 +215,70 @@ def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         waiting.clear()
         return answer(rows, repeated_in_shard([r[3] for r in rows], [r[2] for r in rows], owners))
 
-    alone: list[tuple] = []
-    for batch in batches:
+    alone: list[tuple] = []  # contexts without a partner
+
+    def close() -> int:
+        """The group is complete; bytes that it adds to the next shard."""
+        nonlocal group
+        # contexts with copies are repeated as a whole; only others have to be compared
+        pairs = _with_partner(group) if any(r[4] == 1 for r in group) else []
+        whole = {r[1] for r in pairs}
+        alone.extend(r for r in group if r[1] not in whole)
+        if pairs:
+            waiting.append(pairs)
+        group = []
+        return sum(len(r[3]) + 1 for r in pairs)
+
+    for batch in pieces(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group and row[0] != group[0][0]:
-                if len(group) == 1:
-                    alone += group
-                else:
-                    waiting.append(group)
-                    size += sum(len(r[3]) + 1 for r in group)
-                group = []
+                size += close()
             group.append(row)
             if size >= SHARD_BYTES:
                 yield search()
                 size = 0
-            if len(alone) >= 50_000:
+            if len(alone) >= ROWS:
                 yield answer(alone, [None] * len(alone))
                 alone = []
-    if len(group) > 1:
-        waiting.append(group)
-    else:
-        alone += group
+    if group:
+        close()
     if waiting:
         yield search()
     if alone:
         yield answer(alone, [None] * len(alone))
 
 
+def _key_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """anchor, context, step, key of the keys of each context."""
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
+    for batch in pieces(batches):
+        rows = [(anchor, context, i, blake2b(part, digest_size=16).digest()) for anchor, context, lead, body in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, part in keys(body, lead)]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "context", "step", "key"])
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, context, from (the string's start less the anchor's), digest of each STRING-byte string of a context."""
-    for batch in batches:
-        for anchor, context, lead, body, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = max(0, len(body) - STRING + 1)
-            digests = [blake2b(body[k : k + STRING], digest_size=16).digest() for k in range(n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.binary()), pa.array(range(-lead, n - lead), pa.int32()), pa.array(digests, pa.binary())],
-                names=["anchor", "context", "begin", "digest"],
-            )
+    """anchor, context, begin (the string's start less the anchor's), digest of the STRING-byte strings that steps allow."""
+    bounds = step_bounds()
+    held, begins, digests = [], [], []  # (anchor, context, number of strings), and of each string
+
+    def packed() -> pa.RecordBatch:
+        index = pa.array(np.repeat(np.arange(len(held)), [h[2] for h in held]))
+        columns = [pa.array([h[0] for h in held], pa.int64()).take(index), pa.array([h[1] for h in held], pa.binary()).take(index), pa.array(begins, pa.int32()), pa.array(digests, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "context", "begin", "digest"])
+
+    for batch in pieces(batches):
+        for anchor, context, lead, body, steps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            most = min(lead, STRING - K)
+            reach = [before for i in sorted(steps) for before in range(bounds[i], min(bounds[i + 1], most + 1)) if len(body) >= lead - before + STRING]
+            held.append((anchor, context, len(reach)))
+            begins += [-x for x in reach]
+            digests += [blake2b(body[lead - x : lead - x + STRING], digest_size=16).digest() for x in reach]
+            if len(begins) >= ROWS:
+                yield packed()
+                held, begins, digests = [], [], []
+    if held:
+        yield packed()
 
 
 def extents(contexts: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
@@ -215,8 +292,12 @@ def extents(contexts: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> DataFr
     if crowded.isEmpty():
         return found
     many = contexts.join(crowded, "anchor", "left_semi").select("anchor", "context", "lead", "body", "copies")
-    strings = many.mapInArrow(_strings, "anchor long, context binary, begin int, digest binary")
-    twice = strings.groupBy("anchor", "begin", "digest").count().filter("count > 1")
+    keyed = many.select("anchor", "context", "lead", "body").mapInArrow(_key_digests, "anchor long, context binary, step int, key binary")
+    shared = stored(keyed.groupBy("anchor", "step", "key").count().filter("count > 1").drop("count"))
+    steps = keyed.join(shared, ["anchor", "step", "key"], "left_semi").groupBy("anchor", "context").agg(F.collect_set("step").alias("steps"))
+    strings = many.join(steps, ["anchor", "context"]).select("anchor", "context", "lead", "body", "steps")
+    strings = strings.mapInArrow(_strings, "anchor long, context binary, begin int, digest binary")
+    twice = stored(strings.groupBy("anchor", "begin", "digest").count().filter("count > 1").drop("count"))
     hits = strings.join(twice, ["anchor", "begin", "digest"], "left_semi")
     spread = hits.groupBy("anchor", "context").agg(F.min("begin").alias("low"), (F.max("begin") + STRING).cast("int").alias("high"))
     whole = many.filter((F.col("copies") > 1) & (F.length("body") >= STRING))
@@ -229,10 +310,11 @@ def extents(contexts: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> DataFr
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from hashlib import sha256
 
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
-        for tid, body, copies, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw, runs, n = body.encode(), [], len(body.encode())
+        tids, texts, counts, found = batch.columns
+        for tid, raw, copies, spans in zip(tids.to_pylist(), texts.cast(pa.binary()).to_pylist(), counts.to_pylist(), found.to_pylist(), strict=True):
+            runs, n = [], len(raw)
             if copies > 1 and n >= STRING:
                 runs = [[0, n]]
             else:
@@ -269,9 +351,10 @@ def remove_repeated(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> Da
     texts = spark.table(name)
     long = texts.filter(F.octet_length("body") >= STRING)
     every = stored(long.select("tid", "body").mapInArrow(_find_anchors, _ANCHORS))
-    again = every.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # written, so that the joins below have two plain exchanges, of which Spark splits the hot parts
+    again = stored(every.groupBy("anchor").count().filter("count > 1").select("anchor"))
     places = every.join(again, "anchor", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("at", "anchor")).alias("places"))  # of one text
-    cuts = stored(long.select("tid", "body").join(places, "tid").select("tid", "body", "places").mapInArrow(_cut_contexts, _CONTEXTS))
+    cuts = stored(long.select("tid", "body").join(places, "tid").select("tid", "body", F.transform("places", lambda p: p["at"]).alias("at"), F.transform("places", lambda p: p["anchor"]).alias("found")).mapInArrow(_cut_contexts, _CONTEXTS))
     contexts = stored(cuts.groupBy("anchor", "context").agg(F.first("lead").alias("lead"), F.first("body", ignorenulls=True).alias("body"), F.count("*").alias("copies")))
     found = stored(extents(contexts, shard_contexts))
     spans = cuts.select("tid", "at", "anchor", "context").join(found, ["anchor", "context"])
