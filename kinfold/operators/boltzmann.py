@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 from kinfold.functions.model import TEMPERATURE, ScoreMatrix
-from kinfold.operators.hmm import NONE, _cells
+from kinfold.operators.hmm import NONE, _cells, add, add_rows
 
 
 def _pass(s: np.ndarray, opening: float, longer: float) -> np.ndarray:
@@ -17,11 +17,11 @@ def _pass(s: np.ndarray, opening: float, longer: float) -> np.ndarray:
     z = np.full((3, m + 1, n + 1), NONE)
     z[0, 0, 0], z[1, 0, 1:], z[2, 1:, 0] = 0, 0, 0
     for i, j in _cells(m, n, 1):
-        z[0, i, j] = s[i - 1, j - 1] + np.logaddexp.reduce(z[:, i - 1, j - 1], axis=0)
+        z[0, i, j] = s[i - 1, j - 1] + add_rows(z[:, i - 1, j - 1])
         free = i == m
-        z[1, i, j] = np.logaddexp(z[0, i, j - 1] + np.where(free, 0, opening), z[1, i, j - 1] + np.where(free, 0, longer))
+        z[1, i, j] = add(z[0, i, j - 1] + np.where(free, 0, opening), z[1, i, j - 1] + np.where(free, 0, longer))
         free = j == n
-        z[2, i, j] = np.logaddexp(z[0, i - 1, j] + np.where(free, 0, opening), z[2, i - 1, j] + np.where(free, 0, longer))
+        z[2, i, j] = add(z[0, i - 1, j] + np.where(free, 0, opening), z[2, i - 1, j] + np.where(free, 0, longer))
     return z
 
 
