@@ -334,21 +334,8 @@ def _tid(text):
     return F.substring(F.unhex(hex_sha256(text)), 1, 16)
 
 
-def remove_repeated(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text, any others).
-
-    Every byte covered by a 200-byte string that also starts elsewhere, in the same text or in
-    another, is removed. A null text counts as empty; texts under 200 bytes stay whole. Repeated
-    rows are copies of one another, whatever their doc_id; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("body"))
-    texts = rows.groupBy(_tid("body").alias("tid")).agg(F.first("body").alias("body"), F.count("*").alias("copies"))
-    name = f"kinfold_texts_{uuid.uuid4().hex}"
-    # buckets let the texts meet their anchors and spans without another shuffle of them
-    texts.write.bucketBy(shuffle_partitions(spark), "tid").option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+def _cleaned(texts: DataFrame, shard_contexts: int) -> DataFrame:
+    """tid and the result of each different text; texts: tid, body, copies, in buckets of tid."""
     long = texts.filter(F.octet_length("body") >= STRING)
     every = stored(long.select("tid", "body").mapInArrow(_find_anchors, _ANCHORS))
     # written, so that the joins below have two plain exchanges, of which Spark splits the hot parts
@@ -361,6 +348,25 @@ def remove_repeated(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> Da
     spans = spans.select("tid", F.struct((F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")).alias("span"))
     spans = spans.groupBy("tid").agg(F.collect_list("span").alias("spans"))  # of one text
     cleaned = texts.select("tid", "body", "copies").join(spans, "tid", "left").select("tid", "body", "copies", "spans")
-    cleaned = stored(cleaned.mapInArrow(_remove, "tid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
-    spark.sql(f"DROP TABLE {name}")
+    return stored(cleaned.mapInArrow(_remove, "tid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+
+
+def remove_repeated(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text, any others).
+
+    Every byte covered by a 200-byte string that also starts elsewhere, in the same text or in
+    another, is removed. A null text counts as empty; texts under 200 bytes stay whole. Repeated
+    rows are copies of one another, whatever their doc_id; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("body"))
+    texts = rows.groupBy(_tid("body").alias("tid")).agg(F.first("body").alias("body"), F.count("*").alias("copies"))
+    name = f"kinfold_texts_{uuid.uuid4().hex}"
+    try:
+        # buckets let the texts meet their anchors and spans without another shuffle of them
+        texts.write.bucketBy(shuffle_partitions(spark), "tid").option("compression", "zstd").saveAsTable(name)
+        cleaned = _cleaned(spark.table(name), shard_contexts)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return rows.select("doc_id", _tid("body").alias("tid")).join(cleaned, "tid").drop("tid")
