@@ -126,7 +126,9 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     marked = stored(marks(docs))
     edges = trusted(stored(pattern_graph(marked)), word_counts(docs), rounds)
-    rows = marked.select("doc_id", "digest", "base").join(discovered(marked, edges), "digest", "left")
+    # written, so that the join has two plain exchanges, of which Spark splits that of a hot text
+    found = stored(discovered(marked, edges))
+    rows = marked.select("doc_id", "digest", "base").join(found, "digest", "left")
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     learned = F.filter(F.coalesce("learned", F.array().cast("array<struct<start:int,stop:int>>")), free)
     rows = rows.withColumn("learned", learned)
