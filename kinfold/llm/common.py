@@ -50,14 +50,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 _KEY = "__kinfold_key"
 
 
-def restrict(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def restrict(docs: DataFrame, ids: DataFrame, digest: Column | None = None) -> DataFrame:
     """One row of docs for each doc_id that is in ids; null is an identifier like any other.
 
-    The key is a struct, which equals another by its fields, null or not; join and
+    With digest, an expression over docs that ids has as a column, one row for each doc_id and
+    digest. The key is a struct, which equals another by its fields, null or not; join and
     deduplication share its partitioning, so texts are shuffled once.
     """
-    wanted = ids.select(F.struct("doc_id").alias(_KEY)).distinct()
-    keyed = docs.withColumn(_KEY, F.struct("doc_id"))
+    key = ["doc_id"] if digest is None else ["doc_id", "digest"]
+    wanted = ids.select(F.struct(*key).alias(_KEY)).distinct()
+    keyed = docs.withColumn(_KEY, F.struct("doc_id") if digest is None else F.struct(F.col("doc_id"), digest.alias("digest")))
     return keyed.join(wanted, _KEY, "left_semi").dropDuplicates([_KEY]).select(*docs.columns)
 
 
