@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
 Fixed masks pick some tokens of a window and ignore the others, so a hash of the picked ones
-survives substitutions at the ignored places. The hashes of all windows of the training texts
+survives substitutions at the ignored places. Wherever the allowed substitutions of a window or
+of a whole shorter item are, some mask at some place ignores them all. The hashes of all windows of the training texts
 are looked up among those of the benchmark items; around each hit the text and the item are
 aligned and the overlap is verified token by token.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,13 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import pieces
 
 #: 1: the token counts, 0: it is ignored.
-MASKS = ("1101100101", "1010011011", "1110010011")
+MASKS = ("1101100101", "1010011011", "1110010011", "1100111001")
 SPAN = 10
 #: An overlap is a window of so many aligned tokens of which this share agrees; shorter items must do so as a whole.
 WINDOW = 13
 SHARE = 0.8
 #: Items of fewer tokens are not looked for.
-LEAST_TOKENS = 5
+LEAST_TOKENS = 1
 #: Characters of benchmark items that are broadcast at once; a larger benchmark takes a pass for each block.
 BLOCK_CHARS = 4_000_000
 #: Bytes of text that are turned into tokens at once.
@@ -104,16 +106,23 @@ def _seeds(hashes: np.ndarray, offsets: list[int], span: int, salt: int) -> np.n
     return _mix(total)
 
 
+def short_masks(n: int) -> list[list[int]]:
+    """The places picked in an item of n tokens, n under WINDOW: blocks without as many as substitutions are allowed."""
+    wrong = n - int(np.ceil(SHARE * n))
+    blocks = [b.tolist() for b in np.array_split(np.arange(n), (1, 3, 5)[wrong])]
+    return [sorted(x for k, b in enumerate(blocks) if k not in out for x in b) for out in combinations(range(len(blocks)), wrong)]
+
+
 class Index:
-    """Seeds of benchmark items, by mask; items shorter than a mask are one unbroken seed of their length."""
+    """Seeds of benchmark items, by mask; items shorter than WINDOW have masks of their length."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.items = [(i, t) for (i, _), t in zip(items, token_arrays([x for _, x in items]), strict=True) if len(t) >= LEAST_TOKENS]
-        masks = [([k for k, c in enumerate(m) if c == "1"], SPAN) for m in MASKS]
-        masks += [(list(range(n)), n) for n in sorted({len(t) for _, t in self.items if len(t) < SPAN})]
+        masks = [([k for k, c in enumerate(m) if c == "1"], SPAN, None) for m in MASKS]
+        masks += [(offsets, n, n) for n in sorted({len(t) for _, t in self.items if len(t) < WINDOW}) for offsets in short_masks(n)]
         self.masks = []
-        for salt, (offsets, span) in enumerate(masks):
-            rows = [(s, k, at) for k, (_, t) in enumerate(self.items) if (len(t) >= SPAN if span == SPAN else len(t) == span) for at, s in enumerate(_seeds(t, offsets, span, salt).tolist())]
+        for salt, (offsets, span, only) in enumerate(masks):
+            rows = [(s, k, at) for k, (_, t) in enumerate(self.items) if (len(t) >= WINDOW if only is None else len(t) == only) for at, s in enumerate(_seeds(t, offsets, span, salt).tolist())]
             if rows:
                 seeds, item, at = (np.array(c, np.uint64 if j == 0 else np.int64) for j, c in enumerate(zip(*rows, strict=True)))
                 order = np.argsort(seeds, kind="stable")
