@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WHITE_SPACE, pieces, restrict
+from kinfold.llm.common import WHITE_SPACE, hex_sha256, pieces, restrict
 
 #: Bytes of a text that lead its sort key; the digest of the whole text follows.
 HEAD_BYTES = 32
@@ -142,5 +142,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops; of rows that repeat a doc_id, one stays."""
-    return restrict(docs, exact_dedup(docs).filter("kept"))
+    """docs without the rows that exact_dedup drops; of rows that share doc_id and normalised text, one stays."""
+    content = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE_SPACE.decode(), "")
+    return restrict(docs, exact_dedup(docs).filter("kept").withColumnRenamed("text_sha256", "digest"), hex_sha256(content))
