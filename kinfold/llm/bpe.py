@@ -179,6 +179,12 @@ def _encoded(cache: WordCache, text: str) -> tuple[list[int], int]:
     return ids, len(ids)
 
 
+def _encoded_decoded(cache: WordCache, text: str) -> tuple[list[int], int, str]:
+    found = [x for w in cache._tokenizer.words(text) if (x := cache[w])[0]]
+    ids = [int(i) for x in found for i in x[0].split(" ")]
+    return ids, len(ids), sha256(" ".join([x[1] for x in found]).encode()).hexdigest()
+
+
 def _digest(cache: WordCache, text: str) -> tuple[int, str, str]:
     found = [x for w in cache._tokenizer.words(text) if (x := cache[w])[0]]
     ids, decoded = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
@@ -205,6 +211,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return _inputs(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
 
 
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+    """encode, and decoded_sha256 of the text that decode makes of the ids."""
+    fields = [("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("decoded_sha256", pa.string())]
+    run = _per_text(_spec(docs.sparkSession, path), fields, _encoded_decoded)
+    return _inputs(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text: the tokens of ids joined by a space. Null ids give an empty text, unknown ones are left out."""
     spec = _spec(encoded.sparkSession, path)
