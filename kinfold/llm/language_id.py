@@ -22,10 +22,9 @@ from kinfold.llm.common import pieces
 
 #: Rows of each language that the classifier is fitted on, at most; chosen by a hash of their doc_id.
 SAMPLE_ROWS = 600
-#: Rows of all languages together, at most; with many languages each has fewer.
+#: Rows of all languages together, at most; with many languages each has fewer, but LEAST_ROWS.
 ALL_SAMPLE_ROWS = 20_000
-#: Languages that can be learned: those with the most rows.
-MAX_LANGUAGES = 200
+LEAST_ROWS = 30
 CENTROIDS = 4
 #: Hash buckets of trigrams.
 DIMENSIONS = 4096
@@ -123,15 +122,15 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the rows of docs whose lang isn't null, whose text has a letter and that aren't held out.
 
-    About 1.3 times sample_rows rows of each of MAX_LANGUAGES languages reach the driver, as
+    About 1.3 times sample_rows rows of every language reach the driver, as
     sparse counts, and sample_rows are used; a hash of doc_id chooses them. Without labelled rows the model knows no language.
     """
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")) & ~held_out(F.col("doc_id")))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return fit_model([], np.zeros((0, DIMENSIONS), np.float32))
-    sample_rows = max(1, min(sample_rows, ALL_SAMPLE_ROWS // len(sizes)))
+    sample_rows = max(1, min(sample_rows, max(LEAST_ROWS, ALL_SAMPLE_ROWS // len(sizes))))
     mark = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000_000))
     # a third more than wanted, by a bound on the hash, so that nearly always enough rows are left
     bounds = {r["lang"]: min(1_000_000_000, max(1, int(1_300_000_000 * sample_rows / r["count"]))) for r in sizes}
