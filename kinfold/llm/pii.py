@@ -73,10 +73,10 @@ def marks(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("body"))
 
     def of_kind(k: int, kind: str) -> Column:
-        found = spans.find(F.col("body"), PATTERNS[kind], _KEEP.get(kind))
+        found = spans.find(F.col("body"), PATTERNS[kind], _KEEP.get(kind), context=True)
         return F.transform(found, lambda s: F.struct(F.lit(k).alias("order"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), _context(s["before"]).alias("pattern"), s["value"].alias("instance")))
 
-    tokens = spans.find(F.col("body"), _IDENTIFIER, lambda match, _: F.length(match) >= LEAST_CHARS)
+    tokens = spans.find(F.col("body"), _IDENTIFIER, lambda match, _: F.length(match) >= LEAST_CHARS, context=True)
     tokens = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), _context(s["before"]).alias("pattern"), s["value"].alias("instance")))
     return rows.select("doc_id", F.unhex(hex_sha256("body")).alias("digest"), F.concat(*[of_kind(k, kind) for k, kind in enumerate(KINDS)]).alias("base"), tokens.alias("tokens"))
 

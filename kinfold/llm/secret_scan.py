@@ -1,22 +1,28 @@
 """Secret scanning over an incremental ledger of blobs.
 
-Every version of every path is addressed by the SHA-256 of its content. The ledger has a row
-for each blob and rule version that was ever scanned, with the spans found. A run scans only
-the pairs of blob and rule version that the ledger lacks, each blob once however many paths
-hold it, and joins the spans back to all paths. Only DataFrame functions are used.
+Every version of every path is addressed by the SHA-256 of its content. The ledger tells of each
+blob which rule versions have scanned it and what they found. A run scans only the pairs of blob
+and rule version that the ledger lacks, each blob once however many paths hold it, appends them,
+and joins the spans back to all paths. Only DataFrame functions are used.
+
+A run that fails leaves the ledger without its rows or, at worst, with some of them; run again, it
+scans what is still missing. Pairs that two runs added at the same time count once.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import spans
-from kinfold.llm.common import hex_sha256, stored
+from kinfold.llm.common import hex_sha256, shared_dir, stored
 
-LEDGER_SCHEMA = "blob_id binary, kind string, version int, spans array<struct<start:int,stop:int>>"
+#: A row for each blob and run that scanned it: the rule versions of that run and their spans.
+LEDGER_SCHEMA = "blob_id binary, labels array<string>, spans array<struct<label:string,start:int,stop:int>>"
+_SPANS = "array<struct<label:string,start:int,stop:int>>"
 
 
 @dataclass(frozen=True)
@@ -35,7 +41,7 @@ class Rule:
 
     def spans(self, text: Column) -> Column:
         found = spans.find(text, self.pattern, lambda _, part: F.length(part) >= self.least, self.group)
-        return F.transform(found, lambda s: F.struct(s["start"], s["stop"]))
+        return F.transform(found, lambda s: F.struct(F.lit(self.label).alias("label"), s["start"], s["stop"]))
 
 
 #: The contract's kinds, in its order. A run of hexadecimal digits is tried at its first digit only.
@@ -60,73 +66,94 @@ def blobs(versions: DataFrame) -> DataFrame:
     return found.groupBy("blob_id").agg(F.first("content").alias("content"))
 
 
-def scan_blobs(found: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """blob_id and, for each rule, its spans; null where the ledger has the pair of blob and rule version."""
-    if ledger is None:
-        return found.select("blob_id", *[r.spans(F.col("content")).alias(r.kind) for r in rules])
-    labels = [r.label for r in rules]
-    done = ledger.select("blob_id", F.concat_ws(":", "kind", "version").alias("label")).filter(F.col("label").isin(labels))
-    done = done.groupBy("blob_id").agg(F.collect_set("label").alias("done"))  # one entry for each rule at most
-    due = found.join(done, "blob_id", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
-    due = due.filter(F.size("done") < len(rules))
-    return due.select("blob_id", *[F.when(~F.array_contains("done", r.label), r.spans(F.col("content"))).alias(r.kind) for r in rules])
+def _labels(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*[F.lit(r.label) for r in rules]).cast("array<string>")
+
 
+def unseen(found: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob_id, content, labels: the blobs of found that some rule version hasn't scanned, and which."""
+    done = ledger.groupBy("blob_id").agg(F.flatten(F.collect_list("labels")).alias("done"))  # an entry for each rule version
+    due = F.array_except(_labels(rules), F.coalesce("done", F.array().cast("array<string>")))
+    return found.join(done, "blob_id", "left").select("blob_id", "content", due.alias("labels")).filter(F.size("labels") > 0)
 
-def ledger_rows(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that scanned adds to the ledger: also those of blobs in which nothing was found."""
-    each = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules]))
-    return scanned.select("blob_id", each.alias("row")).select("blob_id", "row.*").filter(F.col("spans").isNotNull())
+
+def scan_blobs(due: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's rows of unseen blobs: also of those in which nothing is found."""
+    none = F.array().cast(_SPANS)
+    each = [F.when(F.array_contains("labels", r.label), r.spans(F.col("content"))).otherwise(none) for r in rules]
+    return due.select("blob_id", "labels", F.concat(none, *each).alias("spans"))
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob_id and the spans of each rule, of the rule versions given, from the ledger's rows."""
-    current = [F.first(F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.col("spans")), ignorenulls=True).alias(r.kind) for r in rules]
-    return ledger.groupBy("blob_id").agg(*current)
+    """blob_id and the spans of the given rule versions, of every blob of the ledger."""
+    every = F.array_distinct(F.flatten(F.collect_list("spans")))
+    found = ledger.groupBy("blob_id").agg(every.alias("spans"))
+    return found.select("blob_id", F.filter("spans", lambda s: F.array_contains(_labels(rules), s["label"])).alias("spans"))
 
 
-def on_paths(versions: DataFrame, by_blob: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of versions, without its content, with blob_id and the spans of each rule."""
+def on_paths(versions: DataFrame, by_blob: DataFrame) -> DataFrame:
+    """Every row of versions with blob_id and the other columns of by_blob, without its content."""
     content = F.coalesce(F.col("content").cast("string"), F.lit(""))
-    paths = versions.withColumn("blob_id", F.unhex(hex_sha256(content))).drop("content")
-    return paths.join(by_blob, "blob_id", "left")
+    paths = versions.withColumn("blob_id", F.unhex(hex_sha256(content)))
+    return paths.drop("content", *[c for c in by_blob.columns if c != "blob_id"]).join(by_blob, "blob_id", "left")
 
 
-def open_ledger(spark: SparkSession, path: str) -> None:
-    """Start an empty ledger at path."""
-    spark.createDataFrame([], LEDGER_SCHEMA).write.parquet(path)
+def open_ledger(spark: SparkSession, path: str | None = None) -> str:
+    """Start an empty ledger, in the shared folder if path isn't given; its path."""
+    path = path or f"{shared_dir(spark)}/ledgers/{uuid.uuid4().hex}"
+    columns = [c.split(" ", 1) for c in LEDGER_SCHEMA.split(", ")]
+    spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns]).write.parquet(path)
+    return path
 
 
-def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Bring the ledger at ledger_path up to date with versions (content, any others) and join it to them."""
-    spark = versions.sparkSession
-    read = lambda: spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path)
-    ledger_rows(scan_blobs(blobs(versions), rules, read()), rules).write.mode("append").parquet(ledger_path)
-    return on_paths(versions, findings(read(), rules), rules)
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
-def _ordered(rules: tuple[Rule, ...]) -> Column:
-    """All spans of a blob's rule columns as struct(start, order, kind, stop), sorted."""
+def update(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger at ledger_path lacks of versions, append it, and return the ledger."""
+    spark = versions.sparkSession
+    due = unseen(blobs(versions), read_ledger(spark, ledger_path), rules)
+    scan_blobs(due, rules).write.mode("append").parquet(ledger_path)
+    return read_ledger(spark, ledger_path)
 
-    def tagged(k: int, rule: Rule) -> Column:
-        return F.transform(rule.kind, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("order"), F.lit(rule.kind).alias("kind"), s["stop"].alias("stop")))
 
-    return F.array_sort(F.concat(*[tagged(k, r) for k, r in enumerate(rules)]))
+def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Bring the ledger up to date with versions (content, any others) and join its findings to them.
+
+    A row for every row of versions: its columns but content, blob_id, and spans (array of
+    struct(label, start, stop) by the rules given). A null content counts as empty; repeated rows
+    are each returned; of an input with columns named blob_id or spans those are replaced; an
+    empty table gives an empty result and adds nothing to the ledger.
+    """
+    # written, so that the join has two plain exchanges, of which Spark splits that of a hot blob
+    return on_paths(versions, stored(findings(update(versions, ledger_path, rules), rules)))
 
 
-def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scan docs (doc_id, text, any others) with an empty ledger; one row for every row of docs.
+def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger_path: str | None = None) -> DataFrame:
+    """Scan docs (doc_id, text, any others) through the ledger at ledger_path, or through a new one.
 
-    Returns doc_id, n_<kind> of the base kinds, base_sha256, spans. A null text counts as
-    empty. Null and repeated doc_ids are carried along; an empty table gives an empty result.
+    One row for every row of docs: doc_id, n_<kind> of the base kinds, base_sha256, spans. A null
+    text counts as empty. Null and repeated doc_ids are carried along; an empty table gives an
+    empty result.
     """
     versions = docs.select("doc_id", F.col("text").alias("content"))
-    by_blob = scan_blobs(blobs(versions), rules)
+    ledger = update(versions, ledger_path or open_ledger(docs.sparkSession), rules)
     base = tuple(r for r in rules if r in BASE_RULES)
-    digests = by_blob.select(
+
+    def sorted_spans(of: tuple[Rule, ...]) -> Column:
+        own = F.filter("spans", lambda s: F.array_contains(_labels(of), s["label"]))
+        tagged = F.transform(own, lambda s: F.struct(s["start"].alias("start"), F.array_position(_labels(rules), s["label"]).alias("order"), F.substring_index(s["label"], ":", 1).alias("kind"), s["stop"].alias("stop")))
+        return spans.joined(F.array_sort(tagged))
+
+    digests = findings(ledger, rules).select(
         "blob_id",
-        *[F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in base],
-        hex_sha256(spans.joined(_ordered(base))).alias("base_sha256"),
-        spans.joined(_ordered(rules)).alias("spans"),
+        *[F.size(F.filter("spans", _labelled(r))).cast("long").alias(f"n_{r.kind}") for r in base],
+        hex_sha256(sorted_spans(base)).alias("base_sha256"),
+        sorted_spans(rules).alias("spans"),
     )
-    # written, so that the join has two plain exchanges, of which Spark splits that of a hot blob
     return on_paths(versions, stored(digests)).drop("blob_id")
+
+
+def _labelled(rule: Rule):
+    return lambda s: s["label"] == rule.label

@@ -20,18 +20,18 @@ def _ends(lengths: Column) -> Column:
     return F.flatten(F.zip_with(parts, F.slice(bases, F.lit(1), F.size(parts)), within))
 
 
-def find(text: Column, pattern: str, keep: Callable[[Column, Column], Column] | None = None, group: int = 0) -> Column:
+def find(text: Column, pattern: str, keep: Callable[[Column, Column], Column] | None = None, group: int = 0, context: bool = False) -> Column:
     """array of struct(start, stop, value, before) of the leftmost non-overlapping matches of pattern.
 
-    start and stop count code points; value is the match, before the text between the last
-    match and this one. keep, given the match and its group, says which matches stay. The text
+    start and stop count code points; value is the match; before, only with context, the text
+    between the last match and this one. keep, given the match and its group, says which matches stay. The text
     must not be null; the pattern must not match the empty string.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # between and around n matches lie n + 1 pieces
     pieces = F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(b.alias("before"), m.alias("value")))
-    stops = _ends(F.transform(both, lambda x: (F.length(x["before"]) + F.length(x["value"])).cast("int")))
+    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("gap"), (b if context else F.lit(None).cast("string")).alias("before"), m.alias("value")))
+    stops = _ends(F.transform(both, lambda x: (x["gap"] + F.length(x["value"])).cast("int")))
     found = F.zip_with(both, stops, lambda x, stop: F.struct((stop - F.length(x["value"])).cast("int").alias("start"), stop.alias("stop"), x["value"].alias("value"), x["before"].alias("before")))
     if group:
         groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))

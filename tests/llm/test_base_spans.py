@@ -64,19 +64,48 @@ def test_empty_table_and_repeats(spark):
 
 
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
-    path = str(tmp_path / "ledger")
-    secret_scan.open_ledger(spark, path)
+    path = secret_scan.open_ledger(spark, str(tmp_path / "ledger"))
     rules = secret_scan.BASE_RULES
     first = spark.createDataFrame([("a", 1, "token=abcdefg"), ("b", 1, "token=abcdefg"), ("c", 1, None)], "path string, version int, content string")
     found = secret_scan.scan(first, path, rules)
-    assert {(r["path"], len(r["assign"])) for r in found.collect()} == {("a", 1), ("b", 1), ("c", 0)}
-    ledger = lambda: spark.read.schema(secret_scan.LEDGER_SCHEMA).parquet(path)
-    assert ledger().count() == 2 * len(rules)
+    assert {(r["path"], *[(s["label"], s["start"], s["stop"]) for s in r["spans"]]) for r in found.collect()} == {("a", ("assign:1", 0, 13)), ("b", ("assign:1", 0, 13)), ("c",)}
+    ledger = lambda: secret_scan.read_ledger(spark, path)
+    assert ledger().count() == 2
+    secret_scan.scan(first, path, rules)  # as after a failure: nothing is scanned or added again
+    assert secret_scan.unseen(secret_scan.blobs(first), ledger(), rules).count() == 0 and ledger().count() == 2
     more = first.union(spark.createDataFrame([("a", 2, "AKIA" + "A" * 16)], first.schema))
-    unseen = secret_scan.scan_blobs(secret_scan.blobs(more), rules, ledger())
-    assert unseen.count() == 1  # only the new blob
+    due = secret_scan.unseen(secret_scan.blobs(more), ledger(), rules).collect()
+    assert [r["content"] for r in due] == ["AKIA" + "A" * 16]  # only the new blob
     secret_scan.scan(more, path, rules).count()
-    assert ledger().count() == 3 * len(rules)
+    assert ledger().count() == 3
     newer = (secret_scan.Rule("assign", 2, rules[0].pattern, 2, 1), *rules[1:])
-    again = secret_scan.ledger_rows(secret_scan.scan_blobs(secret_scan.blobs(more), newer, ledger()), newer)
-    assert {(r["kind"], r["version"]) for r in again.collect()} == {("assign", 2)} and again.count() == 3
+    due = secret_scan.unseen(secret_scan.blobs(more), ledger(), newer)
+    assert {tuple(r["labels"]) for r in due.collect()} == {("assign:2",)} and due.count() == 3
+    found = {(r["path"], r["version"]): [s["label"] for s in r["spans"]] for r in secret_scan.scan(more, path, newer).collect()}
+    assert found == {("a", 1): ["assign:2"], ("b", 1): ["assign:2"], ("c", 1): [], ("a", 2): ["access:1"]}
+    # the old version's spans are still there for who asks for it, and pairs added twice count once
+    secret_scan.read_ledger(spark, path).write.mode("append").parquet(path + "2")
+    secret_scan.read_ledger(spark, path).write.mode("append").parquet(path + "2")
+    old = {(r["path"], r["version"]): [s["label"] for s in r["spans"]] for r in secret_scan.scan(more, path + "2", rules).collect()}
+    assert old == {("a", 1): ["assign:1"], ("b", 1): ["assign:1"], ("c", 1): [], ("a", 2): ["access:1"]}
+
+
+def test_query_goes_through_the_ledger(spark, tmp_path):
+    path = secret_scan.open_ledger(spark, str(tmp_path / "ledger"))
+    docs = spark.createDataFrame([(1, "token=abcdefg"), (2, "x"), (3, "x")], "doc_id long, text string")
+    plain = secret_scan.scan_documents(docs).collect()
+    assert sorted(secret_scan.scan_documents(docs, ledger_path=path).collect()) == sorted(plain)
+    assert secret_scan.read_ledger(spark, path).count() == 2
+    # what the ledger says is believed: the rows of a blob that it has come from there
+    other = str(tmp_path / "other")
+    marked = secret_scan.read_ledger(spark, path).selectExpr("blob_id", "labels", "array(named_struct('label', 'hex:1', 'start', 7, 'stop', 9)) AS spans")
+    marked.write.parquet(other)
+    assert {r["spans"] for r in secret_scan.scan_documents(docs, ledger_path=other).collect()} == {"hex:7:9"}
+
+
+def test_names_that_clash(spark, tmp_path):
+    path = secret_scan.open_ledger(spark, str(tmp_path / "ledger"))
+    rows = spark.createDataFrame([("a", "token=abcdefg", 1, 2, 3)], "path string, content string, blob_id int, spans int, labels int")
+    found = secret_scan.scan(rows, path)
+    assert sorted(found.columns) == ["blob_id", "labels", "path", "spans"] and found.first()["labels"] == 3
+    assert secret_scan.scan(rows.limit(0), path).count() == 0
