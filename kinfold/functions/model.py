@@ -24,9 +24,9 @@ EMIT_SINGLE = (
 )
 STRONG_GROUPS = ("STA", "NEQK", "NHQK", "NDEQ", "QHRK", "MILV", "MILF", "HY", "FYW")
 WEAK_GROUPS = ("CSA", "ATV", "SAG", "STNK", "STPA", "SGND", "SNDEQK", "NDEQHK", "NEHQRK", "FVLIM", "HFY")
-#: Gap open and extension of each matrix code; a code of None stands for any other.
-GAP_COSTS = {160: (-22.0, -1.0), 200: (-22.0, -1.0), 4: (-22.15, -1.5), 1000: (-4.0, -0.25)}
-MATRIX_CODES = {"gonnet_160": 160, "vtml_200": 200, "nuc_simple": 4, "custom": 1000}
+#: Gap open and extension that go with each matrix; a matrix of another name brings its own.
+GAP_COSTS = {160: (-22.0, -1.0), 200: (-22.15, -1.5), 4: (-4.0, -0.25)}
+MATRIX_CODES = {"gonnet_160": 160, "vtml_200": 200, "nuc_simple": 4}
 CLASS_PRIORS = (0.22, 0.17, 0.21, 0.4)
 #: Strategy (posterior model, tree linkage, consistency weighting) of each class; any other class uses the last.
 STRATEGIES = {0: (0, 1, 1), 1: (1, 0, 1), 2: (2, 0, 0)}
@@ -37,19 +37,38 @@ CUTOFF = 0.01
 UNKNOWN_PAIR, UNKNOWN_SINGLE = 1e-10, 1e-5
 
 
+def matrix_name(which: int | str) -> str:
+    """The name of a matrix given by name or code; other codes are an error."""
+    names = {code: name for name, code in MATRIX_CODES.items()}
+    if isinstance(which, str):
+        return which
+    if which not in names:
+        raise ValueError(f"no matrix has the code {which}")
+    return names[which]
+
+
+def gap_costs(which: int | str) -> tuple[float, float]:
+    """Gap open and extension of a matrix given by name or code."""
+    name = matrix_name(which)
+    if name not in MATRIX_CODES:
+        raise ValueError(f"the gap costs of {name} must be given")
+    return GAP_COSTS[MATRIX_CODES[name]]
+
+
 def strategy_of(cls: int) -> tuple[int, int, int]:
     return STRATEGIES.get(cls, OTHER_STRATEGY)
 
 
 @dataclass(frozen=True)
 class ScoreMatrix:
-    """Symmetric scores of letter pairs; a pair with an unknown letter scores 0."""
+    """Symmetric scores of letter pairs, and gap costs; a pair with an unknown letter scores 0."""
 
     letters: str
     scores: dict[tuple[str, str], float] = field(hash=False)
+    gaps: tuple[float, float] = GAP_COSTS[160]
 
     @classmethod
-    def from_triangle(cls, letters: str, values: list[float]) -> ScoreMatrix:
+    def from_triangle(cls, letters: str, values: list[float], gaps: tuple[float, float] = GAP_COSTS[160]) -> ScoreMatrix:
         """values: the lower triangle with the diagonal, row by row."""
         if len(values) != len(letters) * (len(letters) + 1) // 2:
             raise ValueError("the triangle doesn't fit the letters")
@@ -57,7 +76,7 @@ class ScoreMatrix:
         for i, x in enumerate(letters):
             for y in letters[: i + 1]:
                 found[x, y] = found[y, x] = float(next(at))
-        return cls(letters, found)
+        return cls(letters, found, gaps)
 
     @classmethod
     def by_groups(cls) -> ScoreMatrix:
@@ -67,9 +86,9 @@ class ScoreMatrix:
 
     @classmethod
     def nucleotides(cls) -> ScoreMatrix:
-        """1 for equal A, C or G, else 0; T and U count as each letter does in the plain nucleotide matrix."""
+        """1 for equal A, C, G, T or U, else 0."""
         letters = "ABCDGHKMNRSTUVWXY"
-        return cls(letters, {(x, y): float(x == y and x in "ACG") for x in letters for y in letters})
+        return cls(letters, {(x, y): float(x == y and x in "ACGTU") for x in letters for y in letters}, GAP_COSTS[4])
 
     def table(self, a: str, b: str) -> np.ndarray:
         get = self.scores.get

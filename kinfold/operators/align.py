@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.functions.model import CUTOFF, GAP_COSTS, PairModel, ScoreMatrix
+from kinfold.functions.model import CUTOFF, PairModel, ScoreMatrix
 from kinfold.operators import sparse
 from kinfold.operators.boltzmann import partition_posterior
 from kinfold.operators.hmm import expected_counts, local_posterior, posterior, viterbi
@@ -21,6 +21,7 @@ from kinfold.operators.pairs import all_pairs
 from kinfold.operators.progressive import progressive, refine
 from kinfold.operators.trace import best_trace, distance
 from kinfold.operators.tree import build_tree, merge_order, weights
+from kinfold.sources.shared import stored
 
 CONSISTENCY_ROUNDS = 2
 DEFAULT_STRATEGY = (3, 0, 0)
@@ -33,8 +34,7 @@ _ALIGNED = "family string, label int, row int, header string, residues string"
 def pair_posterior(a: str, b: str, s1: int, model: PairModel, matrix: ScoreMatrix) -> np.ndarray:
     """s1: 0 pair-HMM, 1 partition function, 2 both, 3 both and the local model, by root mean square."""
     kinds = {0: "h", 1: "p", 2: "hp"}.get(s1, "hpl")
-    opening, longer = GAP_COSTS[160]
-    make = {"h": lambda: posterior(a, b, model), "p": lambda: partition_posterior(a, b, matrix, opening, longer), "l": lambda: local_posterior(a, b, model)}
+    make = {"h": lambda: posterior(a, b, model), "p": lambda: partition_posterior(a, b, matrix, *matrix.gaps), "l": lambda: local_posterior(a, b, model)}
     found = [make[k]() for k in kinds]
     return found[0] if len(found) == 1 else np.sqrt(sum(x * x for x in found) / len(found))
 
@@ -138,11 +138,12 @@ def merge_families(sequences: DataFrame, cells: DataFrame, tree: DataFrame, s1:
     return rows.unionByName(nodes).groupBy("family").cogroup(packed.groupBy("family")).applyInPandas(run, _ALIGNED)
 
 
-def align(sequences: DataFrame, strategy: tuple[int, int, int] = DEFAULT_STRATEGY, model: PairModel | None = None, matrix: ScoreMatrix | None = None, keep_order: bool = True, hold=lambda df: df.persist()) -> DataFrame:
+def align(sequences: DataFrame, strategy: tuple[int, int, int] = DEFAULT_STRATEGY, model: PairModel | None = None, matrix: ScoreMatrix | None = None, keep_order: bool = True, hold=stored) -> DataFrame:
     """Align every family of sequences (family, label from 0, header, residues).
 
     strategy is s1 (posterior model), s2 (linkage) and s3 (weighted consistency). hold keeps a
-    table that is used more than once; on a cluster it may write and read it.
+    table that is used more than once: it is written to the shared folder, so that a lost executor
+    costs no pair kernel again; sources.shared.forget_tables deletes such tables.
     """
     s1, s2, s3 = strategy
     scored = hold(score_pairs(all_pairs(sequences), model, matrix, s1))

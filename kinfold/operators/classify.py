@@ -7,16 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.residues import PAD_LENGTH, padded, tokens
-from kinfold.operators.evaluate import fold, strategy_columns, strategy_vote
+from kinfold.operators.evaluate import strategy_columns, strategy_vote
 from kinfold.operators.pairs import classifier_pairs
 
 CLASSES = 4
 LETTERS = 21
-FOLDS, PATIENCE, EPOCHS = 4, 20, 30
+FOLDS, PATIENCE, EPOCHS, SEED = 4, 20, 30, 929
 
 #: Classes of the pairs of a pandas frame (res_a, res_b).
 Classifier = Callable[[pd.DataFrame], np.ndarray]
@@ -53,7 +53,7 @@ class SoftmaxClassifier:
         return (self.features(frame) @ self.weights).argmax(axis=1)
 
 
-def fit(rows: pd.DataFrame, classes: int = CLASSES, epochs: int = 300, rate: float = 0.1, seed: int = 929) -> SoftmaxClassifier:
+def fit(rows: pd.DataFrame, classes: int = CLASSES, epochs: int = 300, rate: float = 0.1, seed: int = SEED) -> SoftmaxClassifier:
     """rows: res_a, res_b, cls, held (whether a row only decides when to stop). A bounded sample, as a frame."""
     raw = np.stack([letter_shares(a, b) for a, b in zip(rows["res_a"], rows["res_b"], strict=True)])
     model = SoftmaxClassifier(np.zeros((raw.shape[1] + 1, classes)), raw.mean(axis=0), np.where(raw.std(axis=0) > 1e-6, raw.std(axis=0), 1.0))
@@ -76,15 +76,17 @@ def fit(rows: pd.DataFrame, classes: int = CLASSES, epochs: int = 300, rate: flo
 
 
 def cross_validated(pairs: DataFrame, sample_rows: int = 20_000) -> tuple[list[float], SoftmaxClassifier]:
-    """Accuracy on each of FOLDS folds, each with a fresh model, and a model of all rows.
+    """Accuracy on each of FOLDS folds with like shares of the classes, each with a fresh model, and a model of all rows.
 
-    pairs: res_a, res_b, cls. At most about sample_rows rows, chosen by hash, reach the driver.
+    pairs: res_a, res_b, cls. Equal rows count once. About sample_rows rows, chosen by hash, reach the driver.
     """
-    n = max(1, pairs.count())
+    known = pairs.select("res_a", "res_b", "cls").dropna().distinct()
+    n = max(1, known.count())
     key = F.concat_ws("-", "res_a", "res_b")
     share = min(1_000_000, int(1_000_000 * sample_rows / n) + 1)
-    chosen = pairs.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < share)
-    rows = chosen.select("res_a", "res_b", "cls", fold(key, FOLDS).alias("fold")).orderBy("res_a", "res_b").toPandas()
+    chosen = known.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1_000_000)) < share)
+    order = Window.partitionBy("cls").orderBy(F.xxhash64(key, F.lit(SEED)), "res_a", "res_b")
+    rows = chosen.select("res_a", "res_b", "cls", ((F.row_number().over(order) - 1) % FOLDS).alias("fold")).orderBy("res_a", "res_b", "cls").toPandas()
     scores = []
     for k in range(FOLDS):
         train, test = rows[rows["fold"] != k], rows[rows["fold"] == k]
@@ -94,6 +96,18 @@ def cross_validated(pairs: DataFrame, sample_rows: int = 20_000) -> tuple[list[f
     return scores, fit(rows.assign(held=np.arange(len(rows)) % 5 == 0))
 
 
+def save(spark: SparkSession, model: SoftmaxClassifier, path: str) -> None:
+    """The model as a small Parquet table: a row for each feature."""
+    last = len(model.weights) - 1
+    rows = [(k, [float(w) for w in model.weights[k]], float(model.mean[k]) if k < last else None, float(model.spread[k]) if k < last else None) for k in range(last + 1)]
+    spark.createDataFrame(rows, "feature int, weights array<double>, mean double, spread double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> SoftmaxClassifier:
+    rows = spark.read.parquet(path).orderBy("feature").collect()
+    return SoftmaxClassifier(np.array([r["weights"] for r in rows]), np.array([r["mean"] for r in rows[:-1]]), np.array([r["spread"] for r in rows[:-1]]))
+
+
 def classify(pairs: DataFrame, classifier: Classifier) -> DataFrame:
     """pairs (family, a, b, res_a, res_b) with cls."""
 

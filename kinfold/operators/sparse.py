@@ -36,16 +36,24 @@ def dense(cells: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _products(cells: DataFrame, weights: DataFrame | None) -> DataFrame:
-    """Sums over third sequences z of p(x, z) p(z, y), for stored cells of (x, y) alone."""
+    """Sums over third sequences z of p(x, z) p(z, y), for stored cells of (x, y) alone.
+
+    The stored columns of a row i of (x, y) travel with it, and so do the cells of a residue k of z
+    in y; a product outside of what is stored is never made. Both arrays are bounded by the length
+    of y.
+    """
     both = symmetric(cells)
-    xz = both.select("family", F.col("a").alias("x"), F.col("b").alias("z"), F.col("i").alias("i"), F.col("j").alias("k"), F.col("p").alias("p"))
-    zy = both.select("family", F.col("a").alias("z"), F.col("b").alias("y"), F.col("i").alias("k"), F.col("j").alias("j"), F.col("p").alias("q"))
+    wanted = cells.groupBy("family", F.col("a").alias("x"), F.col("b").alias("y"), "i").agg(F.collect_set("j").alias("js"))
+    xz = both.select("family", F.col("a").alias("x"), F.col("b").alias("z"), "i", F.col("j").alias("k"), "p")
+    zy = both.select("family", F.col("a").alias("z"), F.col("b").alias("y"), F.col("i").alias("k"), "j", F.col("p").alias("q"))
     if weights is not None:
         zy = zy.join(weights.select("family", F.col("label").alias("z"), F.col("w").alias("wz")), ["family", "z"]).withColumn("q", F.col("q") * F.col("wz")).drop("wz")
-    # what a task makes of a residue column k is summed before it leaves the task
-    found = xz.join(zy, ["family", "z", "k"]).filter("x < y").select("family", F.col("x").alias("a"), F.col("y").alias("b"), "i", "j", (F.col("p") * F.col("q")).alias("s"))
-    support = cells.select(*KEYS)
-    return found.groupBy(*KEYS).agg(F.sum("s").alias("s")).join(support, KEYS, "left_semi")
+    zy = zy.groupBy("family", "z", "y", "k").agg(F.collect_list(F.struct("j", "q")).alias("to"))
+    met = xz.join(wanted, ["family", "x", "i"]).join(zy, ["family", "z", "y", "k"])
+    hits = F.filter("to", lambda c: F.array_contains("js", c["j"]))
+    found = met.select("family", "x", "y", "i", "p", F.explode(hits).alias("c"))
+    found = found.select("family", F.col("x").alias("a"), F.col("y").alias("b"), "i", F.col("c.j").alias("j"), (F.col("p") * F.col("c.q")).alias("s"))
+    return found.groupBy(*KEYS).agg(F.sum("s").alias("s"))
 
 
 def consistency(cells: DataFrame, sequences: DataFrame, weights: DataFrame | None = None, cutoff: float = CUTOFF) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinfold.functions import udfs
+from kinfold.functions.residues import TOKENS
 from kinfold.operators import align as A
 from kinfold.operators import classify as C
 from kinfold.operators.pairs import all_pairs
+from kinfold.plans.pair_queries import _PAIRS
 from kinfold.plans.registry import query
 from kinfold.sources import tables as T
 from kinfold.sources.parameters import feature_text
@@ -82,6 +85,26 @@ def classify_strategy(spark, sf_dir):
     return C.strategies(T.benchmark_sequences(spark, sf_dir), model)
 
 
-@query("classifier_input")
+@query(
+    "classifier_input",
+    f"""WITH {_PAIRS},
+    t AS (SELECT family, a, b, list_filter(list_transform(string_split(ra || '-' || rb, ''), lambda x: instr('{TOKENS}', x)), lambda k: k > 0) AS x FROM p)
+    SELECT family, a, b, array_to_string(list_concat(list_transform(range(greatest(0, 512 - len(x))), lambda k: 0), x[greatest(1, len(x) - 511):]), ' ') AS x FROM t""",
+)
 def classifier_input(spark, sf_dir):
-    return C.encoded(_pairs(spark, sf_dir)).select("family", "a", "b", "x")
+    return C.encoded(_pairs(spark, sf_dir)).select("family", "a", "b", F.array_join("x", " ").alias("x"))
+
+
+@query("udf_identity", f"WITH {_PAIRS} SELECT family, a, b, round(len(list_filter(range(1, least(length(ra), length(rb)) + 1), lambda k: ra[k] = rb[k])) / least(length(ra), length(rb)), 9) AS identity, round(ln(exp(a) + exp(b)), 9) AS total FROM p")
+def udf_identity(spark, sf_dir):
+    """The registered functions pair_identity and log_add, from SQL."""
+    udfs.register(spark)
+    return _pairs(spark, sf_dir).selectExpr("family", "a", "b", "round(pair_identity(res_a, res_b), 9) AS identity", "round(log_add(cast(a AS double), cast(b AS double)), 9) AS total")
+
+
+@query("udtf_posterior")
+def udtf_posterior(spark, sf_dir):
+    """posterior_partition by the table function posterior_cells, from SQL."""
+    udfs.register(spark)
+    _pairs(spark, sf_dir).createOrReplaceTempView("kinfold_pairs")
+    return spark.sql("SELECT family, a, b, i, j, p FROM kinfold_pairs, LATERAL posterior_cells(res_a, res_b, 1)")

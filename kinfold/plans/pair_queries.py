@@ -15,10 +15,11 @@ _PAIRS = f"""{_BENCH},
     p AS (SELECT x.family, x.label AS a, y.label AS b, x.residues AS ra, y.residues AS rb
           FROM b x JOIN b y ON x.family = y.family AND x.label < y.label)"""
 _DERIVED = f"""{_BENCH},
-    r AS (SELECT family, label, k AS at, residues[k] AS x FROM (SELECT *, unnest(range(1, least({T.CELL_RESIDUES}, length(residues)) + 1)) AS k FROM b)),
-    c AS (SELECT u.family, u.label AS a, v.label AS b, u.at AS i, v.at AS j,
+    r AS (SELECT family, label, k AS at, residues[k] AS x FROM (SELECT *, unnest(range(1, length(residues) + 1)) AS k FROM b)),
+    d AS (SELECT u.family, u.label AS a, v.label AS b, u.at AS i, v.at AS j,
                  CASE WHEN u.x = v.x THEN 0.5 ELSE 0.1 / (1 + abs(u.at - v.at)) END::DOUBLE AS p
-          FROM r u JOIN r v ON u.family = v.family AND u.label < v.label)"""
+          FROM r u JOIN r v ON u.family = v.family AND u.label < v.label),
+    c AS (SELECT * FROM d WHERE p >= {T.LEAST_CELL})"""
 _BOTH = f"{_DERIVED}, s AS (SELECT * FROM c UNION ALL SELECT family, b, a, j, i, p FROM c)"
 _MATRIX = ", ".join(f"('{x}', '{y}', {s})" for x, y, s in ScoreMatrix.by_groups().rows())
 
@@ -93,9 +94,9 @@ def nearest_pair(spark, sf_dir):
     return pairs.nearest(side("a").join(side("b"), "family").filter("a < b").select("family", "a", "b", d.alias("d")))
 
 
-@query("sparse_threshold", f"WITH {_DERIVED} SELECT family, a, b, i, j, round(p, 9) AS p FROM c WHERE p >= 0.03")
+@query("sparse_threshold", f"WITH {_DERIVED} SELECT family, a, b, i, j, round(p, 9) AS p FROM c WHERE p >= 0.05")
 def sparse_threshold(spark, sf_dir):
-    return _ids(_rounded(sparse.sparsify(T.derived_cells(spark, sf_dir), 0.03), "p"))
+    return _ids(_rounded(sparse.sparsify(T.derived_cells(spark, sf_dir), 0.05), "p"))
 
 
 @query("sparse_transpose", f"WITH {_DERIVED} SELECT family, b AS a, a AS b, j AS i, i AS j, round(p, 9) AS p FROM c")
@@ -109,11 +110,19 @@ def sparse_lookup(spark, sf_dir):
     return _ids(_rounded(sparse.lookup(sparse.sparsify(cells, 0.05), cells.drop("p")), "p"))
 
 
-@query("sparse_dense", f"WITH {_DERIVED} SELECT family, a, b, i, j, CASE WHEN p >= 0.05 THEN round(p, 9) ELSE 0 END AS p FROM c")
+@query(
+    "sparse_dense",
+    f"""WITH {_DERIVED},
+    g AS (SELECT u.family, u.label AS a, v.label AS b, u.at AS i, v.at AS j FROM r u JOIN r v ON u.family = v.family AND u.label < v.label)
+    SELECT family, a, b, i, count(*) AS columns, count(p) AS cells, round(sum(coalesce(p, 0)), 9) AS p, round(sum(coalesce(p, 0) * j), 6) AS pj
+    FROM g LEFT JOIN c USING (family, a, b, i, j) GROUP BY ALL""",
+)
 def sparse_dense(spark, sf_dir):
+    """The rows of the dense matrices of whole sequences, each summed up."""
     cells = T.derived_cells(spark, sf_dir)
-    sizes = cells.groupBy("family", "a", "b").agg(F.max("i").alias("len_a"), F.max("j").alias("len_b"))
-    return _ids(_rounded(sparse.dense(sparse.sparsify(cells, 0.05), sizes), "p"))
+    found = sparse.dense(cells, pairs.all_pairs(T.benchmark_sequences(spark, sf_dir)))
+    sums = [F.count("*").alias("columns"), F.count_if(F.col("p") > 0).alias("cells"), F.round(F.sum("p"), 9).alias("p"), F.round(F.sum(F.col("p") * F.col("j")), 6).alias("pj")]
+    return _ids(found.groupBy("family", "a", "b", "i").agg(*sums))
 
 
 def _consistency_sql(weight: str, self_term: str, size: str) -> str:

@@ -12,8 +12,11 @@ SCHEMA = "family string, label int, header string, residues string"
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """family (the file's name), content of each file; Spark skips hidden files."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("family"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
+    """family (that of a folder family=..., else the file's name), content of each file; Spark skips hidden files."""
+    name = F.input_file_name()
+    folder = F.url_decode(F.replace(F.regexp_extract(name, "/family=([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B")))
+    family = F.when(F.regexp_like(name, F.lit("/family=[^/]*/[^/]*$")), folder).otherwise(F.element_at(F.split(name, "/"), -1))
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(family.alias("family"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
     return files.filter(~F.startswith("family", F.lit(".")))
 
 
@@ -68,8 +71,12 @@ def fasta_texts(rows: DataFrame, order: str = "label") -> DataFrame:
 
 def write_fasta(rows: DataFrame, path: str, order: str = "label") -> None:
     """A folder for each family below path, with one FASTA file."""
-    texts = fasta_texts(rows, order).select(F.expr("rtrim('\n', text)").alias("value"), "family")
-    texts.write.mode("overwrite").partitionBy("family").text(path)
+    write_texts(fasta_texts(rows, order), path)
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """A folder for each family of texts (family, text) below path, with one file."""
+    texts.select(F.expr("rtrim('\n', text)").alias("value"), "family").write.mode("overwrite").partitionBy("family").text(path)
 
 
 class FastaSource(DataSource):
@@ -96,8 +103,9 @@ class _Reader(DataSourceReader):
     def partitions(self):
         from pathlib import Path
 
-        path = Path(self.path)
-        files = sorted(p for p in path.iterdir() if p.is_file() and p.name[0] not in "._") if path.is_dir() else [path]
+        path = Path(self.path.removeprefix("file:"))
+        shown = lambda p: not any(x[0] in "._" for x in p.relative_to(path).parts)
+        files = sorted(p for p in path.rglob("*") if p.is_file() and shown(p)) if path.is_dir() else [path]
         return [InputPartition(str(p)) for p in files] or [InputPartition("")]
 
     def read(self, partition):
@@ -105,12 +113,15 @@ class _Reader(DataSourceReader):
 
         if not partition.value:
             return
+        from urllib.parse import unquote
+
         path, header, parts, label = Path(partition.value), None, [], 0
+        family = unquote(path.parent.name[7:]) if path.parent.name.startswith("family=") else path.name
         for line in [*path.read_text().splitlines(), ">"]:
             if line.lstrip().startswith(">"):
                 if header is not None:
                     text = "".join("".join(parts).split()).replace(".", "-").upper()
-                    yield path.name, label, header, text.replace("-", "") if self.strip else text
+                    yield family, label, header, text.replace("-", "") if self.strip else text
                     label += 1
                 header, parts = line.lstrip()[1:].strip(), []
             elif header is not None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions.model import PairModel, ScoreMatrix
+from kinfold.functions.model import GAP_COSTS, PairModel, ScoreMatrix, gap_costs, matrix_name
+from kinfold.operators.evaluate import replace_last
 
 
 def _lines(spark: SparkSession, path: str) -> list[str]:
@@ -41,10 +44,31 @@ def write_model(spark: SparkSession, model: PairModel, path: str) -> None:
     spark.createDataFrame([(model_text(model).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_matrix(spark: SparkSession, path: str) -> ScoreMatrix:
+def read_matrix(spark: SparkSession, path: str, gaps: tuple[float, float] = GAP_COSTS[160]) -> ScoreMatrix:
     """A line of letters, then the lower triangle in any number of lines."""
     lines = _lines(spark, path)
-    return ScoreMatrix.from_triangle(lines[0].strip(), [float(x) for line in lines[1:] for x in line.replace(",", " ").split()])
+    return ScoreMatrix.from_triangle(lines[0].strip(), [float(x) for line in lines[1:] for x in line.replace(",", " ").split()], gaps)
+
+
+def write_matrix(spark: SparkSession, matrix: ScoreMatrix, path: str) -> None:
+    """The file that read_matrix reads."""
+    get = matrix.scores.get
+    lines = [matrix.letters, *[" ".join(f"{get((x, y), 0.0):g}" for y in matrix.letters[: i + 1]) for i, x in enumerate(matrix.letters)]]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def matrix(spark: SparkSession, which: int | str, folder: str | None = None, gaps: tuple[float, float] | None = None) -> ScoreMatrix:
+    """The matrix of a name or code (160, 200, 4), with its gap costs unless others are given.
+
+    The nucleotide matrix is built in; the others are files of their name in folder.
+    """
+    name = matrix_name(which)
+    gaps = gaps or gap_costs(name)
+    if name == matrix_name(4):
+        return replace(ScoreMatrix.nucleotides(), gaps=gaps)
+    if folder is None:
+        raise ValueError(f"the scores of {name} are a file: give its folder")
+    return read_matrix(spark, f"{folder}/{name}", gaps)
 
 
 def boltzmann_weights(matrix: DataFrame, temperature: float = 5.0) -> DataFrame:
@@ -62,6 +86,11 @@ def write_training(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws("-", "res_a", "res_b").alias("Seqs"), F.col("cls").alias("Class")).write.mode("overwrite").csv(path, header=True)
 
 
+def write_relabelled(rows: DataFrame, index: str, column: str, changes: DataFrame, path: str) -> None:
+    """The training CSV of rows (res_a, res_b, index, column) with column replaced by that of changes (index, column)."""
+    write_training(replace_last(rows, index, column, changes).withColumnRenamed(column, "cls"), path)
+
+
 def read_pids(spark: SparkSession, path: str) -> DataFrame:
     """family, pid from lines 'family, pid'."""
     return spark.read.csv(path, schema="family string, pid double", ignoreLeadingWhiteSpace=True)
@@ -74,6 +103,12 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter("line <> ''").select(cells[0].alias("family"), cells[1].cast("double").alias("tc"), cells[2].cast("double").alias("sp"), "row")
 
 
+def write_sheet(rows: DataFrame, path: str) -> None:
+    """family, tc, sp as a CSV without a header, in order of family; a sheet is a small file."""
+    lines = rows.select(F.concat_ws(",", "family", F.col("tc").cast("string"), F.col("sp").cast("string")).alias("value"), "family")
+    lines.coalesce(1).sortWithinPartitions("family").select("value").write.mode("overwrite").text(path)
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="idx int, y_true int, y_pred int")
 

@@ -9,8 +9,8 @@ from kinfold.functions.residues import from_text, letters
 
 #: Sequences of a derived family.
 FAMILY_SIZE = 4
-#: Residues of each sequence that derived cells cover.
-CELL_RESIDUES = 12
+#: Derived cells reach this; it leaves the cells of equal letters and those near the diagonal.
+LEAST_CELL = 0.03
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,12 +46,12 @@ def derived_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """family, a, b, i, j, p: 0.5 for equal letters, else 0.2 / (1 + |i - j|), halved, for the first residues of each pair."""
-    one = benchmark_sequences(spark, sf_dir).select("family", "label", F.posexplode(F.slice(letters(F.col("residues")), 1, CELL_RESIDUES)).alias("at", "x"))
+    """family, a, b, i, j, p of every pair: 0.5 for equal letters, else 0.1 / (1 + |i - j|), where that reaches LEAST_CELL."""
+    one = benchmark_sequences(spark, sf_dir).select("family", "label", F.posexplode(letters(F.col("residues"))).alias("at", "x"))
     a = one.select("family", F.col("label").alias("a"), (F.col("at") + 1).alias("i"), F.col("x"))
     b = one.select("family", F.col("label").alias("b"), (F.col("at") + 1).alias("j"), F.col("x").alias("y"))
     p = F.when(F.col("x") == F.col("y"), 0.5).otherwise(F.lit(0.1) / (1 + F.abs(F.col("i") - F.col("j"))))
-    return a.join(b, "family").filter("a < b").select("family", "a", "b", "i", "j", p.alias("p"))
+    return a.join(b, "family").filter("a < b").select("family", "a", "b", "i", "j", p.alias("p")).filter(F.col("p") >= LEAST_CELL)
 
 
 def label_weights(sequences: DataFrame) -> DataFrame:
