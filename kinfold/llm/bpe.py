@@ -52,6 +52,10 @@ class Tokenizer:
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if steps != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"unknown normalizer {steps}")
+        blank = spec["normalizer"]["normalizers"][1]
+        # words are parted by white space either way, so this step has nothing to do
+        if (blank["pattern"], blank["content"]) != ({"Regex": "\\s+"}, " "):
+            raise ValueError(f"unknown replacement {blank}")
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError("unknown pre-tokenizer")

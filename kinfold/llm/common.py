@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.sources.shared import new_path, shared_dir
+
 #: Deleted or split on wherever a contract speaks of white space: [\x20\x09-\x0D].
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -18,23 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinfold-"))
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint; for small intermediate results of loops."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back; for results used more than once."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+#: Paths of tables that the innermost scratch deletes.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes meanwhile, but those to be kept, are deleted at the end."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _scratch.pop()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read back; for results used more than once.
+
+    Outside of scratch, or with keep, the table stays; sources.shared.forget_tables deletes all of them.
+    """
+    path = new_path(df.sparkSession)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -63,20 +78,59 @@ def restrict(docs: DataFrame, ids: DataFrame, digest: Column | None = None) -> D
     return keyed.join(wanted, _KEY, "left_semi").dropDuplicates([_KEY]).select(*docs.columns)
 
 
+#: Bits of bitmaps that are broadcast; a fuller one only lets more through.
+BITMAP_BITS = 1 << 24
+
+
+def bitmap(places: DataFrame) -> DataFrame:
+    """bucket, bits: the bitmap of the column at, of fixed size, in buckets."""
+    return places.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+
+
+def marked_by(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows and the column there: false only if their mark isn't in wanted. A bitmap of fixed size tells, without a shuffle."""
+    place = F.pmod("mark", F.lit(BITMAP_BITS))
+    bits = bitmap(wanted.select(place.alias("at")))
+    placed = rows.withColumn("at", place).withColumn("bucket", F.bitmap_bucket_number("at")).withColumn("at", F.bitmap_bit_position("at"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1, F.lit(False))
+    return placed.join(F.broadcast(bits), "bucket", "left").select(*rows.columns, there.alias("there"))
+
+
 #: Bytes of Arrow data that a Python worker turns into objects at once; a longer row goes alone.
 PIECE_BYTES = 4 << 20
 
 
+def release() -> None:
+    """Hand memory that is no longer used back to the system; workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def _parts(data) -> Iterator:
+    """A record batch or array in parts of about PIECE_BYTES, in order."""
+    rows = len(data)
+    parts = [(0, rows)] if rows else []
+    while parts:
+        at, to = parts.pop()
+        part = data.slice(at, to - at)
+        if to - at > 1 and part.nbytes > PIECE_BYTES:
+            middle = (at + to) // 2
+            parts += [(middle, to), (at, middle)]
+        else:
+            yield part
+
+
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about PIECE_BYTES, so that a worker's memory does not follow Spark's batches."""
     for batch in batches:
-        rows = batch.num_rows
-        parts = [(0, rows)] if rows else []
-        while parts:
-            at, to = parts.pop()
-            piece = batch.slice(at, to - at)
-            if to - at > 1 and piece.nbytes > PIECE_BYTES:
-                middle = (at + to) // 2
-                parts += [(middle, to), (at, middle)]
-            else:
-                yield piece
+        yield from _parts(batch)
+    release()
+
+
+def slices(column: pa.Array) -> Iterator[pa.Array]:
+    """The same for the column of an Arrow UDF."""
+    yield from _parts(column)
+    release()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import pieces
+from kinfold.llm.common import pieces, slices
 
 #: 1: the token counts, 0: it is ignored.
 MASKS = ("1101100101", "1010011011", "1110010011", "1100111001")
@@ -206,17 +206,20 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that overlap with any item; rows are judged where they stand, without a shuffle."""
-    spark = docs.sparkSession
-    for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Index(items))
+def _is_clean(shared):
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([not shared.value.search(t) for part in slices(texts) for t in token_arrays(part.to_pylist())], pa.bool_())
 
-        @F.pandas_udf("boolean")
-        def clean(texts):
-            import pandas as pd
+    return F.arrow_udf(clean, "boolean")
 
-            return pd.Series([not shared.value.search(t) for t in token_arrays([None if x is None else str(x) for x in texts])], dtype=bool)
 
-        docs = docs.filter(clean(F.col("text").cast("string")))
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs (doc_id, text, any others) without the rows that overlap with any item of benchmark.
+
+    Rows are judged where they stand, without a shuffle, by their text alone: null and repeated
+    doc_ids and repeated rows are carried along. Null and empty texts stay. An empty benchmark
+    drops nothing; an empty table gives an empty result.
+    """
+    for items in _blocks(benchmark):
+        docs = docs.filter(_is_clean(docs.sparkSession.sparkContext.broadcast(Index(items)))(F.col("text").cast("string")))
     return docs

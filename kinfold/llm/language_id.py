@@ -18,9 +18,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import pieces
+from kinfold.llm.common import pieces, slices
 
-#: Rows of each language that the classifier is fitted on, at most; chosen by a hash of their doc_id.
+#: Rows of each language that the classifier is fitted on, at most; chosen by a hash of doc_id and text.
 SAMPLE_ROWS = 600
 #: Rows of all languages together, at most; with many languages each has fewer, but LEAST_ROWS.
 ALL_SAMPLE_ROWS = 20_000
@@ -122,20 +122,22 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the rows of docs whose lang isn't null, whose text has a letter and that aren't held out.
 
-    About 1.3 times sample_rows rows of every language reach the driver, as
-    sparse counts, and sample_rows are used; a hash of doc_id chooses them. Without labelled rows the model knows no language.
+    About 1.3 times sample_rows different rows of every language reach the driver, as sparse
+    counts, and sample_rows are used; a hash of doc_id and text chooses them. Repeated rows count
+    once. Without labelled rows the model knows no language.
     """
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")) & ~held_out(F.col("doc_id")))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    labelled = labelled.withColumn("mark", F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000_000)))
+    # repeated rows count once; a language of few different rows has them all
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("mark").alias("count")).orderBy("lang").collect()
     if not sizes:
         return fit_model([], np.zeros((0, DIMENSIONS), np.float32))
     sample_rows = max(1, min(sample_rows, max(LEAST_ROWS, ALL_SAMPLE_ROWS // len(sizes))))
-    mark = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000_000))
     # a third more than wanted, by a bound on the hash, so that nearly always enough rows are left
     bounds = {r["lang"]: min(1_000_000_000, max(1, int(1_300_000_000 * sample_rows / r["count"]))) for r in sizes}
     bound = F.element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("lang"))
-    chosen = labelled.withColumn("mark", mark).filter(F.col("mark") < bound).select("lang", "text", "mark")
+    chosen = labelled.filter(F.col("mark") < bound).select("lang", "text", "mark").dropDuplicates(["lang", "mark"])
     picked = chosen.mapInArrow(_sample_counts, "lang string, mark long, buckets array<int>, counts array<int>").collect()
     taken: dict[str, int] = dict.fromkeys(bounds, 0)
     labels, rows = [], []
@@ -149,6 +151,19 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return fit_model(labels, np.stack(rows)) if rows else fit_model([], np.zeros((0, DIMENSIONS), np.float32))
 
 
+def _judged(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether rejected, of each text."""
+    lang, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    known = [i for i, t in enumerate(texts) if model.languages and t and _LETTER.search(t)]
+    for at in range(0, len(known), 256):
+        part = known[at : at + 256]
+        of, near, out = model.predict(np.stack([term_counts(texts[i]) for i in part]))
+        score[part], rejected[part] = near, out
+        for i, k in zip(part, of, strict=True):
+            lang[i] = model.languages[k]
+    return lang, score, rejected
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of docs (doc_id, text, any others).
 
@@ -162,15 +177,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in pieces(batches):
-            texts = batch.column(2).to_pylist()
-            lang, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            known = [i for i, t in enumerate(texts) if model.languages and t and _LETTER.search(t)]
-            for at in range(0, len(known), 256):
-                part = known[at : at + 256]
-                of, near, out = model.predict(np.stack([term_counts(texts[i]) for i in part]))
-                score[part], rejected[part] = near, out
-                for i, k in zip(part, of, strict=True):
-                    lang[i] = model.languages[k]
+            lang, score, rejected = _judged(batch.column(2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=["doc_id", "held_out", "lang_pred", "score", "rejected"],
@@ -186,17 +193,15 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs without the rows that are rejected; rows are judged where they stand, without a shuffle."""
-    model = fit(docs, sample_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """docs (doc_id, text, lang, any others) without the rows that are rejected.
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        model = shared.value
-        out = np.zeros(len(texts), bool)
-        for i, t in enumerate(texts):
-            if model.languages and t and _LETTER.search(t):
-                out[i] = not model.predict(term_counts(t)[None, :])[2][0]
-        return texts.isna() & False | out
+    Rows are judged where they stand, without a shuffle, by their text alone: null and repeated
+    doc_ids and repeated rows are carried along. Null texts and texts without a letter go; without
+    labelled rows all go; an empty table gives an empty result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_rows))
+
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array([not x for part in slices(texts) for x in _judged(part.to_pylist(), shared.value)[2]], pa.bool_())
 
-    return docs.filter(known(F.col("text").cast("string")))
+    return docs.filter(F.arrow_udf(known, "boolean")(F.col("text").cast("string")))
