@@ -142,6 +142,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops; of rows that share doc_id and normalised text, one stays."""
+    """docs (doc_id, text, any others) without the rows that exact_dedup drops.
+
+    Of rows that share doc_id and normalised text, null or not, one stays; rows that share a
+    doc_id alone are judged each by its text. An empty table gives an empty result.
+    """
     content = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE_SPACE.decode(), "")
     return restrict(docs, exact_dedup(docs).filter("kept").withColumnRenamed("text_sha256", "digest"), hex_sha256(content))

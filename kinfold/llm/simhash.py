@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import pieces, restrict, stored
+from kinfold.llm.common import pieces, stored
 from kinfold.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -203,8 +203,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id."""
-    return restrict(docs, near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))

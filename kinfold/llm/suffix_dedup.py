@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import hex_sha256, pieces, shuffle_partitions, stored
+from kinfold.llm.common import hex_sha256, pieces, scratch, shuffle_partitions, stored
 from kinfold.llm.suffix_array import permuted_prefixes, suffix_array
 
 STRING = 200
@@ -348,7 +348,7 @@ def _cleaned(texts: DataFrame, shard_contexts: int) -> DataFrame:
     spans = spans.select("tid", F.struct((F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")).alias("span"))
     spans = spans.groupBy("tid").agg(F.collect_list("span").alias("spans"))  # of one text
     cleaned = texts.select("tid", "body", "copies").join(spans, "tid", "left").select("tid", "body", "copies", "spans")
-    return stored(cleaned.mapInArrow(_remove, "tid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return stored(cleaned.mapInArrow(_remove, "tid binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), keep=True)
 
 
 def remove_repeated(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
@@ -366,7 +366,8 @@ def remove_repeated(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> Da
     try:
         # buckets let the texts meet their anchors and spans without another shuffle of them
         texts.write.bucketBy(shuffle_partitions(spark), "tid").option("compression", "zstd").saveAsTable(name)
-        cleaned = _cleaned(spark.table(name), shard_contexts)
+        with scratch(spark):
+            cleaned = _cleaned(spark.table(name), shard_contexts)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     return rows.select("doc_id", _tid("body").alias("tid")).join(cleaned, "tid").drop("tid")
