@@ -21,27 +21,41 @@ def _ends(lengths: Column) -> Column:
 
 
 def find(text: Column, pattern: str, keep: Callable[[Column, Column], Column] | None = None, group: int = 0, context: bool = False) -> Column:
-    """array of struct(start, stop, value, before) of the leftmost non-overlapping matches of pattern.
+    """array of struct(start, stop, value, before, after) of the leftmost non-overlapping matches of pattern.
 
-    start and stop count code points; value is the match; before, only with context, the text
-    between the last match and this one. keep, given the match and its group, says which matches stay. The text
-    must not be null; the pattern must not match the empty string.
+    start and stop count code points; value is the match; before and after, only with context, are
+    the text around it, up to the second match on that side and with both these matches. keep, given the
+    match and its group, says which matches stay. The text must not be null; the pattern must not
+    match the empty string.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # between and around n matches lie n + 1 pieces
-    pieces = F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("gap"), (b if context else F.lit(None).cast("string")).alias("before"), m.alias("value")))
-    stops = _ends(F.transform(both, lambda x: (x["gap"] + F.length(x["value"])).cast("int")))
-    found = F.zip_with(both, stops, lambda x, stop: F.struct((stop - F.length(x["value"])).cast("int").alias("start"), stop.alias("stop"), x["value"].alias("value"), x["before"].alias("before")))
+    # between and around n matches lie n + 1 pieces; lambda variables hold both, so that they are found once
+    whole = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    at = lambda array, k: F.coalesce(F.get(array, k), F.lit(""))
+    none = F.lit(None).cast("string")
+
+    def with_stops(x: Column) -> Column:
+        gaps = F.zip_with(F.slice(x["p"], F.lit(1), F.size(x["m"])), x["m"], lambda b, m: (F.length(b) + F.length(m)).cast("int"))
+        return F.struct(x["m"].alias("m"), x["p"].alias("p"), _ends(gaps).alias("stops"))
+
+    def all_spans(x: Column) -> Column:
+        def span(match: Column, k: Column) -> Column:
+            before = F.concat(at(x["m"], k - 2), at(x["p"], k - 1), at(x["m"], k - 1), at(x["p"], k)) if context else none
+            after = F.concat(at(x["p"], k + 1), at(x["m"], k + 1), at(x["p"], k + 2), at(x["m"], k + 2)) if context else none
+            stop = F.get(x["stops"], k)
+            return F.struct((stop - F.length(match)).cast("int").alias("start"), stop.alias("stop"), match.alias("value"), before.alias("before"), after.alias("after"))
+
+        return F.transform(x["m"], span)
+
+    found = F.transform(F.transform(F.array(whole), with_stops), all_spans)[0]
     if group:
         groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
         marked = F.filter(F.zip_with(found, groups, lambda x, g: F.struct(x.alias("x"), g.alias("g"))), lambda y: keep(y["x"]["value"], y["g"]))
         found = F.transform(marked, lambda y: y["x"])
     elif keep:
         found = F.filter(found, lambda x: keep(x["value"], x["value"]))
-    none = F.array().cast("array<struct<start:int,stop:int,value:string,before:string>>")
+    empty = F.array().cast("array<struct<start:int,stop:int,value:string,before:string,after:string>>")
     # the second pass over the text is for texts with a match only
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(empty)
 
 
 def joined(spans: Column) -> Column:
