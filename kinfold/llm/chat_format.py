@@ -1,21 +1,23 @@
 """Preference formatting of chosen and rejected conversations.
 
 The turns on which both conversations of a pair agree from the start are the prompt and are
-rendered once. What follows in each is its completion, in which only the assistant's turns
-are trained on. All steps are joins and aggregates over single turns, so a conversation of
-any length spreads over tasks; only DataFrame functions are used.
+rendered once. What follows in each is its completion; both completions stand side by side,
+turn by turn, each with its mask: only what the assistant says is trained on. All steps are joins
+and aggregates over single turns, so a conversation of any length spreads over tasks; only
+DataFrame functions are used. Marks of the template inside a text are escaped, so that a
+rendered turn can be read back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import hex_sha256
 
-PROMPT, CHOSEN, REJECTED = "prompt", "chosen", "rejected"
+PROMPT, COMPLETION, CHOSEN, REJECTED = "prompt", "completion", "chosen", "rejected"
 TRAINED_ROLE = "assistant"
-TEMPLATE = "<|%s|>\n%s<|end|>\n"
+HEADER, END = "<|%s|>\n", "<|end|>\n"
 
 
 def _turns(conversations: DataFrame, side: str) -> DataFrame:
@@ -46,48 +48,74 @@ def first_difference(turns: DataFrame) -> DataFrame:
     return of_turn.filter(~same).groupBy("pair_id").agg(F.min("turn").alias("first"))
 
 
+def escaped(text: Column) -> Column:
+    """text with one more backslash inside each <| (or <\\|, ...), so that no mark of the template is left."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\\\|", "<$1|")
+
+
+def _role(role: Column) -> Column:
+    return F.regexp_replace(role, r"\|(\\*)>", r"|$1\\>")
+
+
+def rendered(role: Column, text: Column) -> Column:
+    return F.concat(F.format_string(HEADER, _role(role)), escaped(text), F.lit(END))
+
+
 def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows pair_id, part, turn, role, rendered, trained of two tables (pair_id, turn, role, text, any others).
-
-    part is prompt for the longest common turn prefix, else chosen or rejected; in order of turn
-    the rendered turns of a part make its text. trained is true for the assistant's turns of
-    completions. A null turn counts as -1, a null role or text as empty; rows that repeat a turn
-    number are compared together, as often as each occurs, and each is rendered.
-    A pair of equal conversations has a prompt alone; one side missing leaves no prompt. Rows
-    without a pair_id are one pair. Empty tables give an empty result.
+    """One row for each turn of the prompt and of the completions of two tables (pair_id, turn, role, text, any others).
+
+    pair_id, part (prompt or completion), turn, nth, prompt, chosen, rejected and, for each
+    completion, masked and trained characters: of the rendered turn the first chosen_masked
+    characters are no target, the chosen_trained that follow are. In order of turn and nth the
+    rendered turns of a column make its text. A turn that one completion lacks is null there, with
+    no characters. A null turn counts as -1, a null role or text as empty; rows that repeat a turn
+    number are compared together, as often as each occurs, and numbered by nth in order of role
+    and text. A pair of equal conversations has a prompt alone; one side missing leaves no prompt.
+    Rows without a pair_id are one pair. Empty tables give an empty result.
     """
     turns = _turns(chosen, CHOSEN).unionByName(_turns(rejected, REJECTED))
     first = first_difference(turns).withColumnRenamed("pair_id", "of_pair")
     joined = turns.join(first, turns["pair_id"].eqNullSafe(first["of_pair"]), "left")
     shared = F.col("first").isNull() | (F.col("turn") < F.col("first"))
-    return joined.filter(~shared | (F.col("side") == CHOSEN)).select(
-        "pair_id",
-        F.when(shared, PROMPT).otherwise(F.col("side")).alias("part"),
-        "turn",
-        "role",
-        F.format_string(TEMPLATE, "role", "text").alias("rendered"),
-        (~shared & (F.col("role") == TRAINED_ROLE)).alias("trained"),
-    )
+    rows = joined.filter(~shared | (F.col("side") == CHOSEN)).withColumn("part", F.when(shared, PROMPT).otherwise(COMPLETION))
+    order = Window.partitionBy("pair_id", "turn", "side").orderBy("role", "text")
+    rows = rows.select("pair_id", "part", "turn", "side", "role", F.row_number().over(order).alias("nth"), rendered(F.col("role"), F.col("text")).alias("rendered"))
+    header = F.length(F.format_string(HEADER, _role(F.col("role"))))
+    trained = F.when(F.col("role") == TRAINED_ROLE, F.length("rendered") - header).otherwise(0)
+    rows = rows.withColumn("trained", trained.cast("long")).withColumn("masked", F.length("rendered") - F.col("trained"))
+    # a turn of either side is one row, so the aggregates only put the two sides beside each other
+    of = lambda side, value: F.when((F.col("part") == COMPLETION) & (F.col("side") == side), F.col(value))
+    columns = [F.max(F.when(F.col("part") == PROMPT, F.col("rendered"))).alias(PROMPT), *[F.max(of(side, "rendered")).alias(side) for side in (CHOSEN, REJECTED)]]
+    columns += [F.coalesce(F.max(of(side, value)), F.lit(0)).cast("long").alias(f"{side}_{value}") for side in (CHOSEN, REJECTED) for value in ("masked", "trained")]
+    return rows.groupBy("pair_id", "part", "turn", "nth").agg(*columns)
 
 
 def assemble(segments: DataFrame) -> DataFrame:
     """One row for each pair: the texts prompt, chosen, rejected and the masks of the completions.
 
-    A mask is an array of struct(length, trained), by turn. A pair becomes one value here, so
-    this is for conversations that a trainer can hold; format_preferences has no such bound.
+    segments: rows of format_preferences. A mask is an array of struct(masked, trained), by turn. A
+    pair becomes one value here, so this is for conversations that a trainer can hold;
+    format_preferences has no such bound. Rows without a pair_id are one pair; a pair without
+    completions has empty texts and masks; no rows give no pairs.
     """
-    part = lambda name: F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("turn", "role", "rendered", "trained"))))
-    rows = segments.groupBy("pair_id").agg(*[part(p).alias(p) for p in (PROMPT, CHOSEN, REJECTED)])
-    text = lambda p: F.concat_ws("", F.transform(p, lambda t: t["rendered"])).alias(p)
-    mask = lambda p: F.transform(p, lambda t: F.struct(F.length(t["rendered"]).alias("length"), t["trained"].alias("trained"))).alias(f"{p}_mask")
-    return rows.select("pair_id", *[text(p) for p in (PROMPT, CHOSEN, REJECTED)], *[mask(p) for p in (CHOSEN, REJECTED)])
+    rows = segments.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("turn", "nth", PROMPT, CHOSEN, REJECTED, *[f"{s}_{v}" for s in (CHOSEN, REJECTED) for v in ("masked", "trained")]))).alias("turns"))
+    text = lambda p: F.array_join(F.transform("turns", lambda t: F.coalesce(t[p], F.lit(""))), "").alias(p)
+    mask = lambda p: F.transform(F.filter("turns", lambda t: t[p].isNotNull()), lambda t: F.struct(t[f"{p}_masked"].alias("masked"), t[f"{p}_trained"].alias("trained"))).alias(f"{p}_mask")
+    return rows.select("pair_id", text(PROMPT), text(CHOSEN), text(REJECTED), mask(CHOSEN), mask(REJECTED))
 
 
 def last_turn_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns from conversations (conv_id, turn, role, text) without preferences.
 
     Chosen is the conversation itself; rejected has its last turn's text replaced by the last
-    text of conversation conv_id + 1, or lacks that turn if there is no such conversation.
+    text of conversation conv_id + 1, or lacks that turn if there is no such conversation. A null
+    turn counts as -1; rows that share the last turn number all get the other text, the greatest of
+    equals in text order counts as last; rows without a conv_id are one conversation without a
+    next one; an empty table gives two empty ones.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", "text")
     last = turns.groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("last"))

@@ -104,7 +104,7 @@ ORACLE_SQL = {
                coalesce(by_rule, CASE WHEN regexp_matches(path, '/(casino|phishing|tracking|adserver|warez)/')
                                       THEN 'block' ELSE 'allow' END) AS verdict
         FROM b""",
-    "op10_chat_format": """
+    "op10_chat_format": r"""
         WITH c AS (
             SELECT conv_id AS pair_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
             FROM conversations),
@@ -118,10 +118,23 @@ ORACLE_SQL = {
             SELECT pair_id, min(turn) AS first
             FROM ((FROM c EXCEPT ALL FROM r) UNION ALL (FROM r EXCEPT ALL FROM c)) GROUP BY pair_id),
         s AS (
-            SELECT c.*, 'chosen' AS side FROM c UNION ALL SELECT r.*, 'rejected' FROM r)
-        SELECT pair_id, CASE WHEN d.first IS NULL OR turn < d.first THEN 'prompt' ELSE side END AS part, turn, role,
-               '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
-               NOT (d.first IS NULL OR turn < d.first) AND role = 'assistant' AS trained
-        FROM s LEFT JOIN d USING (pair_id)
-        WHERE side = 'chosen' OR NOT (d.first IS NULL OR turn < d.first)""",
+            SELECT c.*, 'chosen' AS side FROM c UNION ALL SELECT r.*, 'rejected' FROM r),
+        h AS (
+            SELECT s.*, CASE WHEN d.first IS NULL OR turn < d.first THEN 'prompt' ELSE 'completion' END AS part,
+                   row_number() OVER (PARTITION BY pair_id, turn, side ORDER BY role, text) AS nth,
+                   '<|' || regexp_replace(role, '\|(\\*)>', '|\1\\>', 'g') || '|>' || chr(10) AS header,
+                   regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|end|>' || chr(10) AS body
+            FROM s LEFT JOIN d USING (pair_id)),
+        t AS (
+            SELECT *, header || body AS rendered, length(header) + CASE WHEN role = 'assistant' THEN 0 ELSE length(body) END AS masked,
+                   CASE WHEN role = 'assistant' THEN length(body) ELSE 0 END AS trained
+            FROM h WHERE side = 'chosen' OR part = 'completion')
+        SELECT pair_id, part, turn, CAST(nth AS INTEGER) AS nth, max(rendered) FILTER (part = 'prompt') AS prompt,
+               max(rendered) FILTER (part <> 'prompt' AND side = 'chosen') AS chosen,
+               max(rendered) FILTER (part <> 'prompt' AND side = 'rejected') AS rejected,
+               coalesce(max(masked) FILTER (part <> 'prompt' AND side = 'chosen'), 0) AS chosen_masked,
+               coalesce(max(trained) FILTER (part <> 'prompt' AND side = 'chosen'), 0) AS chosen_trained,
+               coalesce(max(masked) FILTER (part <> 'prompt' AND side = 'rejected'), 0) AS rejected_masked,
+               coalesce(max(trained) FILTER (part <> 'prompt' AND side = 'rejected'), 0) AS rejected_trained
+        FROM t GROUP BY ALL""",
 }

@@ -74,6 +74,19 @@ RULES = (
 PATTERNS = tuple(PatternRule(BLOCK, f"*/{word}/*") for word in ("casino", "phishing", "tracking", "adserver", "warez"))
 
 
+def read_rules(table: DataFrame) -> tuple[tuple[HostRule, ...], tuple[PatternRule, ...]]:
+    """Host rules and patterns of a table (kind, verdict, target, path); rows with another kind or a null target are left out.
+
+    kind is host or pattern; target is the host, or the pattern with * for anything; a null path
+    stands for all paths. Any file that Spark reads will do. Rules are a list that one regular
+    expression each is made of, so they are bounded by what the driver holds.
+    """
+    rows = table.select("kind", F.lower("verdict").alias("verdict"), "target", F.coalesce("path", F.lit("")).alias("path"))
+    rows = rows.filter(F.col("verdict").isin(ALLOW, BLOCK) & F.col("target").isNotNull()).distinct().collect()
+    hosts = tuple(HostRule(r["verdict"], r["target"].lower(), r["path"]) for r in rows if r["kind"] == "host")
+    return hosts, tuple(PatternRule(r["verdict"], r["target"]) for r in rows if r["kind"] == "pattern")
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty without ://."""
     found = F.regexp_extract(url, r"^[\s\S]*?://([^/?#]*)", 1)

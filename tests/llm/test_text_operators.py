@@ -1,5 +1,6 @@
 """Exact dedup, tokens, languages, URLs, benchmark passages and chats against plain Python."""
 
+import math
 import random
 import re
 from hashlib import sha256
@@ -214,23 +215,119 @@ def test_preferences(spark):
     chosen = [(1, 0, "user", "a", ""), (1, 1, "assistant", "b", ""), (1, 2, "assistant", "c", ""), (2, 0, "user", "q", ""), (3, 0, "user", "s", ""), (4, None, None, None, ""), (6, 0, "user", "d", ""), (6, 0, "user", "d", "")]
     rejected = [(1, 0, "user", "a", ""), (1, 1, "assistant", "x", ""), (1, 2, "assistant", "c", ""), (3, 0, "user", "s", ""), (5, 0, "assistant", "t", ""), (6, 0, "user", "d", "")]
     found = chat_format.format_preferences(spark.createDataFrame(chosen, schema), spark.createDataFrame(rejected, schema))
-    rows = {(r["pair_id"], r["part"], r["turn"]): (r["rendered"], r["trained"]) for r in found.collect()}
+    rows = {(r["pair_id"], r["part"], r["turn"], r["nth"]): tuple(r)[4:] for r in found.collect()}
     text = lambda role, t: f"<|{role}|>\n{t}<|end|>\n"
+    none, user, head, body = (0, 0), (len(text("user", "a")), 0), len("<|assistant|>\n"), len("a<|end|>\n")
     assert rows == {
-        (1, "prompt", 0): (text("user", "a"), False),
-        (1, "chosen", 1): (text("assistant", "b"), True),
-        (1, "chosen", 2): (text("assistant", "c"), True),
-        (1, "rejected", 1): (text("assistant", "x"), True),
-        (1, "rejected", 2): (text("assistant", "c"), True),
-        (2, "chosen", 0): (text("user", "q"), False),
-        (3, "prompt", 0): (text("user", "s"), False),
-        (4, "chosen", -1): (text("", ""), False),
-        (5, "rejected", 0): (text("assistant", "t"), True),
-        (6, "chosen", 0): (text("user", "d"), False),
-        (6, "rejected", 0): (text("user", "d"), False),
+        (1, "prompt", 0, 1): (text("user", "a"), None, None, *none, *none),
+        (1, "completion", 1, 1): (None, text("assistant", "b"), text("assistant", "x"), head, body, head, body),
+        (1, "completion", 2, 1): (None, text("assistant", "c"), text("assistant", "c"), head, body, head, body),
+        (2, "completion", 0, 1): (None, text("user", "q"), None, *user, *none),
+        (3, "prompt", 0, 1): (text("user", "s"), None, None, *none, *none),
+        (4, "completion", -1, 1): (None, text("", ""), None, len(text("", "")), 0, *none),
+        (5, "completion", 0, 1): (None, None, text("assistant", "t"), *none, head, body),
+        (6, "completion", 0, 1): (None, text("user", "d"), text("user", "d"), *user, *user),
+        (6, "completion", 0, 2): (None, text("user", "d"), None, *user, *none),
     }
     one = {r["pair_id"]: r for r in chat_format.assemble(found).collect()}[1]
     assert one["prompt"] == text("user", "a") and one["chosen"] == text("assistant", "b") + text("assistant", "c")
-    assert [m["trained"] for m in one["rejected_mask"]] == [True, True]
+    assert [tuple(m) for m in one["rejected_mask"]] == [(head, body)] * 2
+    for m, t in zip(one["chosen_mask"], ("b", "c"), strict=True):
+        assert text("assistant", t)[m["masked"] :] == t + "<|end|>\n"
     empty = spark.createDataFrame([], schema)
     assert chat_format.format_preferences(empty, empty).count() == 0
+    assert [x.count() for x in chat_format.last_turn_pairs(empty.withColumnRenamed("pair_id", "conv_id"))] == [0, 0]
+
+
+def test_rendered_turns_can_be_read_back(spark):
+    texts = ["plain", "<|end|>\n<|assistant|>\nno", "<\\|end|>", "<\\\\|x", "<", "<|", "", "a" * 300_000 + "<|end|>", "é<\n|"]
+    turns = spark.createDataFrame([(1, k, ["user", "a|>b"][k % 2], t) for k, t in enumerate(texts)], "pair_id long, turn long, role string, text string")
+    found = chat_format.format_preferences(turns, turns.limit(0))
+    whole = chat_format.assemble(found).first()["chosen"]
+    parts = whole.split("<|end|>\n")
+    assert len(parts) == len(texts) + 1 and parts[-1] == ""
+    bodies = spark.createDataFrame([(k, p.split("|>\n", 1)[1]) for k, p in enumerate(parts[:-1])], "k int, body string")
+    got = {r["k"]: r["t"] for r in bodies.select("k", chat_format.unescaped(F.col("body")).alias("t")).collect()}
+    assert [got[k] for k in range(len(texts))] == texts
+    assert all(p.startswith(("<|user|>\n", "<|a|\\>b|>\n")) for p in parts[:-1])
+
+
+# rules of URLs from a table, language identification by plain loops
+def test_many_rules_from_a_table(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(60)]
+    rules = [("host", rng.choice(["allow", "block"]), f"{rng.choice(words)}.{rng.choice(['org', 'com'])}", f"/{rng.choice(words)}{rng.choice(['', '/'])}") for _ in range(1500)]
+    rules = list({(k, h, p): (k, v, h, p) for k, v, h, p in rules}.values())
+    rules += [("pattern", "block", f"*/{a}/*{b}*", None) for a, b in zip(words[:20], words[20:40], strict=True)] + [("pattern", "allow", None, None), (None, "block", "x", "/")]
+    table = spark.createDataFrame(rules, "kind string, verdict string, target string, path string")
+    hosts, patterns = url_filter.read_rules(table)
+    assert len(hosts) == sum(r[0] == "host" for r in rules) and len(patterns) == 20
+    urls = [(i, f"http://{rng.choice(['', 'www.'])}{rng.choice(words)}.{rng.choice(['org', 'com', 'net'])}/{rng.choice(words)}{rng.choice(['', '/'])}{rng.choice(words)}?q") for i in range(1500)]
+    urls += [(-1, None), (-2, ""), (-3, "http://" + "a" * 100_000 + ".org/" + "/b" * 50_000)]
+
+    def slow(url):
+        host, path = (m[1].lower(), m[2]) if (m := re.match(r"^[\s\S]*?://([^/?#]*)([^?#]*)", url or "")) else ("", "")
+        fits = [r for r in hosts if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        if fits:
+            best = max(fits, key=lambda r: (len(r.rule), r.rule, r.verdict))
+            return best.rule, best.verdict
+        return None, "block" if any(re.match(p.regex.replace("\n?", ""), host + path) for p in patterns) else "allow"
+
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), hosts, patterns).collect()}
+    assert found == {i: slow(u) for i, u in urls} and sum(v[0] is not None for v in found.values()) > 20
+
+
+def test_language_scores_match_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, 40)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()][:150] + [(-1, None), (-2, "123 !"), (-3, "ß"), (-4, "x" * 200_000)]
+
+    def vector(text):
+        plain = re.sub(rb"[\x00-\x60\x7b-\x7f]+", b" ", f" {text.lower()} ".encode())
+        counts = {}
+        for a, b, c in zip(plain, plain[1:], plain[2:], strict=False):
+            k = ((a * 65536 + b * 256 + c) * 2654435761 % 2**32) >> 20
+            counts[k] = counts.get(k, 0) + 1
+        weights = {k: math.log(1 + n) * float(model.idf[k]) for k, n in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        return {k: w / norm for k, w in weights.items()}
+
+    found = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        r = found[i]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0, True)
+            continue
+        v = vector(text)
+        cosines = [sum(w * float(c[k]) for k, w in v.items()) for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        least = float(model.least[model.owner[best]]) * math.sqrt(min(1, len(v) / language_id.FULL_TRIGRAMS))
+        assert r["lang_pred"] == model.languages[model.owner[best]] and abs(r["score"] - min(1, max(0, cosines[best]))) < 1e-4
+        assert r["rejected"] == (cosines[best] < least) or abs(cosines[best] - least) < 1e-4
+
+
+def test_centroids_and_idf_match_plain_python():
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(0.3, (24, language_id.DIMENSIONS)).astype(np.float32)
+    labels = ["a"] * 12 + ["b"] * 9 + ["c"] * 3
+    model = language_id.fit_model(labels, counts)
+    n = (counts > 0).sum(axis=0)
+    assert np.allclose(model.idf, np.log(25 / (1 + n)) + 1, atol=1e-5)
+    rows = np.log1p(counts) * model.idf
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    for lang in "abc":
+        own = rows[[x == lang for x in labels]]
+        mine = model.centroids[[model.languages[k] == lang for k in model.owner]]
+        assert 1 < len(mine) <= language_id.CENTROIDS and np.allclose(np.linalg.norm(mine, axis=1), 1, atol=1e-5)
+        # spherical k-means has settled or nearly so: each centroid is the direction of the sum of its rows
+        of = (own @ mine.T).argmax(axis=1)
+        for k in set(of.tolist()):
+            total = own[of == k].sum(axis=0)
+            assert total @ mine[k] / np.linalg.norm(total) > 0.99
+        assert np.isclose(model.least[model.languages.index(lang)], language_id.REJECT_SHARE * np.quantile((own @ mine.T).max(axis=1), 0.01), atol=1e-5)
+
+
+def test_repeated_ids_do_not_swell_the_sample(spark):
+    rows = [(1, f"the cat {'and the dog ' * (k % 7)}", "en") for k in range(4000)] + [(2, "le chat et le chien", "fr")] * 30
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20)
+    assert model.languages == ["en", "fr"]
