@@ -9,6 +9,7 @@ from kinfold.functions.residues import TOKENS
 from kinfold.operators import align as A
 from kinfold.operators import classify as C
 from kinfold.operators.pairs import all_pairs
+from kinfold.plans import kernel_sql as K
 from kinfold.plans.pair_queries import _PAIRS
 from kinfold.plans.registry import query
 from kinfold.sources import tables as T
@@ -31,49 +32,83 @@ def align_weighted(spark, sf_dir):
     return A.align(T.benchmark_sequences(spark, sf_dir), (1, 1, 1))
 
 
-@query("pair_distance")
+def _rounded(df, column):
+    return df.withColumn(column, F.round(column, 6))
+
+
+@query("pair_distance", K.distance_sql(K.hmm_posterior()))
 def pair_distance(spark, sf_dir):
-    return A.score_pairs(_pairs(spark, sf_dir), s1=0).select("family", "a", "b", F.round("d", 6).alias("d"))
+    return _rounded(A.score_pairs(_pairs(spark, sf_dir), s1=0).select("family", "a", "b", "d"), "d")
+
+
+@query("partition_distance", K.distance_sql(K.partition_posterior()))
+def partition_distance(spark, sf_dir):
+    return _rounded(A.score_pairs(_pairs(spark, sf_dir), s1=1).select("family", "a", "b", "d"), "d")
+
 
+@query("posterior_hmm", K.cells_sql(K.hmm_posterior()))
+def posterior_hmm(spark, sf_dir):
+    return _rounded(A.cells_of(A.score_pairs(_pairs(spark, sf_dir), s1=0)), "p")
 
-@query("posterior_partition")
+
+@query("posterior_partition", K.cells_sql(K.partition_posterior()))
 def posterior_partition(spark, sf_dir):
-    return A.cells_of(A.score_pairs(_pairs(spark, sf_dir), s1=1))
+    return _rounded(A.cells_of(A.score_pairs(_pairs(spark, sf_dir), s1=1)), "p")
 
 
-@query("linkage_tree")
+@query("linkage_tree", K.tree_sql("tree"))
 def linkage_tree(spark, sf_dir):
-    return A.trees(A.score_pairs(_pairs(spark, sf_dir), s1=1), T.benchmark_sequences(spark, sf_dir))
+    """Trees by the distances of the partition function, rounded as in partition_distance."""
+    return _rounded(A.trees(partition_distance(spark, sf_dir), T.benchmark_sequences(spark, sf_dir)), "dist")
+
+
+@query("plain_linkage_tree", K.tree_sql("tree", plain=True))
+def plain_linkage_tree(spark, sf_dir):
+    """The same with plain means of distances."""
+    return _rounded(A.trees(partition_distance(spark, sf_dir), T.benchmark_sequences(spark, sf_dir), 1), "dist")
 
 
-@query("seq_weights")
+@query("seq_weights", K.tree_sql("weights"))
 def seq_weights(spark, sf_dir):
     return A.sequence_weights(linkage_tree(spark, sf_dir))
 
 
-@query("merge_schedule")
+@query("merge_schedule", K.tree_sql("merges"))
 def merge_schedule(spark, sf_dir):
-    return A.merge_schedules(linkage_tree(spark, sf_dir))
+    """Merges of the guide trees; the leaves of each side joined by blanks."""
+    found = A.merge_schedules(linkage_tree(spark, sf_dir))
+    for side in ("left_leaves", "right_leaves"):
+        found = found.withColumn(side, F.array_join(F.transform(side, lambda x: x.cast("string")), " "))
+    return found
+
+
+_EACH = ("identity", "emission", "score")
 
 
-@query("pair_features")
+@query("pair_features", K.viterbi_sql("SELECT family, a, b, path_len, path, pair, " + ", ".join(f"round({c}, 6) AS {c}" for c in _EACH) + " FROM named"))
 def pair_features(spark, sf_dir):
-    return A.pair_features(_pairs(spark, sf_dir))
+    found = A.pair_features(_pairs(spark, sf_dir))
+    for c in _EACH:
+        found = _rounded(found, c)
+    return found
 
 
-@query("pair_feature_text")
+@query("pair_feature_text", K.viterbi_sql("SELECT family, a, b, printf('%d, %s, %s, %.6f, %.6f, %.6f;', path_len, path, pair, identity, emission, score) AS record FROM named"))
 def pair_feature_text(spark, sf_dir):
     return feature_text(A.pair_features(_pairs(spark, sf_dir)))
 
 
-@query("family_features")
+@query("family_features", K.viterbi_sql("SELECT family, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}, round(stddev_pop({c}), 6) AS sd_{c}" for c in _EACH) + " FROM named GROUP BY family"))
 def family_features(spark, sf_dir):
-    return A.family_features(A.pair_features(_pairs(spark, sf_dir)))
+    found = A.family_features(A.pair_features(_pairs(spark, sf_dir)))
+    for c in found.columns[1:]:
+        found = _rounded(found, c)
+    return found
 
 
-@query("em_counts")
+@query("em_counts", K.expected_counts_sql())
 def em_counts(spark, sf_dir):
-    return A.expected_parameters(_pairs(spark, sf_dir))
+    return _rounded(A.expected_parameters(_pairs(spark, sf_dir)), "value")
 
 
 @query("classify_strategy")
@@ -102,9 +137,9 @@ def udf_identity(spark, sf_dir):
     return _pairs(spark, sf_dir).selectExpr("family", "a", "b", "round(pair_identity(res_a, res_b), 9) AS identity", "round(log_add(cast(a AS double), cast(b AS double)), 9) AS total")
 
 
-@query("udtf_posterior")
+@query("udtf_posterior", K.cells_sql(K.partition_posterior()))
 def udtf_posterior(spark, sf_dir):
     """posterior_partition by the table function posterior_cells, from SQL."""
     udfs.register(spark)
     _pairs(spark, sf_dir).createOrReplaceTempView("kinfold_pairs")
-    return spark.sql("SELECT family, a, b, i, j, p FROM kinfold_pairs, LATERAL posterior_cells(res_a, res_b, 1)")
+    return spark.sql("SELECT family, a, b, i, j, round(p, 6) AS p FROM kinfold_pairs, LATERAL posterior_cells(res_a, res_b, 1)")
