@@ -68,12 +68,18 @@ def class_report(rows: DataFrame, true: str, pred: str, classes: list[int]) -> D
     return counts.select("cls", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), "support", "accuracy")
 
 
+#: Ranges of the index in which mismatches are numbered; one task sees this many counts.
+BLOCKS = 4096
+
+
 def mismatches_every_second(rows: DataFrame, index: str, true: str, pred: str) -> DataFrame:
     """The first, third, ... mismatch in order of index.
 
-    Numbered in two levels, by blocks of the index and within them, so no task sees all rows.
+    Numbered in two levels, by BLOCKS ranges of the index and within them, so no task sees all rows.
     """
-    wrong = rows.filter(~F.col(true).eqNullSafe(F.col(pred))).withColumn("_block", F.floor(F.col(index) / 4096))
+    low, high = rows.agg(F.min(index), F.max(index)).first()
+    width = 1 if low is None else int((high - low) // BLOCKS) + 1
+    wrong = rows.filter(~F.col(true).eqNullSafe(F.col(pred))).withColumn("_block", F.floor((F.col(index) - F.lit(low)) / width))
     sizes = wrong.groupBy("_block").agg(F.count("*").alias("_n"))
     before = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
     numbered = wrong.withColumn("_at", F.row_number().over(Window.partitionBy("_block").orderBy(index)))

@@ -29,7 +29,10 @@ def benchmark_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """family, label, residues: a user's events in order of time, each type as its first letter's place among the types."""
+    """family, label, residues: a user's events in order of time, each type as its first letter's place among the types.
+
+    A sequence is one value, so a user's events are bounded by what one row may hold.
+    """
     events = load(spark, sf_dir, "events")
     letter = F.upper(F.substring("event_type", 1, 1))
     each = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", letter.alias("x")))).alias("all"))
