@@ -12,6 +12,7 @@ from kinfold.plans.sequence_queries import _BENCH, _CELLS
 from kinfold.sources import fasta, parameters
 from kinfold.sources import tables as T
 from kinfold.sources.shared import new_path
+from kinfold.streaming.families import align_stream
 
 _ALIGNED = f"""{_CELLS},
     r AS (SELECT family, label, header, string_agg(residue, '' ORDER BY col) AS residues FROM c GROUP BY ALL)"""
@@ -139,6 +140,19 @@ def model_file(spark, sf_dir):
     return spark.createDataFrame(_parameters(parameters.read_model(spark, path)), "key string, value double")
 
 
+@query(
+    "stream_identity",
+    f"""WITH {_PAIRS}
+    SELECT family, a, b, round(len(list_filter(range(1, least(length(ra), length(rb)) + 1), lambda k: ra[k] = rb[k])) / least(length(ra), length(rb)), 9) AS identity FROM p""",
+)
+def stream_identity(spark, sf_dir):
+    """Identities of the pairs of families that arrive as a stream of files, three a batch."""
+    fasta.write_fasta(T.benchmark_sequences(spark, sf_dir), path := new_path(spark))
+    measured = lambda rows: pairs.all_pairs(rows).select("family", "a", "b", F.round(pairs.positional_identity(F.col("res_a"), F.col("res_b")), 9).alias("identity"))
+    align_stream(spark, path, out := new_path(spark), new_path(spark), measured, files_per_batch=3).awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).schema("family string, a int, b int, identity double").parquet(out)
+
+
 @query("append_files", f"WITH {_BENCH} SELECT family, CAST(row_number() OVER (PARTITION BY family ORDER BY label % 2, label) - 1 AS INTEGER) AS label, residues FROM b")
 def append_files(spark, sf_dir):
     """Two inputs of a family, one after the other."""

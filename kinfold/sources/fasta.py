@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -11,12 +11,16 @@ from kinfold.functions.residues import clean, fasta_record, valid
 SCHEMA = "family string, label int, header string, residues string"
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """family (that of a folder family=..., else the file's name), content of each file; Spark skips hidden files."""
-    name = F.input_file_name()
+def family_of(name: Column) -> Column:
+    """The family of a file's path: that of a folder family=..., else the file's name."""
     folder = F.url_decode(F.replace(F.regexp_extract(name, "/family=([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B")))
-    family = F.when(F.regexp_like(name, F.lit("/family=[^/]*/[^/]*$")), folder).otherwise(F.element_at(F.split(name, "/"), -1))
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(family.alias("family"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
+    return F.when(F.regexp_like(name, F.lit("/family=[^/]*/[^/]*$")), folder).otherwise(F.element_at(F.split(name, "/"), -1))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """family, content of each file; Spark skips hidden files."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    files = files.select(family_of(F.input_file_name()).alias("family"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
     return files.filter(~F.startswith("family", F.lit(".")))
 
 
