@@ -23,7 +23,7 @@ from kinfold.llm.common import pieces, slices
 #: Rows of each language that the classifier is fitted on, at most; chosen by a hash of doc_id and text.
 SAMPLE_ROWS = 600
 #: Rows of all languages together, at most; with many languages each has fewer, but LEAST_ROWS.
-ALL_SAMPLE_ROWS = 20_000
+ALL_SAMPLE_ROWS = 10_000
 LEAST_ROWS = 30
 CENTROIDS = 4
 #: Hash buckets of trigrams.
@@ -88,7 +88,9 @@ def _cluster(rows: np.ndarray, k: int) -> np.ndarray:
 def fit_model(labels: list[str], counts: np.ndarray) -> Model:
     languages = sorted(set(labels))
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    rows, of = _unit(np.log1p(counts) * idf), np.array([languages.index(x) for x in labels], dtype=int)
+    rows, of = np.log1p(counts), np.array([languages.index(x) for x in labels], dtype=int)
+    rows *= idf  # in place, for a sample of many languages is large
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
     groups = [_cluster(rows[of == i], CENTROIDS) for i in range(len(languages))]
     least = [REJECT_SHARE * np.quantile((rows[of == i] @ g.T).max(axis=1), 0.01) for i, g in enumerate(groups)]
     owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
@@ -140,15 +142,13 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     chosen = labelled.filter(F.col("mark") < bound).select("lang", "text", "mark").dropDuplicates(["lang", "mark"])
     picked = chosen.mapInArrow(_sample_counts, "lang string, mark long, buckets array<int>, counts array<int>").collect()
     taken: dict[str, int] = dict.fromkeys(bounds, 0)
-    labels, rows = [], []
+    labels, rows = [], np.zeros((sample_rows * len(bounds), DIMENSIONS), np.float32)
     for r in sorted(picked, key=lambda r: (r["lang"], r["mark"], r["buckets"])):
         if taken[r["lang"]] < sample_rows:
             taken[r["lang"]] += 1
-            row = np.zeros(DIMENSIONS, np.float32)
-            row[np.array(r["buckets"], int)] = r["counts"]
+            rows[len(labels), np.array(r["buckets"], int)] = r["counts"]
             labels.append(r["lang"])
-            rows.append(row)
-    return fit_model(labels, np.stack(rows)) if rows else fit_model([], np.zeros((0, DIMENSIONS), np.float32))
+    return fit_model(labels, rows[: len(labels)])
 
 
 def _judged(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:

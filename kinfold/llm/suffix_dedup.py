@@ -36,6 +36,8 @@ SHARD_CONTEXTS = 20_000
 CHUNK = 1 << 20
 #: Stands between contexts; UTF-8 has no such byte.
 _END = 0xFE
+#: Contexts that a task remembers; one that it has forgotten carries its bytes again.
+SEEN = 200_000
 #: Rows that a task hands back at once.
 ROWS = 50_000
 _POWER = 0x9E3779B97F4A7C15
@@ -108,7 +110,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each repeated anchor of a text; the first in a task with some context carries its bytes."""
+    """A row for each repeated anchor of a text; the first in a task with some context, at least, carries its bytes."""
     seen: set[bytes] = set()
     names = [c.split()[0] for c in _CONTEXTS.split(", ")]
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
@@ -122,6 +124,8 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 key = blake2b(part, digest_size=16, salt=(at - low).to_bytes(2, "little")).digest()
                 rows.append((tid, at, anchor, key, at - low, None if key in seen else part))
                 seen.add(key)
+                if len(seen) > SEEN:
+                    seen.clear()
                 if len(rows) >= ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []

@@ -6,7 +6,7 @@ from collections import defaultdict
 import duckdb
 import public_tokenizers
 import pytest
-from test_simhash import roots, slow_fingerprint
+from test_near_copies import expected as near_copies
 from test_text_operators import brute
 from tokenizers import Tokenizer
 
@@ -27,13 +27,7 @@ def expected(name, rows, spark, docs):
             groups[re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")].append((-len(r["text"] or ""), r["doc_id"]))
         return {min(g)[1] for g in groups.values()}
     if name == "near_dedup":
-        fps = {r["doc_id"]: slow_fingerprint(r["text"]) for r in rows}
-        values = sorted(set(fps.values()))
-        root = roots(values, [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 3])
-        least = {}
-        for i, f in fps.items():
-            least[root[f]] = min(i, least.get(root[f], i))
-        return set(least.values())
+        return near_copies([(r["doc_id"], r["text"]) for r in rows])
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     return {r["doc_id"] for r in rows} - {d for d, _ in brute([(r["doc_id"], r["text"]) for r in rows], items)}
 
@@ -64,7 +58,16 @@ def test_stages_take_odd_rows(spark, name):
     rows = [(1, None, None, None, None, "a", "b", "c"), (1, None, None, None, None, "a", "b", "c"), (2, "", "en", "s", 0, "", "", ""), (None, "the dog and the cat", "en", "s", 3, "", "", ""), (4, "the cat " * 50_000, "en", "s", 3, "", "", "")]
     docs = spark.createDataFrame(rows, schema)
     found = STAGES[name](spark, docs, SF)
-    assert found.count() <= len(rows) and (name == "bpe" or found.columns == docs.columns)
+    assert name == "bpe" or found.columns == docs.columns
+    kept = sorted(str((r["doc_id"], len(t)) if (t := dict(enumerate(r)).get(1)) else (r["doc_id"], 0)) for r in found.collect()) if name != "bpe" else found.count()
+    want = {
+        "language_id": None,  # what a model of two rows rejects is its own matter
+        "exact_dedup": [(1, 0), (4, 400_000), (None, 19)],
+        "near_dedup": [(1, 0), (4, 400_000), (None, 19)],
+        "decontamination": [(1, 0), (1, 0), (2, 0), (4, 400_000), (None, 19)],
+        "bpe": len(rows),
+    }[name]
+    assert want is None and len(kept) <= len(rows) or kept == (want if name == "bpe" else sorted(map(str, want)))
     assert STAGES[name](spark, docs.limit(0), SF).count() == 0
 
 
