@@ -88,13 +88,17 @@ def bitmap(places: DataFrame) -> DataFrame:
 
 
 def marked_by(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows and the column there: false only if their mark isn't in wanted. A bitmap of fixed size tells, without a shuffle."""
+    """rows and the column there: false only if their mark isn't in wanted. A bitmap of fixed size tells, without a shuffle.
+
+    It is broadcast as BITMAP_BITS / 64 rows of 64 bits at most. The names _word and _bits are taken.
+    """
     place = F.pmod("mark", F.lit(BITMAP_BITS))
-    bits = bitmap(wanted.select(place.alias("at")))
-    placed = rows.withColumn("at", place).withColumn("bucket", F.bitmap_bucket_number("at")).withColumn("at", F.bitmap_bit_position("at"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    there = F.coalesce(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1, F.lit(False))
-    return placed.join(F.broadcast(bits), "bucket", "left").select(*rows.columns, there.alias("there"))
+    bit = F.pmod("mark", F.lit(64)).cast("int")
+    words = wanted.select(F.shiftright(place, 6).alias("_word"), F.expr("shiftleft(1L, cast(pmod(mark, 64) AS int))").alias("bit"))
+    words = words.groupBy("_word").agg(F.bit_or("bit").alias("_bits"))
+    placed = rows.withColumn("_word", F.shiftright(place, 6))
+    there = F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False))
+    return placed.join(F.broadcast(words), "_word", "left").select(*rows.columns, there.alias("there"))
 
 
 #: Bytes of Arrow data that a Python worker turns into objects at once; a longer row goes alone.

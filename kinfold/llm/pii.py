@@ -123,13 +123,15 @@ def pattern_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     words = F.split(F.trim(_plain(F.coalesce(F.col("text").cast("string"), F.lit("")))), " ")
 
     def each(w: Column) -> Column:
-        # a pattern over a word that isn't there is null
-        made = lambda x, k: F.array(F.concat(F.lit("l "), x), F.concat(F.lit("ll "), x, F.lit(" "), F.get(w, k + 1)), F.concat(F.lit("lr "), x, F.lit(" "), F.get(w, k + 2)))
-        return F.flatten(F.transform(w, made))
+        return F.transform(w, lambda x, k: F.struct(x.alias("x"), F.get(w, k + 1).alias("y"), F.get(w, k + 2).alias("z")))
 
     # a lambda variable holds the words, so that a text is split once
-    every = docs.select(F.explode(F.transform(F.array(words), each)[0]).alias("pattern")).filter(F.col("pattern").isNotNull())
-    hit = every.withColumn("mark", F.xxhash64("pattern"))
+    every = docs.select(F.explode(F.transform(F.array(words), each)[0]).alias("at")).select("at.*").withColumn("mark", F.xxhash64("x"))
+    firsts = wanted.select(F.xxhash64(F.split("pattern", " ")[1]).alias("mark"))
+    near = marked_by(every, firsts).filter("there").drop("mark", "there")
+    # a pattern over a word that isn't there is null
+    made = F.array(F.concat(F.lit("l "), "x"), F.concat(F.lit("ll "), "x", F.lit(" "), "y"), F.concat(F.lit("lr "), "x", F.lit(" "), "z"))
+    hit = near.select(F.explode(made).alias("pattern")).filter(F.col("pattern").isNotNull()).withColumn("mark", F.xxhash64("pattern"))
     hit = marked_by(hit, wanted.select(F.xxhash64("pattern").alias("mark"))).filter("there").select("pattern")
     return hit.groupBy("pattern").agg(F.count("*").alias("total")).join(wanted, "pattern", "left_semi")
 
