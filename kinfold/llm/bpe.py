@@ -4,7 +4,7 @@ A short word is held as an array of part boundaries with, beside each, the rank
 merge of the parts that meet there. The array is scanned for its minimum, that boundary is
 deleted and the two neighbouring ranks are looked up again, until no merge is left. A long
 word keeps the same state in a heap over linked parts, which gives the same merges without
-the quadratic scans. Words recur, so each worker keeps a bounded cache of encoded words.
+the quadratic scans. Words recur, so each task keeps a bounded cache of encoded words.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import pieces
+from kinfold.llm.common import pieces, release
 
 #: Words of more parts than this are merged by heap; the results are the same.
 SHORT_WORD = 128
 #: Words held by each of the two generations of a worker's cache.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: White space of the Unicode standard, as the tokenizer's \s has it (without U+001C to U+001F).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _NO_MERGE = 1 << 60
@@ -161,6 +161,12 @@ class WordCache(dict):
         return found
 
 
+    def forget(self) -> None:
+        """At the end of a task, for a worker lives on through other stages."""
+        self.clear()
+        self._old = {}
+
+
 @lru_cache(maxsize=4)
 def _of_worker(spec: str) -> WordCache:
     """One tokenizer and cache for each Python worker."""
@@ -174,6 +180,8 @@ def _per_text(spec: str, fields: list[tuple[str, pa.DataType]], make: Callable)
             rows = [make(cache, text or "") for text in batch.column(1).to_pylist()]
             columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", *(n for n, _ in fields)])
+        cache.forget()
+        release()
 
     return run
 
