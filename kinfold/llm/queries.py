@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import bpe, chat_format, decontaminate, exact_dedup, language_id, pii, secret_scan, simhash, suffix_dedup, url_filter
+from kinfold.llm import bpe, chat_format, collocations, decontaminate, exact_dedup, language_id, pii, secret_scan, simhash, suffix_dedup, url_filter
 from kinfold.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_preferences(chosen, rejected)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_secret_scan,
     op2_simhash,
@@ -63,6 +67,7 @@ OPERATORS = (
     op8_suffix_dedup,
     op9_decontaminate,
     op10_chat_format,
+    op11_collocations,
 )
 
 
@@ -137,4 +142,26 @@ ORACLE_SQL = {
                coalesce(max(masked) FILTER (part <> 'prompt' AND side = 'rejected'), 0) AS rejected_masked,
                coalesce(max(trained) FILTER (part <> 'prompt' AND side = 'rejected'), 0) AS rejected_trained
         FROM t GROUP BY ALL""",
+    "op11_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+        total AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+        s AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+        g AS (SELECT lang, array_to_string(words[i : i + k - 1], ' ') AS g FROM s, range(1, 6) t(k) WHERE i + k - 1 <= len(words)),
+        f AS (SELECT lang, g, count(*) AS a, string_split(g, ' ') AS ws FROM g GROUP BY lang, g HAVING count(*) >= 100),
+        cut AS (SELECT lang, g, a, k, array_to_string(ws[:k], ' ') AS g1, array_to_string(ws[k + 1:], ' ') AS g2 FROM f, range(1, 5) t(k) WHERE k < len(ws)),
+        cuts AS (
+            SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, n, CAST((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+            FROM cut c JOIN f x ON x.lang = c.lang AND x.g = g1 JOIN f y ON y.lang = c.lang AND y.g = g2 JOIN total ON total.lang = c.lang),
+        best AS (SELECT lang, g, any_value(a) AS a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, any_value(n) AS n, min(score) AS score FROM cuts GROUP BY lang, g),
+        inner_g AS (
+            SELECT lang, array_to_string(ws[i : i + k - 1], ' ') AS g, max(a) AS longer FROM f, range(2, 5) t(k), range(1, 5) u(i)
+            WHERE k < len(ws) AND i + k - 1 <= len(ws) GROUP BY ALL),
+        kept AS (SELECT best.* FROM best LEFT JOIN inner_g USING (lang, g) WHERE longer IS NULL OR 100 * longer < 100 * a),
+        ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank, g AS phrase, a, l, r, n, score FROM kept)
+        SELECT * FROM ranked WHERE rank <= 2000""",
 }
