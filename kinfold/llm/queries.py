@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import bpe, chat_format, collocations, decontaminate, exact_dedup, language_id, pii, secret_scan, simhash, suffix_dedup, url_filter
+from kinfold.llm import bpe, chat_format, collocations, conversation_repair, decontaminate, exact_dedup, language_id, pii, quality, secret_scan, simhash, suffix_dedup, url_filter
 from kinfold.llm.common import table
 
 
@@ -56,6 +56,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OPERATORS = (
     op1_secret_scan,
     op2_simhash,
@@ -68,6 +76,8 @@ OPERATORS = (
     op9_decontaminate,
     op10_chat_format,
     op11_collocations,
+    op12_conversation_repair,
+    op13_quality,
 )
 
 
