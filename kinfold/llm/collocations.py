@@ -32,8 +32,10 @@ TOP = 2000
 DEPTH, WIDTH_BITS = 3, 24
 #: Cells that travel together when sketches are merged.
 BLOCK_CELLS = 1 << 14
-#: Partitions of the scan that share one task of the first pass, so that sketches stay small beside their input.
-PARTITIONS_A_SKETCH = 8
+#: Partitions of the scan that share a task, so that a sketch stays small beside its input and counts meet before they are shuffled.
+PARTITIONS_A_TASK = 8
+#: Counts that a task of the second pass combines before it passes them on.
+COMBINE_ROWS = 1 << 20
 #: Bytes of text that are counted at once.
 CHUNK_BYTES = 2 << 20
 
@@ -211,8 +213,7 @@ def sketch(texts: DataFrame, least: int = LEAST_COUNT, depth: int = DEPTH, bits:
         bits_of = np.packbits(total >= least, bitorder="little").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits_of], pa.binary())], names=["block", "cells"])
 
-    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // PARTITIONS_A_SKETCH)
-    parts = texts.coalesce(tasks).mapInArrow(run, "block int, cells binary")
+    parts = texts.mapInArrow(run, "block int, cells binary")
     merged = parts.groupBy("block").applyInArrow(merge, "block int, cells binary")
     found = np.zeros((depth * width // block, block >> 3), np.uint8)
     for r in merged.toLocalIterator():
@@ -220,8 +221,30 @@ def sketch(texts: DataFrame, least: int = LEAST_COUNT, depth: int = DEPTH, bits:
     return found.reshape(depth, -1)
 
 
+def combined(counts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, f with equal phrases summed, as far as COMBINE_ROWS rows reach."""
+    held, size = [], 0
+    for batch in counts:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= COMBINE_ROWS:
+            held = _summed(held)
+            size = sum(x.num_rows for x in held)
+            if size > COMBINE_ROWS // 2:
+                yield from held
+                held, size = [], 0
+    if held:
+        yield from _summed(held)
+
+
+def _summed(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    total = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+    return total.rename_columns(["lang", "phrase", "f"]).combine_chunks().to_batches()
+
+
 def frequent(texts: DataFrame, least: int = LEAST_COUNT, depth: int = DEPTH, bits: int = WIDTH_BITS) -> DataFrame:
     """lang, phrase, f of all phrases of 1 to LONGEST words with f >= least, and the number of all words as the phrase ''. Stored."""
+    texts = texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // PARTITIONS_A_TASK))
     shared = texts.sparkSession.sparkContext.broadcast(sketch(texts, least, depth, bits))
 
     def passes(hashes: np.ndarray) -> np.ndarray:
@@ -231,7 +254,7 @@ def frequent(texts: DataFrame, least: int = LEAST_COUNT, depth: int = DEPTH, bit
             good &= (shared.value[k][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return good
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in words_of(batches):
             totals = words.totals()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in totals], pa.string()), pa.array([""] * len(totals), pa.string()), pa.array([n for _, n in totals], pa.int64())], names=["lang", "phrase", "f"])
@@ -239,6 +262,9 @@ def frequent(texts: DataFrame, least: int = LEAST_COUNT, depth: int = DEPTH, bit
                 if len(found.first):
                     langs = pa.array(words.names, pa.string()).take(pa.array(words.lang[found.first]))
                     yield pa.RecordBatch.from_arrays([langs, words.phrases(found).cast(pa.string()), pa.array(found.counts, pa.int64())], names=["lang", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from combined(counted(batches))
         release()
 
     counts = texts.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))

@@ -95,3 +95,20 @@ def test_empty_tables_and_exact_scores(spark):
     table = spark.createDataFrame(counts, "lang string, phrase string, f long")
     (row,) = C.scored(table).collect()
     assert row["score"] == 1000 * 10**13 * 10**15 // (10**14 * (10**13 + 7))
+
+
+def test_counts_are_combined_within_bounds(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "COMBINE_ROWS", 8)
+    rng = random.Random(4)
+    rows = [("en", rng.choice("abcdefghijklm"), rng.randrange(5)) for _ in range(100)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + 3], strict=True)], names=["lang", "phrase", "f"]) for k in range(0, 100, 3)]
+    want, got, size = Counter(), Counter(), 0
+    for _, p, n in rows:
+        want[p] += n
+    for b in C.combined(iter(batches)):
+        size += b.num_rows
+        for r in b.to_pylist():
+            got[r["phrase"]] += r["f"]
+    assert got == want and size < 100
