@@ -32,6 +32,19 @@ CACHE_WORDS = 100_000
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _NO_MERGE = 1 << 60
 
+# What the library's Unicode tables have beyond version 15.1, as first and last code points.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: Capitals beyond version 15.1: first and last code point, and that of the first one's small letter.
+NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+
 _RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -42,6 +55,35 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(others)) for b in range(256)]
 
 
+class Strange:
+    """Code points that this Python's lower() or regex's classes treat otherwise than the library does."""
+
+    def __init__(self) -> None:
+        every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+        self._stand_ins: dict[int, str] = {}
+        for kind, first, new, name in (("x", "L", NEW_LETTERS, r"\p{L}"), ("0", "N", NEW_NUMBERS, r"\p{N}")):
+            ours = set(regex.findall(name, every))
+            added = {chr(c) for a, b in new for c in range(a, b + 1)}
+            # a letter stands for a letter, a private code point for one that is neither letter nor number
+            self._stand_ins |= {ord(c): kind for c in added - ours}
+            self._stand_ins |= {ord(c): "\ue000" for c in ours - added if not unicodedata.category(c).startswith(first)}
+        self._small = {c: chr(small + c - a) for a, b, small in NEW_CAPITALS for c in range(a, b + 1)}
+        odd = frozenset(map(chr, {*self._stand_ins, *self._small, *map(ord, self._small.values())}))
+        self._maybe = regex.compile(f"[{min(odd)}-\U0010ffff]").search
+        self._absent = odd.isdisjoint
+
+    def holds(self, text: str) -> bool:
+        """Whether text has such a code point; few texts do."""
+        return not text.isascii() and bool(self._maybe(text)) and not self._absent(text)
+
+    def lower(self, text: str) -> str:
+        return text.translate(self._small).lower()
+
+    def shadow(self, text: str) -> str:
+        """text with code points, one for one, that regex classes as the library does text's."""
+        return text.translate(self._stand_ins)
+
+
 class Tokenizer:
     """A tokenizer file of the "tokenizers" library whose model is BPE over byte letters with word ends."""
 
@@ -60,7 +102,9 @@ class Tokenizer:
         if split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError("unknown pre-tokenizer")
         pattern = split["pattern"]["Regex"].replace("[^\\s", f"[^{_SPACE}")
-        self._words = regex.compile(pattern).findall
+        self._find = regex.compile(pattern)
+        self._words = self._find.findall
+        self._strange = Strange()
         self._ids: dict[str, int] = model["vocab"]
         self.tokens: dict[int, str] = {i: t for t, i in self._ids.items()}
         self._suffix: str = model.get("end_of_word_suffix") or ""
@@ -87,7 +131,12 @@ class Tokenizer:
                 yield piece
             elif piece:
                 # a capital sigma becomes the plain small one, wherever it stands
-                yield from self._words(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+                plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+                if self._strange.holds(plain):
+                    lowered = self._strange.lower(plain)
+                    yield from (lowered[m.start() : m.end()] for m in self._find.finditer(self._strange.shadow(lowered)))
+                else:
+                    yield from self._words(plain.lower())
 
     def encode_word(self, word: str) -> list[int]:
         if word in self._added:
@@ -215,8 +264,8 @@ def _spec(spark: SparkSession, path: str):
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int), n_tokens of every row of docs (doc_id, text, any others).
 
-    A null or empty text has no ids; null and repeated doc_ids are carried along; an empty
-    table gives an empty result.
+    A null or empty text has no ids; null and repeated doc_ids and repeated rows are carried along;
+    an empty table gives an empty result.
     """
     fields = [("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64())]
     run = _per_text(_spec(docs.sparkSession, path), fields, _encoded)
@@ -224,7 +273,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """encode, and decoded_sha256 of the text that decode makes of the ids."""
+    """encode, and decoded_sha256 of the text that decode makes of the ids. Null and repeated doc_ids and empty tables as there."""
     fields = [("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("decoded_sha256", pa.string())]
     run = _per_text(_spec(docs.sparkSession, path), fields, _encoded_decoded)
     return _inputs(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string")
@@ -246,7 +295,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, as digests.
 
-    A null text counts as empty; its digests are those of the empty string.
+    A null text counts as empty; its digests are those of the empty string. Null and repeated doc_ids
+    and repeated rows are carried along; an empty table gives an empty result.
     """
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     return _inputs(docs).mapInArrow(_per_text(_spec(docs.sparkSession, path), fields, _digest), _RESULT)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.sources.shared import new_path, shared_dir
@@ -62,20 +62,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_KEY = "__kinfold_key"
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """row, the whole row of df as one struct, and the columns more; no name of df can clash with another."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
-def restrict(docs: DataFrame, ids: DataFrame, digest: Column | None = None) -> DataFrame:
-    """One row of docs for each doc_id that is in ids; null is an identifier like any other.
+def unpacked(df: DataFrame) -> DataFrame:
+    """What packed was made of."""
+    return df.select("row.*")
 
-    With digest, an expression over docs that ids has as a column, one row for each doc_id and
-    digest. The key is a struct, which equals another by its fields, null or not; join and
-    deduplication share its partitioning, so texts are shuffled once.
+
+def restrict(rows: DataFrame, wanted: DataFrame, best: Column | None = None) -> DataFrame:
+    """One row of rows (row, key, any others) for each key that is in wanted (key).
+
+    Keys are structs, which equal others by their fields, null or not; join and choice share their
+    partitioning, so rows are shuffled once. Of rows with one key that of the least best stays, a
+    value that rows can be ordered by; without it any one.
     """
-    key = ["doc_id"] if digest is None else ["doc_id", "digest"]
-    wanted = ids.select(F.struct(*key).alias(_KEY)).distinct()
-    keyed = docs.withColumn(_KEY, F.struct("doc_id") if digest is None else F.struct(F.col("doc_id"), digest.alias("digest")))
-    return keyed.join(wanted, _KEY, "left_semi").dropDuplicates([_KEY]).select(*docs.columns)
+    found = rows.join(wanted.select("key").distinct(), "key", "left_semi")
+    if best is None:
+        return found.dropDuplicates(["key"])
+    place = F.row_number().over(Window.partitionBy("key").orderBy(best))
+    return found.withColumn("place", place).filter("place = 1").drop("place")
 
 
 #: Bits of bitmaps that are broadcast; a fuller one only lets more through.
@@ -90,7 +98,8 @@ def bitmap(places: DataFrame) -> DataFrame:
 def marked_by(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """rows and the column there: false only if their mark isn't in wanted. A bitmap of fixed size tells, without a shuffle.
 
-    It is broadcast as BITMAP_BITS / 64 rows of 64 bits at most. The names _word and _bits are taken.
+    It is broadcast as BITMAP_BITS / 64 rows of 64 bits at most. The names _word, _bits and there are
+    taken; rows of a caller's table are packed for that.
     """
     place = F.pmod("mark", F.lit(BITMAP_BITS))
     bit = F.pmod("mark", F.lit(64)).cast("int")

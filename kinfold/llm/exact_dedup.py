@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WHITE_SPACE, hex_sha256, pieces, restrict
+from kinfold.llm.common import WHITE_SPACE, hex_sha256, packed, pieces, restrict, unpacked
 
 #: Bytes of a text that lead its sort key; the digest of the whole text follows.
 HEAD_BYTES = 32
@@ -144,8 +144,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, any others) without the rows that exact_dedup drops.
 
-    Of rows that share doc_id and normalised text, null or not, one stays; rows that share a
-    doc_id alone are judged each by its text. An empty table gives an empty result.
+    Of rows that share doc_id and normalised text, null or not, one stays: that with the most code
+    points, of those the first in the order of texts; other columns don't matter. Rows that share a
+    doc_id alone are judged each by its text. Columns may have any names. An empty table gives an
+    empty result.
     """
-    content = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE_SPACE.decode(), "")
-    return restrict(docs, exact_dedup(docs).filter("kept").withColumnRenamed("text_sha256", "digest"), hex_sha256(content))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    content = F.translate(text, WHITE_SPACE.decode(), "")
+    key = lambda digest: F.struct(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
+    rows = packed(docs, key=key(hex_sha256(content)), order=F.struct((-F.length(text)).alias("size"), hex_sha256(text).alias("digest")))
+    return unpacked(restrict(rows, exact_dedup(docs).filter("kept").select(key(F.col("text_sha256")).alias("key")), F.col("order")))

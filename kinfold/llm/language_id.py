@@ -9,6 +9,7 @@ own sample rows were.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,8 +99,13 @@ def fit_model(labels: list[str], counts: np.ndarray) -> Model:
     return Model(languages, idf, centroids.astype(np.float32), owner, np.array(least))
 
 
-def has_letter(column):
-    return F.coalesce(column.rlike(r"\p{L}"), F.lit(False))
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter of the Unicode version that Python knows; the one judge of letters here."""
+    return any(unicodedata.category(m.group()).startswith("L") for m in _LETTER.finditer(text or ""))
+
+
+def _letters(texts: pa.Array) -> pa.Array:
+    return pa.array([has_letter(t) for part in slices(texts) for t in part.to_pylist()], pa.bool_())
 
 
 def held_out(column):
@@ -129,7 +135,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     once. Without labelled rows the model knows no language.
     """
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")) & ~held_out(F.col("doc_id")))
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    labelled = labelled.filter(F.arrow_udf(_letters, "boolean")("text"))
     labelled = labelled.withColumn("mark", F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000_000)))
     # repeated rows count once; a language of few different rows has them all
     sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("mark").alias("count")).orderBy("lang").collect()
@@ -154,7 +161,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 def _judged(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and whether rejected, of each text."""
     lang, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-    known = [i for i, t in enumerate(texts) if model.languages and t and _LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
     for at in range(0, len(known), 256):
         part = known[at : at + 256]
         of, near, out = model.predict(np.stack([term_counts(texts[i]) for i in part]))
@@ -169,7 +176,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     A text that is null or has no letter is 'und' with score 0 and rejected; so is every text
     if the model knows no language. A text far from every centroid keeps the nearest language
-    in lang_pred but is rejected.
+    in lang_pred but is rejected. Null and repeated doc_ids and repeated rows are judged row by row;
+    an empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

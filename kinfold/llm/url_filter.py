@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Indexes of at most so many tokens are a constant in the plan; larger ones are joined.
 INLINE_TOKENS = 256
 ALLOW, BLOCK = "allow", "block"
+#: Between host and path, neither of which can hold it.
+EDGE = "#"
 
 
 @dataclass(frozen=True)
@@ -33,12 +35,12 @@ class HostRule:
 
     @property
     def regex(self) -> str:
-        return rf"^(?:[^\n]*\.)?{re.escape(self.host)}\n{re.escape(self.path)}"
+        return rf"^(?:[^{EDGE}]*\.)?{re.escape(self.host)}{EDGE}{re.escape(self.path)}"
 
     @property
     def literals(self) -> list[str]:
         """Runs of letters and digits that are whole tokens of every URL the rule fits."""
-        whole = f".{self.host}\n{self.path}"
+        whole = f".{self.host}{EDGE}{self.path}"
         return [m.group().lower() for m in re.finditer(r"[A-Za-z0-9]+", whole) if m.end() < len(whole)]
 
 
@@ -55,7 +57,7 @@ class PatternRule:
 
     @property
     def regex(self) -> str:
-        return "^" + "[\\s\\S]*".join(re.escape(part).replace("/", "\n?/") for part in self.pattern.split("*")) + "$"
+        return "^" + "[\\s\\S]*".join(re.escape(part).replace("/", f"{EDGE}?/") for part in self.pattern.split("*")) + "$"
 
     @property
     def literals(self) -> list[str]:
@@ -135,11 +137,11 @@ def filter_urls(pages: DataFrame, rules=RULES, patterns=PATTERNS, default: str =
     A null url, or one without ://, has an empty host and path, which no host rule fits.
     Of fitting host rules the longest decides, of equally long ones the greater in text order;
     where none fits, rule is null and the longest fitting pattern gives the verdict, else default.
-    Repeated and null page_ids are judged row by row.
+    Repeated and null page_ids are judged row by row; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    urls = urls.withColumn("target", F.concat("host", F.lit("\n"), "path"))
+    urls = urls.withColumn("target", F.concat("host", F.lit(EDGE), "path"))
     index = index_rules(urls, [*rules, *patterns])
     if len(index) <= inline_tokens:
         found = F.array(F.lit(None).cast(_ENTRY))

@@ -134,7 +134,7 @@ def judge(url):
 @pytest.mark.parametrize("inline", [256, 0])
 def test_url_filter(spark, inline):
     rng = random.Random(4)
-    hosts = ["example.org", "a.Example.ORG", "org", "xorg", "example.org:80", "a.com", "com", "b.net", "", "é.com", "example.org\n"]
+    hosts = ["example.org", "a.Example.ORG", "org", "xorg", "example.org:80", "a.com", "com", "b.net", "", "é.com", "example.org\n", "a\nb.org", "x\n.example.org", "\n.com", "a\n.b\n.com"]
     paths = ["/es/", "/es", "/en/1", "/en/123?x=/de/", "/fr/a#b", "/de/", "", "?q", "/casino/x", "/x/tracking/y", "/DE/", "/fr/\n"]
     urls = [None, "", "nourl", "://", "http://", "HTTPS://A.COM/fr/://x"] + [rng.choice(["http", "https", ""]) + "://" + rng.choice(hosts) + rng.choice(paths) for _ in range(300)]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
@@ -145,7 +145,7 @@ def test_url_filter(spark, inline):
 
 
 def test_rules_are_filed_under_their_rarest_token(spark):
-    urls = spark.createDataFrame([(f"example.org\n/{i}/",) for i in range(5)] + [("a.com\n/de/",)], "target string")
+    urls = spark.createDataFrame([(f"example.org{url_filter.EDGE}/{i}/",) for i in range(5)] + [(f"a.com{url_filter.EDGE}/de/",)], "target string")
     index = url_filter.index_rules(urls, url_filter.RULES)
     assert {e["rule"] for e in index["es"]} == {"example.org/es/"} and {e["rule"] for e in index["org"]} == {"org/"}
     assert "example" not in index
@@ -331,3 +331,21 @@ def test_repeated_ids_do_not_swell_the_sample(spark):
     rows = [(1, f"the cat {'and the dog ' * (k % 7)}", "en") for k in range(4000)] + [(2, "le chat et le chien", "fr")] * 30
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20)
     assert model.languages == ["en", "fr"]
+
+
+def test_exact_dedup_keeps_the_longest_of_one_id(spark):
+    rows = [(1, "a b"), (1, "ab"), (1, " a  b "), (1, "a  b  "), (2, "ab"), (None, "a b c"), (None, "abc")]
+    for seed in range(3):
+        docs = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string").repartition(3)
+        assert sorted(map(tuple, exact_dedup.keep_one(docs).collect()), key=str) == sorted([(1, min((" a  b ", "a  b  "), key=lambda t: sha256(t.encode()).hexdigest())), (None, "a b c")], key=str)
+
+
+def test_one_judge_of_letters(spark):
+    import unicodedata
+
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    assert all(language_id.has_letter(x) == unicodedata.category(x).startswith("L") for x in every)
+    assert not language_id.has_letter(None) and not language_id.has_letter("\u0558!") and language_id.has_letter("\u0558x")
+    docs = spark.createDataFrame([(k, "\u0558", "zz") for k in range(40)] + [(100 + k, "the dog", "en") for k in range(40)], "doc_id long, text string, lang string")
+    found = {(r["doc_id"] < 100, r["lang_pred"]) for r in language_id.identify(docs).collect()}
+    assert found == {(True, "und"), (False, "en")}
