@@ -1,7 +1,7 @@
 """Functions of this library for SQL: register(spark) makes them known by name.
 
-log_add(x, y), pair_identity(a, b), mea_score(a, b, s1) and the table function
-posterior_cells(a, b, s1) -> (i, j, p). Kernels run on Arrow batches.
+log_add(x, y) and pair_identity(a, b) are expressions of the JVM; mea_score(a, b, s1) and the table
+function posterior_cells(a, b, s1) -> (i, j, p) run the pair kernels on Arrow batches.
 """
 
 from __future__ import annotations
@@ -13,42 +13,44 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.model import CUTOFF, PairModel, ScoreMatrix
 
-
-def _posterior(a: str, b: str, s1: int, model: PairModel, matrix: ScoreMatrix) -> np.ndarray:
-    from kinfold.operators.align import pair_posterior
-
-    return pair_posterior(a, b, s1, model, matrix)
+#: Names, parameters and results of the functions that are expressions.
+EXPRESSIONS = {
+    "log_add(x DOUBLE, y DOUBLE) RETURNS DOUBLE": "CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN greatest(x, y) + log1p(exp(-abs(x - y))) END",
+    "pair_identity(a STRING, b STRING) RETURNS DOUBLE": """CASE WHEN length(a) > 0 AND length(b) > 0 THEN
+        size(filter(sequence(1, least(length(a), length(b))), k -> substring(a, k, 1) = substring(b, k, 1))) / least(length(a), length(b)) END""",
+}
 
 
 def register(spark: SparkSession, model: PairModel | None = None, matrix: ScoreMatrix | None = None) -> None:
     """Register the functions with the given model and matrix, or the defaults. A null argument gives null, or no rows."""
     model, matrix = model or PairModel(), matrix or ScoreMatrix.by_groups()
 
-    def log_add(x: pa.Array, y: pa.Array) -> pa.Array:
-        p, q = (np.asarray(c.to_numpy(zero_copy_only=False), float) for c in (x, y))
-        return pa.array(np.logaddexp(p, q), from_pandas=True)
-
-    def pair_identity(a: pa.Array, b: pa.Array) -> pa.Array:
-        def share(x: str | None, y: str | None) -> float | None:
-            n = min(len(x), len(y)) if x is not None and y is not None else 0
-            return sum(p == q for p, q in zip(x, y, strict=False)) / n if n else None
-
-        return pa.array([share(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
-
     def mea_score(a: pa.Array, b: pa.Array, s1: pa.Array) -> pa.Array:
+        from kinfold.operators.lattice import Kernel
         from kinfold.operators.trace import best_trace
 
-        rows = zip(a.to_pylist(), b.to_pylist(), s1.to_pylist(), strict=True)
-        return pa.array([None if None in r else best_trace(_posterior(*r, model, matrix))[1] for r in rows], pa.float64())
+        rows, kernel = list(zip(a.to_pylist(), b.to_pylist(), s1.to_pylist(), strict=True)), Kernel(model, matrix)
+        found: list[float | None] = [None] * len(rows)
+        for kind in {r[2] for r in rows if None not in r}:
+            mine = [k for k, r in enumerate(rows) if None not in r and r[2] == kind]
+            for at, p in kernel([rows[k][:2] for k in mine], kind):
+                found[mine[at]] = best_trace(p)[1]
+        return pa.array(found, pa.float64())
 
     class PosteriorCells:
+        def __init__(self):
+            from kinfold.operators.lattice import Kernel
+
+            self.kernel = Kernel(model, matrix)
+
         def eval(self, a: str, b: str, s1: int):
             if a is None or b is None or s1 is None:
                 return
-            p = _posterior(a, b, s1, model, matrix)
+            _, p = next(self.kernel([(a, b)], s1))
             for i, j in zip(*np.nonzero(p >= CUTOFF), strict=True):
                 yield int(i) + 1, int(j) + 1, float(p[i, j])
 
-    for function in (log_add, pair_identity, mea_score):
-        spark.udf.register(function.__name__, F.arrow_udf(function, "double"))
+    for signature, body in EXPRESSIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+    spark.udf.register("mea_score", F.arrow_udf(mea_score, "double"))
     spark.udtf.register("posterior_cells", F.udtf(PosteriorCells, returnType="i int, j int, p double"))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.model import CUTOFF, PairModel, ScoreMatrix
 from kinfold.operators import sparse
-from kinfold.operators.boltzmann import partition_posterior
-from kinfold.operators.hmm import expected_counts, local_posterior, posterior, viterbi
+from kinfold.operators.hmm import expected_counts, viterbi
+from kinfold.operators.lattice import Kernel
 from kinfold.operators.pairs import all_pairs
 from kinfold.operators.progressive import progressive, refine
 from kinfold.operators.trace import best_trace, distance
@@ -31,30 +31,25 @@ _TREE = "family string, node int, left int, right int, parent int, dist double,
 _ALIGNED = "family string, label int, row int, header string, residues string"
 
 
-def pair_posterior(a: str, b: str, s1: int, model: PairModel, matrix: ScoreMatrix) -> np.ndarray:
-    """s1: 0 pair-HMM, 1 partition function, 2 both, 3 both and the local model, by root mean square."""
-    kinds = {0: "h", 1: "p", 2: "hp"}.get(s1, "hpl")
-    make = {"h": lambda: posterior(a, b, model), "p": lambda: partition_posterior(a, b, matrix, *matrix.gaps), "l": lambda: local_posterior(a, b, model)}
-    found = [make[k]() for k in kinds]
-    return found[0] if len(found) == 1 else np.sqrt(sum(x * x for x in found) / len(found))
-
-
 def score_pairs(pairs: DataFrame, model: PairModel | None = None, matrix: ScoreMatrix | None = None, s1: int = DEFAULT_STRATEGY[0]) -> DataFrame:
     """family, a, b, d (distance) and the cells of posterior that reach the cutoff as arrays i, j, p.
 
-    pairs (family, a, b, res_a, res_b) may have a column s1 of its own.
+    s1: 0 pair-HMM, 1 partition function, 2 both, 3 both and the local model, by root mean square;
+    pairs (family, a, b, res_a, res_b) may have a column s1 of its own. A task takes its pairs in
+    batches of like length; a long pair goes alone, in memory for a byte and a number per cell.
     """
     model, matrix = model or PairModel(), matrix or ScoreMatrix.by_groups()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kernel = Kernel(model, matrix)
         for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                p = pair_posterior(r.res_a, r.res_b, int(r.s1), model, matrix)
-                _, score = best_trace(p)
-                i, j = np.nonzero(p >= CUTOFF)
-                rows.append((r.family, r.a, r.b, distance(score, *p.shape), i + 1, j + 1, p[i, j]))
-            yield pd.DataFrame(rows, columns=["family", "a", "b", "d", "i", "j", "p"])
+            for kind, part in frame.groupby("s1"):
+                rows, keys = [], part[["family", "a", "b"]].to_numpy(object)
+                for k, p in kernel(list(zip(part["res_a"], part["res_b"], strict=True)), int(kind)):
+                    _, score = best_trace(p)
+                    i, j = np.nonzero(p >= CUTOFF)
+                    rows.append((*keys[k], distance(score, *p.shape), i + 1, j + 1, p[i, j]))
+                yield pd.DataFrame(rows, columns=["family", "a", "b", "d", "i", "j", "p"])
 
     given = pairs if "s1" in pairs.columns else pairs.withColumn("s1", F.lit(s1))
     dealt = given.select("family", "a", "b", "res_a", "res_b", "s1").repartition("family", "a", "b")

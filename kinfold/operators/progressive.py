@@ -1,12 +1,17 @@
-"""Progressive alignment and randomised refinement of one family, on sparse posteriors."""
+"""Progressive alignment and randomised refinement of one family, on sparse posteriors.
+
+An alignment is a byte matrix with a row for each sequence. The stored cells of all pairs stand in
+flat arrays, so the profile of two groups is one weighted count over them, whatever their sizes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
-from kinfold.operators.trace import best_trace, with_gaps
+from kinfold.operators.trace import best_trace
 
 #: (a, b) with a < b -> places in a, places in b (both from 1), posteriors.
 Posteriors = dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -28,89 +33,133 @@ def glibc_rand() -> Iterator[int]:
             r = r[-40:]
 
 
-def columns_of(residues: str) -> np.ndarray:
-    """Columns, from 1, of the letters; index 0 is unused."""
-    return np.append(0, np.flatnonzero([x != "-" for x in residues]) + 1)
+GAP = ord("-")
+
+
+@dataclass
+class Rows:
+    """Labels and their aligned letters, in the order of the matrix."""
+
+    labels: list[int]
+    letters: np.ndarray
+
+    @classmethod
+    def of(cls, rows: dict[int, str]) -> Rows:
+        texts = list(rows.values())
+        width = len(texts[0]) if texts else 0
+        return cls(list(rows), np.frombuffer("".join(texts).encode("latin-1"), np.uint8).reshape(len(texts), width))
+
+    def texts(self) -> dict[int, str]:
+        return {s: row.tobytes().decode("latin-1") for s, row in zip(self.labels, self.letters, strict=True)}
+
+    def part(self, chosen: np.ndarray) -> Rows:
+        return Rows([s for s, c in zip(self.labels, chosen, strict=True) if c], self.letters[chosen])
+
+    def projected(self) -> Rows:
+        """Without the columns that are gaps in all rows."""
+        return Rows(self.labels, self.letters[:, (self.letters != GAP).any(axis=0)])
+
 
+class Cells:
+    """Stored cells of all pairs of a family: flat arrays of both labels, both places (from 0) and the posterior."""
 
-def profile(one: dict[int, str], two: dict[int, str], cells: Posteriors, weights: list[int] | None = None) -> np.ndarray:
-    """Summed posteriors of the columns of two alignments (label -> residues)."""
-    total = np.zeros((len(next(iter(one.values()))), len(next(iter(two.values())))))
-    at = {s: columns_of(r) for s, r in [*one.items(), *two.items()]}
-    scale = sum(weights[s] for s in one) * sum(weights[t] for t in two) if weights else 1
-    for s in one:
-        for t in two:
-            i, j, p = cells.get((min(s, t), max(s, t)), ((), (), ()))
-            if s > t:
-                i, j = j, i
-            if len(p):
-                w = weights[s] * weights[t] / scale if weights else 1.0
-                np.add.at(total, (at[s][i] - 1, at[t][j] - 1), w * p)
-    return total
+    def __init__(self, posteriors: Posteriors):
+        keys = [k for k, v in posteriors.items() if len(v[2])]
+        sizes = [len(posteriors[k][2]) for k in keys]
+        self.a, self.b = (np.repeat([k[x] for k in keys], sizes).astype(np.int64) for x in (0, 1))
+        self.i, self.j = (np.concatenate([np.asarray(posteriors[k][x]) for k in keys]).astype(np.int64) - 1 if keys else np.zeros(0, np.int64) for x in (0, 1))
+        self.p = np.concatenate([np.asarray(posteriors[k][2], float) for k in keys]) if keys else np.zeros(0)
 
+    def profile(self, one: Rows, two: Rows, weights: list[int] | None = None) -> np.ndarray:
+        """Summed posteriors of the columns of two alignments; with weights a pair counts its product, of all such products."""
+        top = max([*one.labels, *two.labels], default=-1) + 1
+        side, begins = np.zeros(top, np.int8), np.zeros(top, np.int64)
+        columns, size = [], 0
+        for k, rows in ((1, one), (2, two)):
+            counts = (rows.letters != GAP).sum(axis=1)
+            side[rows.labels] = k
+            begins[rows.labels] = size + np.cumsum(counts) - counts
+            columns.append(np.nonzero(rows.letters != GAP)[1])
+            size += int(counts.sum())
+        column = np.concatenate(columns)
+        known = (self.a < top) & (self.b < top)
+        a, b, i, j, p = self.a[known], self.b[known], self.i[known], self.j[known], self.p[known]
+        cross = side[a] * side[b] == 2
+        a, b, i, j, p = a[cross], b[cross], i[cross], j[cross], p[cross]
+        at_a, at_b = column[begins[a] + i], column[begins[b] + j]
+        first = side[a] == 1
+        if weights is not None:
+            w = np.asarray(weights, float)
+            p = p * (w[a] * w[b] / (w[one.labels].sum() * w[two.labels].sum()))
+        width = two.letters.shape[1]
+        place = np.where(first, at_a, at_b) * width + np.where(first, at_b, at_a)
+        return np.bincount(place, weights=p, minlength=one.letters.shape[1] * width).reshape(-1, width)
 
-def join(one: dict[int, str], two: dict[int, str], p: np.ndarray) -> tuple[dict[int, str], float]:
-    path, score = best_trace(p)
-    return {s: with_gaps(r, path, "X") for s, r in one.items()} | {t: with_gaps(r, path, "Y") for t, r in two.items()}, score
+
+def spread(rows: Rows, path: np.ndarray, own: int) -> np.ndarray:
+    """The letters of rows along an edit path, with gaps where it spends letters of the other side alone."""
+    found = np.full((len(rows.labels), len(path)), GAP, np.uint8)
+    found[:, (path == ord("B")) | (path == own)] = rows.letters
+    return found
+
+
+def join(one: Rows, two: Rows, p: np.ndarray) -> tuple[Rows, float]:
+    text, score = best_trace(p)
+    path = np.frombuffer(text.encode(), np.uint8)
+    return Rows(one.labels + two.labels, np.concatenate([spread(one, path, ord("X")), spread(two, path, ord("Y"))])), score
 
 
 def progressive(residues: list[str], merges: list[dict], cells: Posteriors, weights: list[int]) -> dict[int, str]:
     """Label -> aligned residues, merged in the order of the guide tree."""
-    held = {(k,): {k: r} for k, r in enumerate(residues)}
+    known = Cells(cells)
+    held = {(k,): Rows.of({k: r}) for k, r in enumerate(residues)}
     for m in merges:
         one, two = held.pop(tuple(m["left_leaves"])), held.pop(tuple(m["right_leaves"]))
-        done, _ = join(one, two, profile(one, two, cells, weights))
-        held[tuple(m["left_leaves"] + m["right_leaves"])] = done
-    return next(iter(held.values()), {})
+        held[tuple(m["left_leaves"] + m["right_leaves"])], _ = join(one, two, known.profile(one, two, weights))
+    return next((r.texts() for r in held.values()), {})
 
 
 def project(rows: dict[int, str]) -> dict[int, str]:
     """Rows without the columns that are gaps in all of them."""
-    keep = [k for k, column in enumerate(zip(*rows.values(), strict=True)) if any(x != "-" for x in column)]
-    return {s: "".join(r[k] for k in keep) for s, r in rows.items()}
-
-
-def _old_score(one: dict[int, str], two: dict[int, str], p: np.ndarray) -> float:
-    """Score of the alignment that the groups come from."""
-    i = j = 0
-    score = 0.0
-    for a, b in zip(zip(*one.values(), strict=True), zip(*two.values(), strict=True), strict=True):
-        has_a, has_b = any(x != "-" for x in a), any(x != "-" for x in b)
-        i, j = i + has_a, j + has_b
-        if has_a and has_b:
-            score += p[i - 1, j - 1]
-    return score
-
-
-def realign(rows: dict[int, str], one: dict[int, str], two: dict[int, str], cells: Posteriors) -> tuple[dict[int, str], int]:
-    """The two groups of rows aligned anew, and 1 if the score is what it was, else 0."""
-    a, b = project(one), project(two)
-    p = profile(a, b, cells)
-    before = _old_score(one, two, p)
-    found, score = join(a, b, p)
-    return found, int(before == score)
+    return Rows.of(rows).projected().texts()
 
 
-def refine_once(rows: dict[int, str], cells: Posteriors, draw: Iterator[int]) -> tuple[dict[int, str], int]:
-    """A random split in two, aligned anew; 2 if one side is empty. The first group's rows come first."""
-    odd = {s: next(draw) % 2 for s in rows}
-    one, two = {s: r for s, r in rows.items() if odd[s]}, {s: r for s, r in rows.items() if not odd[s]}
-    return realign(rows, one, two, cells) if one and two else (rows, 2)
+def old_score(one: np.ndarray, two: np.ndarray, p: np.ndarray) -> float:
+    """Score of the alignment that two groups of its rows come from, with p over their own columns; summed from left to right."""
+    has_a, has_b = (one != GAP).any(axis=0), (two != GAP).any(axis=0)
+    both = has_a & has_b
+    values = p[(np.cumsum(has_a) - 1)[both], (np.cumsum(has_b) - 1)[both]]
+    return float(np.cumsum(values)[-1]) if len(values) else 0.0
+
+
+def realign(rows: Rows, chosen: np.ndarray, cells: Cells) -> tuple[Rows, int]:
+    """The chosen rows and the others aligned anew, and 1 if the score is what it was, 0 if not, 2 if one side is empty.
+
+    The chosen rows come first.
+    """
+    if chosen.all() or not chosen.any():
+        return rows, 2
+    one, two = rows.part(chosen), rows.part(~chosen)
+    a, b = one.projected(), two.projected()
+    p = cells.profile(a, b)
+    found, score = join(a, b, p)
+    return found, int(old_score(one.letters, two.letters, p) == score)
 
 
 def refine_by_tree(rows: dict[int, str], leaves: list[int], cells: Posteriors) -> tuple[dict[int, str], int]:
-    """The same for the leaves of a subtree against all others."""
-    one, two = {s: r for s, r in rows.items() if s in set(leaves)}, {s: r for s, r in rows.items() if s not in set(leaves)}
-    return realign(rows, one, two, cells) if one and two else (rows, 2)
+    """The leaves of a subtree realigned against all others."""
+    given = Rows.of(rows)
+    found, flag = realign(given, np.isin(given.labels, leaves), Cells(cells))
+    return found.texts(), flag
 
 
 def refine(rows: dict[int, str], cells: Posteriors, s1: int) -> dict[int, str]:
-    """Rounds of refine_once. Middle-sized families get one more round for each without effect, within bounds."""
-    n, draw = len(rows), glibc_rand()
+    """Rounds of random splits. Middle-sized families get one more round for each without effect, within bounds."""
+    n, draw, known, now = len(rows), glibc_rand(), Cells(cells), Rows.of(rows)
     rounds = FEW_ROUNDS if s1 == 2 or n >= LARGE else ROUNDS
     grows, idle, k = MEDIUM < n < LARGE and s1 < 2, 0, 0
     while k < rounds:
-        rows, flag = refine_once(rows, cells, draw)
+        now, flag = realign(now, np.array([next(draw) % 2 == 1 for _ in range(n)]), known)
         if grows:
             if flag and rounds < 4 * n:
                 rounds += 1
@@ -118,4 +167,4 @@ def refine(rows: dict[int, str], cells: Posteriors, s1: int) -> dict[int, str]:
             if idle > 2 * n and k > 100:
                 break
         k += 1
-    return rows
+    return now.texts()

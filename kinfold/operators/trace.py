@@ -10,26 +10,24 @@ from kinfold.operators.hmm import NONE, _cells
 def best_trace(p: np.ndarray) -> tuple[str, float]:
     """Edit path of largest summed posterior and that sum; ties prefer B, then Y, then X.
 
-    A row of the sums is the running maximum of its candidates, so rows are whole-array steps.
+    A row of the sums is the running maximum of its candidates, so rows are whole-array steps. Two
+    rows of sums and a byte per cell for the way back are all that is held.
     """
     m, n = p.shape
-    h = np.zeros((m + 1, n + 1))
-    for i in range(1, m + 1):
-        h[i, 1:] = np.maximum(h[i - 1, :-1] + p[i - 1], h[i - 1, 1:])
-        np.maximum.accumulate(h[i], out=h[i])
+    came = np.zeros((m, n), np.int8)
+    above, row = np.zeros(n + 1), np.zeros(n + 1)
+    for i in range(m):
+        straight = above[:-1] + p[i]
+        np.maximum(straight, above[1:], out=row[1:])
+        np.maximum.accumulate(row, out=row)
+        came[i] = np.where(row[1:] == straight, 0, np.where(row[1:] == row[:-1], 2, 1))
+        above, row = row, above
     i, j, path = m, n, []
-    while i or j:
-        if not i:
-            step = "Y"
-        elif not j:
-            step = "X"
-        elif h[i, j] == h[i - 1, j - 1] + p[i - 1, j - 1]:
-            step = "B"
-        else:
-            step = "Y" if h[i, j] == h[i, j - 1] else "X"
-        path.append(step)
-        i, j = i - (step != "Y"), j - (step != "X")
-    return "".join(reversed(path)), float(h[m, n])
+    while i and j:
+        step = came[i - 1, j - 1]
+        path.append("BXY"[step])
+        i, j = i - (step != 2), j - (step != 1)
+    return "Y" * j + "X" * i + "".join(reversed(path)), float(above[n])
 
 
 def best_trace_with_gaps(p: np.ndarray, opening: float, longer: float) -> tuple[str, float]:

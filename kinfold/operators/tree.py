@@ -28,24 +28,37 @@ def build_tree(d: np.ndarray, linkage: int = UPGMA) -> list[Node]:
     nodes = [Node() for _ in range(n)]
     d = np.maximum(np.array(d, float), 0)
     np.fill_diagonal(d, np.inf)
-    live, node_of = list(range(n)), list(range(n))
-    while len(live) > 1:
-        best = (np.inf, -1, -1)
-        for i in live:
-            for j in live:
-                if j < i and d[i, j] < best[0]:
-                    best = (d[i, j], i, j)
-        near, i, j = best
+    node_of = list(range(n))
+    # of each row the nearest of the rows before it, the first of equally near ones
+    of = np.zeros(n, int)
+    near = np.full(n, np.inf)
+
+    def look(row: int) -> None:
+        of[row] = d[row, :row].argmin()
+        near[row] = d[row, of[row]]
+
+    for row in range(1, n):
+        look(row)
+    for _ in range(n - 1):
+        i = int(near.argmin())  # the first row of those whose nearest is nearest
+        j, least = int(of[i]), near[i]
         left, right = node_of[i], node_of[j]
         a, b = nodes[left].leaves, nodes[right].leaves
         nodes.append(Node(left, right, -1, 0.0, a + b))
         for child in (left, right):
-            nodes[child].parent, nodes[child].dist = len(nodes) - 1, near / 2
+            nodes[child].parent, nodes[child].dist = len(nodes) - 1, least / 2
         merged = (d[i] * a + d[j] * b) / (a + b) if linkage == UPGMA else (d[i] + d[j]) / 2
         d[i], d[:, i] = merged, merged
         d[i, i] = np.inf
+        d[j], d[:, j], near[j] = np.inf, np.inf, np.inf
         node_of[i] = len(nodes) - 1
-        live.remove(j)
+        # only rows that pointed at one of the two must be looked through; rows after i may now be nearest to it
+        lost = np.flatnonzero((of == j) | (of == i))
+        later = np.arange(i + 1, n)
+        closer = later[(d[later, i] < near[later]) | ((d[later, i] == near[later]) & (i < of[later]) & np.isfinite(near[later]))]
+        near[closer], of[closer] = d[closer, i], i
+        for row in (i, *lost[np.isfinite(near[lost])].tolist()):
+            look(row)
     return nodes
 
 

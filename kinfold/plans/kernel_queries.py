@@ -141,5 +141,4 @@ def udf_identity(spark, sf_dir):
 def udtf_posterior(spark, sf_dir):
     """posterior_partition by the table function posterior_cells, from SQL."""
     udfs.register(spark)
-    _pairs(spark, sf_dir).createOrReplaceTempView("kinfold_pairs")
-    return spark.sql("SELECT family, a, b, i, j, round(p, 6) AS p FROM kinfold_pairs, LATERAL posterior_cells(res_a, res_b, 1)")
+    return spark.sql("SELECT family, a, b, i, j, round(p, 6) AS p FROM {pairs}, LATERAL posterior_cells(res_a, res_b, 1)", pairs=_pairs(spark, sf_dir))

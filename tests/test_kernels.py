@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from kinfold.functions.model import ALPHABET, PairModel, ScoreMatrix, strategy_of
-from kinfold.operators import boltzmann, hmm, progressive, trace, tree
+from kinfold.operators import boltzmann, hmm, lattice, progressive, trace, tree
 
 MODEL, MATRIX = PairModel(), ScoreMatrix.by_groups()
 
@@ -213,3 +213,82 @@ def test_matrices_and_strategies():
     assert ScoreMatrix.nucleotides().scores["A", "A"] == 1 and ScoreMatrix.nucleotides().scores["A", "C"] == 0
     assert np.isclose(sum(MODEL.pair.values()), 1)
     assert [strategy_of(c) for c in range(5)] == [(0, 1, 1), (1, 0, 1), (2, 0, 0), (3, 0, 1), (3, 0, 1)]
+
+
+def of_one(a, b, s1):
+    """The posterior of a strategy by the kernels that hold every state of every cell."""
+    kinds = {"h": lambda: hmm.posterior(a, b, MODEL), "p": lambda: boltzmann.partition_posterior(a, b, MATRIX, *MATRIX.gaps), "l": lambda: hmm.local_posterior(a, b, MODEL)}
+    found = [kinds[k]() for k in lattice.Kernel.KINDS[s1]]
+    return found[0] if len(found) == 1 else np.sqrt(sum(x * x for x in found) / len(found))
+
+
+@pytest.mark.parametrize("s1", range(4))
+def test_batches_equal_single_pairs(s1, monkeypatch):
+    some = words(3, 30, 60)
+    pairs = [*zip(some[::2], some[1::2], strict=True), ("", "A"), ("A", ""), ("A", "W"), ("XBZ", "acd"), ("A" * 40, "A")]
+    for cells, block in ((1 << 20, 16 << 20), (4000, 1)):  # with and without checkpoints between
+        monkeypatch.setattr(lattice, "BLOCK_BYTES", block)
+        monkeypatch.setattr(lattice.batches, "__defaults__", (cells,))
+        seen = set()
+        for k, p in lattice.Kernel(MODEL, MATRIX)(pairs, s1):
+            seen.add(k)
+            assert p.shape == tuple(map(len, pairs[k])) and np.allclose(p, of_one(*pairs[k], s1), rtol=1e-9, atol=1e-12)
+        assert seen == set(range(len(pairs)))
+
+
+@pytest.mark.parametrize("s1", [0, 1, 3])
+def test_long_repeats_stay_in_range(s1):
+    """Two places of one domain, whose prefixes differ by more than a double's range, share the probability."""
+    part = "".join(random.Random(2).choices(ALPHABET, k=700))
+    p = lattice.pair_posterior(part, part + part, s1, MODEL, MATRIX)
+    assert np.isfinite(p).all() and np.allclose(p, of_one(part, part + part, s1), rtol=1e-7, atol=1e-9)
+    assert p.sum(axis=0).max() < 1 + 1e-6
+
+
+def test_memory_of_a_long_pair():
+    import tracemalloc
+
+    rng = random.Random(3)
+    a, b = ("".join(rng.choices(ALPHABET, k=n)) for n in (6000, 1000))
+    tracemalloc.start()
+    trace.best_trace(lattice.pair_posterior(a, b, 0, MODEL, MATRIX))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 14 * len(a) * len(b)
+
+
+def scanned_tree(d, linkage):
+    """The tree by a scan over all pairs for each merge."""
+    d = np.maximum(np.array(d, float), 0)
+    live, node_of, leaves, merges = list(range(len(d))), list(range(len(d))), [1] * len(d), []
+    while len(live) > 1:
+        near, i, j = min((d[i, j], i, j) for i in live for j in live if j < i)
+        a, b = leaves[node_of[i]], leaves[node_of[j]]
+        merges.append((node_of[i], node_of[j], near / 2))
+        d[i] = d[:, i] = (d[i] * a + d[j] * b) / (a + b) if linkage == tree.UPGMA else (d[i] + d[j]) / 2
+        leaves.append(a + b)
+        node_of[i] = len(leaves) - 1
+        live.remove(j)
+    return merges
+
+
+@pytest.mark.parametrize("linkage", [tree.UPGMA, tree.WPGMA])
+def test_trees_equal_a_scan_with_ties(linkage):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 5, 9, 20, 33):
+        for levels in (1, 2, 3, 1000):
+            d = rng.integers(-1, levels, (n, n)) / 7
+            d = np.tril(d, -1) + np.tril(d, -1).T
+            nodes = tree.build_tree(d, linkage)
+            assert [(x.left, x.right, nodes[x.left].dist) for x in nodes[n:]] == scanned_tree(d, linkage)
+
+
+def test_a_large_tree():
+    import time
+
+    rng = np.random.default_rng(1)
+    points = rng.random((3000, 2))
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    began = time.perf_counter()
+    nodes = tree.build_tree(d)
+    assert len(nodes) == 5999 and nodes[-1].leaves == 3000 and time.perf_counter() - began < 30

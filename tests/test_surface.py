@@ -13,7 +13,7 @@ from kinfold import __main__ as command
 from kinfold.functions import udfs
 from kinfold.functions.model import PairModel, ScoreMatrix, gap_costs, matrix_name
 from kinfold.operators import classify, sparse
-from kinfold.operators.align import pair_posterior
+from kinfold.operators.lattice import pair_posterior
 from kinfold.operators.trace import best_trace
 from kinfold.sources import fasta, parameters, shared
 
