@@ -1,7 +1,8 @@
 """Alignment of families as a chain of tables: pairs, posteriors, trees, consistency, alignment.
 
-Pair kernels run per pair and are dealt by (family, a, b), so a large family spreads. The tree
-and the merges of one family are sequential and run in one task each; families are independent.
+Pair kernels run per pair and are dealt by (family, a, b), so a large family spreads. The tree of
+a family is built in one task, and so are the merges of each of its subtrees; the merges above
+them and the refinement of large families are joins and one task for each merge (see levels).
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.model import CUTOFF, PairModel, ScoreMatrix
-from kinfold.operators import sparse
+from kinfold.operators import levels, sparse
 from kinfold.operators.hmm import expected_counts, viterbi
 from kinfold.operators.lattice import Kernel
 from kinfold.operators.pairs import all_pairs
-from kinfold.operators.progressive import progressive, refine
+from kinfold.operators.progressive import FEW_ROUNDS, LARGE
 from kinfold.operators.trace import best_trace, distance
-from kinfold.operators.tree import build_tree, merge_order, weights
+from kinfold.operators.tree import build_tree, merge_order, nodes_of, weights
 from kinfold.sources.shared import stored
 
 CONSISTENCY_ROUNDS = 2
@@ -28,7 +29,6 @@ DEFAULT_STRATEGY = (3, 0, 0)
 
 _SCORED = "family string, a int, b int, d double, i array<int>, j array<int>, p array<double>"
 _TREE = "family string, node int, left int, right int, parent int, dist double, is_leaf boolean, n_leaves int"
-_ALIGNED = "family string, label int, row int, header string, residues string"
 
 
 def score_pairs(pairs: DataFrame, model: PairModel | None = None, matrix: ScoreMatrix | None = None, s1: int = DEFAULT_STRATEGY[0]) -> DataFrame:
@@ -62,32 +62,28 @@ def cells_of(scored: DataFrame) -> DataFrame:
 
 
 def trees(distances: DataFrame, sequences: DataFrame, linkage: int = 0) -> DataFrame:
-    """The guide tree of each family as rows of nodes; the leaves are the labels in order, -1 stands for none."""
+    """The guide tree of each family as rows of nodes; the leaves are the labels in order, -1 stands for none.
+
+    sequences (family, label) may have a column s2, the linkage of its family.
+    """
 
     def run(key, frame, pairs):
-        labels = sorted(frame["label"])
-        at = {x: k for k, x in enumerate(labels)}
+        labels = np.sort(frame["label"].to_numpy())
         d = np.zeros((len(labels), len(labels)))
-        for r in pairs.itertuples(index=False):
-            d[at[r.a], at[r.b]] = d[at[r.b], at[r.a]] = r.d
-        nodes = build_tree(d, linkage)
+        i, j = (np.searchsorted(labels, pairs[c].to_numpy()) for c in ("a", "b"))
+        d[i, j] = d[j, i] = pairs["d"].to_numpy()
+        nodes = build_tree(d, int(frame["s2"].iloc[0]) if len(frame) else 0)
         return pd.DataFrame([(key[0], k, n.left, n.right, n.parent, n.dist, n.left < 0, n.leaves) for k, n in enumerate(nodes)], columns=[c.split()[0] for c in _TREE.split(", ")])
 
-    return sequences.select("family", "label").groupBy("family").cogroup(distances.select("family", "a", "b", "d").groupBy("family")).applyInPandas(run, _TREE)
-
-
-def _nodes(frame: pd.DataFrame):
-    from kinfold.operators.tree import Node
-
-    frame = frame.sort_values("node")
-    return [Node(int(r.left), int(r.right), int(r.parent), float(r.dist), int(r.n_leaves)) for r in frame.itertuples(index=False)]
+    s2 = F.col("s2") if "s2" in sequences.columns else F.lit(linkage)
+    return sequences.select("family", "label", s2.alias("s2")).groupBy("family").cogroup(distances.select("family", "a", "b", "d").groupBy("family")).applyInPandas(run, _TREE)
 
 
 def sequence_weights(tree: DataFrame) -> DataFrame:
     """family, label, w."""
 
     def run(key, frame):
-        w = weights(_nodes(frame), int(frame["is_leaf"].sum()))
+        w = weights(nodes_of(frame), int(frame["is_leaf"].sum()))
         return pd.DataFrame({"family": key[0], "label": range(len(w)), "w": w})
 
     return tree.groupBy("family").applyInPandas(run, "family string, label int, w int")
@@ -99,38 +95,38 @@ def merge_schedules(tree: DataFrame) -> DataFrame:
 
     def run(key, frame):
         columns = [c.split()[0] for c in schema.split(", ")]
-        return pd.DataFrame([{"family": key[0], **m} for m in merge_order(_nodes(frame))], columns=columns)
+        return pd.DataFrame([{"family": key[0], **m} for m in merge_order(nodes_of(frame))], columns=columns)
 
     return tree.groupBy("family").applyInPandas(run, schema)
 
 
-def merge_families(sequences: DataFrame, cells: DataFrame, tree: DataFrame, s1: int, keep_order: bool = True, rounds: bool = True) -> DataFrame:
+def merge_families(sequences: DataFrame, cells: DataFrame, tree: DataFrame, s1: int | DataFrame, keep_order: bool = True, rounds: bool = True, hold=stored, most: int = LARGE - 1) -> DataFrame:
     """family, label, row, header, residues of the final alignments.
 
     row is the place of a sequence in the output: its label if keep_order, else the order of the last merge.
+    s1, a number or a table (family, s1), sets the rounds of refinement. Subtrees of at most most
+    sequences are merged in a task each; what is above them, in larger families, goes level by level.
     """
-    packed = cells.groupBy("family", "a", "b").agg(F.collect_list(F.struct("i", "j", "p")).alias("cells"))
-    packed = packed.select("family", "a", "b", F.transform("cells", lambda c: c["i"]).alias("i"), F.transform("cells", lambda c: c["j"]).alias("j"), F.transform("cells", lambda c: c["p"]).alias("p"))
-    none = lambda *kinds: [F.lit(None).cast(k) for k in kinds]
-    nodes = tree.select("family", "node", "left", "right", "parent", "dist", "is_leaf", "n_leaves", F.lit(None).cast("string").alias("header"), F.lit(None).cast("string").alias("residues"))
-    rows = sequences.select("family", F.col("label").alias("node"), *none("int", "int", "int", "double", "boolean", "int"), "header", "residues").toDF(*nodes.columns)
-
-    def run(key, given, pairs):
-        own = given[given["residues"].notna()].sort_values("node")
-        nodes = _nodes(given[given["residues"].isna()])
-        labels = own["node"].tolist()
-        at = {x: k for k, x in enumerate(labels)}
-        posteriors = {(at[r.a], at[r.b]): (np.asarray(r.i), np.asarray(r.j), np.asarray(r.p)) for r in pairs.itertuples(index=False)}
-        aligned = progressive(own["residues"].tolist(), merge_order(nodes), posteriors, weights(nodes, len(labels)))
+    kinds = s1 if isinstance(s1, DataFrame) else None
+    parts = hold(levels.subtrees(tree, sequences, most))
+    given = sequences.select("family", "label", "residues").join(parts.select("family", "label", "root", "leaf", "w", "n"), ["family", "label"])
+    given = given.join(kinds.select("family", "s1"), "family") if kinds is not None else given.withColumn("s1", F.lit(s1))
+    done = hold(levels.merge_subtrees(given, cells, parts, keep_order, rounds))
+    whole, state = done.filter("n <= size").select("family", "label", "place", "residues"), done.filter("n > size")
+    # the loops are as long as the tallest tree above its subtrees, and run only if a family is that large
+    schedule = levels.merges_above(tree, most)
+    tallest = schedule.agg(F.max("level")).first()[0] or 0
+    if tallest:
+        schedule, state = hold(schedule), hold(state.select("family", F.col("root").alias("node"), "place", "label", "residues", "w"))
+        for level in range(1, tallest + 1):
+            state = hold(levels.merge_level(state, cells, schedule.filter(F.col("level") == level)))
+        state = state.select("family", "place", "label", "residues")
         if keep_order:
-            aligned = dict(sorted(aligned.items()))
-        if rounds and len(aligned) > 1:
-            aligned = refine(aligned, posteriors, s1)
-        headers = own["header"].tolist()
-        order = sorted(aligned) if keep_order else list(aligned)
-        return pd.DataFrame([(key[0], labels[k], row, headers[k], aligned[k]) for row, k in enumerate(order)], columns=[c.split()[0] for c in _ALIGNED.split(", ")])
-
-    return rows.unionByName(nodes).groupBy("family").cogroup(packed.groupBy("family")).applyInPandas(run, _ALIGNED)
+            state = levels.in_order(state, "label")
+        for k in range(FEW_ROUNDS if rounds else 0):
+            state = hold(levels.refine_round(state, cells, k))
+        whole = whole.unionByName(levels.in_order(state, "label" if keep_order else "place").select("family", "label", "place", "residues"))
+    return whole.join(sequences.select("family", "label", "header"), ["family", "label"]).select("family", "label", F.col("place").alias("row"), "header", "residues")
 
 
 def align(sequences: DataFrame, strategy: tuple[int, int, int] = DEFAULT_STRATEGY, model: PairModel | None = None, matrix: ScoreMatrix | None = None, keep_order: bool = True, hold=stored) -> DataFrame:
@@ -146,18 +142,22 @@ def align(sequences: DataFrame, strategy: tuple[int, int, int] = DEFAULT_STRATEG
     w = sequence_weights(tree) if s3 else None
     for _ in range(CONSISTENCY_ROUNDS):
         cells = hold(sparse.consistency(cells, sequences, w))
-    return merge_families(sequences, cells, tree, s1, keep_order)
-
-
-def align_by_strategy(sequences: DataFrame, strategies: DataFrame, **more) -> DataFrame:
-    """Align each family by its own strategy (family, s1, s2, s3): one pass for each strategy in use, sixteen at most."""
-    used = strategies.select("s1", "s2", "s3").distinct().collect()
-    found = None
-    for r in used:
-        mine = strategies.filter((F.col("s1") == r["s1"]) & (F.col("s2") == r["s2"]) & (F.col("s3") == r["s3"]))
-        part = align(sequences.join(mine.select("family"), "family", "left_semi"), (r["s1"], r["s2"], r["s3"]), **more)
-        found = part if found is None else found.unionByName(part)
-    return found
+    return merge_families(sequences, cells, tree, s1, keep_order, hold=hold)
+
+
+def align_by_strategy(sequences: DataFrame, strategies: DataFrame, model: PairModel | None = None, matrix: ScoreMatrix | None = None, keep_order: bool = True, hold=stored) -> DataFrame:
+    """Align each family by its own strategy (family, s1, s2, s3), all families in one pass.
+
+    Families that strategies lacks are left out. Consistency without weights is that with weights of one.
+    """
+    given = sequences.join(strategies.select("family", "s1", "s2", "s3"), "family")
+    scored = hold(score_pairs(all_pairs(given).join(strategies.select("family", "s1"), "family"), model, matrix))
+    cells, tree = cells_of(scored), hold(trees(scored, given))
+    w = sequence_weights(tree).join(strategies.select("family", "s3"), "family")
+    w = hold(w.select("family", "label", F.when(F.col("s3") == 1, F.col("w")).otherwise(1).alias("w")))
+    for _ in range(CONSISTENCY_ROUNDS):
+        cells = hold(sparse.consistency(cells, given, w))
+    return merge_families(given, cells, tree, strategies, keep_order, hold=hold)
 
 
 def pair_features(pairs: DataFrame, model: PairModel | None = None, matrix: ScoreMatrix | None = None) -> DataFrame:

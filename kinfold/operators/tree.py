@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 
 UPGMA, WPGMA = 0, 1
 
@@ -94,3 +95,28 @@ def merge_order(nodes: list[Node]) -> list[dict]:
             number[at] = len(number) + 1
             found.append({"ord": number[at], "depth": depth, "left_ord": number.get(node.left, 0), "right_ord": number.get(node.right, 0), "left_leaves": leaves[node.left], "right_leaves": leaves[node.right]})
     return found
+
+
+def nodes_of(frame: pd.DataFrame) -> list[Node]:
+    """The nodes of one tree from its rows."""
+    frame = frame.sort_values("node")
+    return [Node(int(r.left), int(r.right), int(r.parent), float(r.dist), int(r.n_leaves)) for r in frame.itertuples(index=False)]
+
+
+def subtree_roots(nodes: list[Node], most: int) -> list[int]:
+    """Of each node the root of its subtree of at most most leaves; nodes above such subtrees are their own."""
+    roots = list(range(len(nodes)))
+    for k in reversed(range(len(nodes))):
+        parent = nodes[k].parent
+        if parent >= 0 and nodes[parent].leaves <= most:
+            roots[k] = roots[parent]
+    return roots
+
+
+def levels_above(nodes: list[Node], most: int) -> dict[int, int]:
+    """Of each node with more than most leaves its level: one more than its children's highest, subtrees have 0."""
+    found: dict[int, int] = {}
+    for k, node in enumerate(nodes):  # children come before their parents
+        if node.leaves > most:
+            found[k] = 1 + max(found.get(node.left, 0), found.get(node.right, 0))
+    return found
