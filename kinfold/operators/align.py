@@ -8,20 +8,22 @@ them and the refinement of large families are joins and one task for each merge
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.model import CUTOFF, PairModel, ScoreMatrix
 from kinfold.operators import levels, sparse
-from kinfold.operators.hmm import expected_counts, viterbi
-from kinfold.operators.lattice import Kernel
+from kinfold.operators.hmm import viterbi
+from kinfold.operators.lattice import Counts, Kernel
 from kinfold.operators.pairs import all_pairs
 from kinfold.operators.progressive import FEW_ROUNDS, LARGE
 from kinfold.operators.trace import best_trace, distance
 from kinfold.operators.tree import build_tree, merge_order, nodes_of, weights
+from kinfold.sources.parameters import read_model, write_model
 from kinfold.sources.shared import stored
 
 CONSISTENCY_ROUNDS = 2
@@ -194,43 +196,118 @@ def family_features(features: DataFrame) -> DataFrame:
 
 
 def expected_parameters(pairs: DataFrame, model: PairModel | None = None) -> DataFrame:
-    """family, a, b, key, value: expected counts of each pair (see hmm.expected_counts)."""
+    """family, a, b, key, value: expected use of the model's parameters in each pair: init:s, move:s:t, pair:xy, single:x.
+
+    Letters that the model lacks are one letter, ?. A pair with an empty sequence has no row.
+    """
     model = model or PairModel()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kernel = Kernel(model, ScoreMatrix.by_groups())
+        names = np.array([*kernel.letters, "?"])
+        linked = np.isfinite(model.transitions())
         for frame in frames:
-            rows = [(r.family, r.a, r.b, k, v) for r in frame.itertuples(index=False) for k, v in expected_counts(r.res_a, r.res_b, model).items()]
-            yield pd.DataFrame(rows, columns=["family", "a", "b", "key", "value"])
+            texts, keys = list(zip(frame["res_a"], frame["res_b"], strict=True)), frame[["family", "a", "b"]].to_numpy(object)
+            for numbers, c in kernel.counts(texts):
+                rows = []
+                for q, k in enumerate(numbers):
+                    x, y = (np.unique(kernel.code(t)) for t in texts[k])
+                    pairs_of = np.unique(np.sort([(i, j) for i in x for j in y], axis=1), axis=0)
+                    rows += [(*keys[k], f"init:{s}", v) for s, v in enumerate(c.init[q].tolist())]
+                    rows += [(*keys[k], f"move:{s}:{t}", c.moves[q, s, t]) for s, t in np.argwhere(linked).tolist()]
+                    rows += [(*keys[k], f"pair:{names[i]}{names[j]}", c.match[q, i, j] + (c.match[q, j, i] if i != j else 0.0)) for i, j in pairs_of.tolist()]
+                    rows += [(*keys[k], f"single:{names[i]}", c.single[q, i]) for i in np.union1d(x, y).tolist()]
+                yield pd.DataFrame(rows, columns=["family", "a", "b", "key", "value"])
 
     return pairs.select("family", "a", "b", "res_a", "res_b").repartition("family", "a", "b").mapInPandas(run, "family string, a int, b int, key string, value double")
 
 
-def reestimated(counts: dict[str, float], model: PairModel) -> PairModel:
-    """Model parameters from counts; the gap parameters of both states of a pair are tied, emissions normalised."""
-    get = lambda k: counts.get(k, 0.0)
-    starts = [get(f"init:{s}") for s in range(5)]
-    starts = [starts[0], *[(starts[2 * k + 1] + starts[2 * k + 2]) / 2 for k in (0, 0, 1, 1)]]
-    whole = sum(starts) or 1.0
-    leaving = sum(get(f"move:0:{r}") for r in range(5)) or 1.0
+def step_sums(pairs: DataFrame, model: PairModel) -> tuple[np.ndarray, float]:
+    """Expected counts as one vector, and the log probability: means over the pairs of each family, then over families.
+
+    A task adds up the vectors of each family's pairs; what is shuffled has as many rows as tasks,
+    families and parameters, what the driver gets as many as there are parameters.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kernel, sums = Kernel(model, ScoreMatrix.by_groups()), {}
+        for frame in frames:
+            families = frame["family"].to_numpy()
+            for numbers, c in kernel.counts(list(zip(frame["res_a"], frame["res_b"], strict=True))):
+                vectors = np.column_stack([c.vectors(), c.logs, np.ones(len(numbers))])
+                for family in set(families[numbers]):
+                    sums[family] = sums.get(family, 0.0) + vectors[families[numbers] == family].sum(axis=0)
+        if sums:
+            yield pd.DataFrame({"family": list(sums), "v": list(sums.values())})
+
+    dealt = pairs.select("family", "a", "b", "res_a", "res_b").repartition("family", "a", "b")
+    parts = dealt.mapInPandas(run, "family string, v array<double>").select("family", F.element_at("v", -1).alias("pairs"), F.posexplode("v").alias("at", "x"))
+    means = parts.groupBy("family", "at").agg((F.sum("x") / F.sum("pairs")).alias("x")).groupBy("at").agg(F.avg("x").alias("x")).orderBy("at").collect()
+    vector = np.array([r["x"] for r in means])
+    return vector[:-2], float(vector[-2]) if len(vector) else 0.0
+
+
+def reestimated(vector: np.ndarray, model: PairModel) -> PairModel:
+    """Model parameters from counts; the gap parameters of both states of a pair are tied, emissions normalised.
+
+    What was never used keeps its old value; letters that the model lacks don't count.
+    """
+    letters = Kernel(model, ScoreMatrix.by_groups()).letters
+    init, moves, match, single = Counts.of_vector(vector, len(model.init), len(letters) + 1)
+    starts = np.array([init[0], *[(init[2 * k + 1] + init[2 * k + 2]) / 2 for k in (0, 0, 1, 1)]])
+    whole, leaving = starts.sum() or 1.0, moves[0].sum() or 1.0
     opened, longer = [], []
     for k in (0, 1):
         x, y = 2 * k + 1, 2 * k + 2
-        opened += [(get(f"move:0:{x}") + get(f"move:0:{y}")) / (2 * leaving)] * 2
-        inside = sum(get(f"move:{s}:{r}") for s in (x, y) for r in range(5)) or 1.0
-        longer += [(get(f"move:{x}:{x}") + get(f"move:{y}:{y}")) / inside] * 2
-    pairs = {k[5:]: v for k, v in counts.items() if k.startswith("pair:")}
-    singles = {k[7:]: v for k, v in counts.items() if k.startswith("single:")}
-    sum_pairs, sum_singles = sum(pairs.values()) or 1.0, sum(singles.values()) or 1.0
-    pair = {xy: v / sum_pairs for k, v in pairs.items() for xy in ((k[0], k[1]), (k[1], k[0]))}
-    return PairModel(tuple(x / whole for x in starts), tuple(opened), tuple(longer), {x: v / sum_singles for x, v in singles.items()} or model.single, pair or model.pair)
-
-
-def train(sequences: DataFrame, model: PairModel | None = None) -> PairModel:
-    """One step of expectation maximisation: counts are averaged over pairs, then over families."""
-    model = model or PairModel()
-    counts = expected_parameters(all_pairs(sequences), model)
-    pairs = counts.select("family", "a", "b").distinct().groupBy("family").agg(F.count("*").alias("pairs"))
-    families = pairs.count()
-    # a key that a pair lacks counts 0 for it; the keys are those of the model, a fixed number
-    means = counts.groupBy("family", "key").agg(F.sum("value").alias("v")).join(pairs, "family").groupBy("key").agg((F.sum(F.col("v") / F.col("pairs")) / F.lit(families)).alias("v"))
-    return reestimated({r["key"]: r["v"] for r in means.collect()}, model)
+        opened += [float(moves[0, x] + moves[0, y]) / (2 * leaving)] * 2
+        inside = moves[[x, y]].sum() or 1.0
+        longer += [float(moves[x, x] + moves[y, y]) / inside] * 2
+    match, single = match[:-1, :-1], single[:-1]
+    match = match + match.T - np.diag(np.diag(match))  # of two letters in either order
+    once = np.triu(match).sum()
+    pair = {(x, y): float(match[i, j] / once) for i, x in enumerate(letters) for j, y in enumerate(letters) if match[i, j] > 0} if once else model.pair
+    alone = {x: float(v / single.sum()) for x, v in zip(letters, single, strict=True) if v > 0} if single.sum() else model.single
+    return PairModel(tuple((starts / whole).tolist()), tuple(opened), tuple(longer), alone, pair)
+
+
+@dataclass
+class Trained:
+    """The model that training began with and those after each step, and the log probability before each step: of a pair, in the mean of families."""
+
+    models: list[PairModel]
+    logs: list[float]
+
+    @property
+    def model(self) -> PairModel:
+        return self.models[-1]
+
+
+def _saved(spark: SparkSession, folder: str, step: int) -> PairModel | None:
+    path = f"{folder}/step={step}"
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return read_model(spark, path) if found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found) else None
+
+
+def train(sequences: DataFrame, model: PairModel | None = None, steps: int = 1, tolerance: float = 0.0, folder: str | None = None, hold=stored) -> Trained:
+    """Expectation maximisation: counts are averaged over pairs, then over families, at most steps times.
+
+    It ends early when a step raises the log probability by less than tolerance. With a folder every
+    step's model is written there, and a later run with the same folder goes on behind the last one.
+    Sequences of one row, or without letters, have no pair; where there is none the model stays.
+    """
+    model, spark = model or PairModel(), sequences.sparkSession
+    pairs, logs, begun = hold(all_pairs(sequences).filter("len_a > 0 AND len_b > 0")), [], 0
+    while folder and (found := _saved(spark, folder, begun + 1)) is not None:
+        model, begun = found, begun + 1
+    models = [model]
+    for step in range(begun, steps):
+        vector, log = step_sums(pairs, models[-1])
+        if not len(vector):
+            break
+        logs.append(log)
+        models.append(reestimated(vector, models[-1]))
+        if folder:
+            write_model(spark, models[-1], f"{folder}/step={step + 1}")
+        if len(logs) > 1 and logs[-1] - logs[-2] < tolerance:
+            break
+    return Trained(models, logs)

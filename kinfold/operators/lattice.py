@@ -167,55 +167,88 @@ class Sweep:
                     new[s + 1, k, i + 1] += m.start[s + 1] * m.ey[self.y[k, j + 1]] * np.exp2(-float(self.power[k, i + 1]))
 
 
+class Backwards:
+    """The diagonals of a forward sweep from the last to the first, out of checkpoints."""
+
+    def __init__(self, forward: Sweep, states: slice, watch: Callable[[int], None]):
+        """states: what is held of a diagonal; watch is called for each diagonal of the first pass."""
+        self.forward, self.states = forward, states
+        self.last = forward.rows + forward.columns
+        size = 8 * forward.pairs * (forward.rows + 2) * len(range(*states.indices(len(forward.moves.trans))))
+        length = max(int(np.sqrt(self.last)) + 1, BLOCK_BYTES // size)
+        self.length = -(-length // RESCALE) * RESCALE
+        self.saved: list[tuple] = []
+        for d in range(self.last + 1):
+            if d % self.length == 0:
+                self.saved.append(forward.state())
+                self.marks: list[tuple] = []
+            self._advance()
+            watch(d)
+
+    def _advance(self) -> None:
+        self.forward.step()
+        self.marks.append((self.forward.p1[self.states].copy(), self.forward.power))
+
+    def __getitem__(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values and powers of diagonal d; asked for in falling order, but for two that were had before."""
+        at, p1, p2, power = self.saved[-1]
+        if d > at:
+            return self.marks[d - at - 1]
+        if d >= at - 1:
+            return (p1 if d == at else p2)[self.states], power
+        self.saved.pop()
+        self.forward.restore(self.saved[-1])
+        self.marks = []
+        for _ in range(self.length):
+            self._advance()
+        return self[d]
+
+
+def _directions(pairs: list[tuple[np.ndarray, np.ndarray]], moves: Moves, pad: int) -> tuple[Sweep, Sweep, np.ndarray]:
+    sizes = np.array([[len(x), len(y)] for x, y in pairs])
+    forward = Sweep(moves, _codes([x for x, _ in pairs], pad, False), _codes([y for _, y in pairs], pad, False), sizes, False)
+    reverse = Sweep(moves.back(), _codes([x[::-1] for x, _ in pairs], pad, True), _codes([y[::-1] for _, y in pairs], pad, True), sizes, True)
+    return forward, reverse, sizes
+
+
+def _totals(forward: Sweep, sizes: np.ndarray, totals: np.ndarray) -> Callable[[int], None]:
+    """Fills totals, the logs to base 2 of the pairs' weights, while the forward sweep goes on."""
+    ends, moves = sizes.sum(axis=1), forward.moves
+
+    def watch(d: int) -> None:
+        if moves.anywhere:
+            lo, hi = max(1, d - forward.columns), min(forward.rows, d)
+            if lo <= hi:
+                with np.errstate(divide="ignore"):
+                    logs = np.log2(forward.p1[0, :, lo + 1 : hi + 2]) + forward.power[:, lo + 1 : hi + 2]
+                totals[:] = np.logaddexp2(totals, np.logaddexp2.reduce(logs, axis=1))
+            return
+        for k in np.flatnonzero(ends == d).tolist():
+            lane = sizes[k, 0] + 1
+            totals[k] = np.log2(forward.p1[:, k, lane] @ moves.end) + forward.power[k, lane]
+
+    return watch
+
+
 def posteriors(pairs: list[tuple[np.ndarray, np.ndarray]], moves: Moves, pad: int, add: Callable[[np.ndarray], np.ndarray], out: np.ndarray) -> None:
     """Add to out[pair, diagonal, row] what add makes of the probabilities that state 0 stands in a cell.
 
     pairs are codes of two sequences that aren't empty; pad is the code of nothing. Rows and diagonals
     count from 0 at the corner before the first letters.
     """
-    sizes = np.array([[len(x), len(y)] for x, y in pairs])
-    forward = Sweep(moves, _codes([x for x, _ in pairs], pad, False), _codes([y for _, y in pairs], pad, False), sizes, False)
-    reverse = Sweep(moves.back(), _codes([x[::-1] for x, _ in pairs], pad, True), _codes([y[::-1] for _, y in pairs], pad, True), sizes, True)
-    rows, last = forward.rows, forward.rows + forward.columns
-    length = max(int(np.sqrt(last)) + 1, BLOCK_BYTES // (8 * len(pairs) * (rows + 2)))
-    length = -(-length // RESCALE) * RESCALE
-    ends = sizes.sum(axis=1)
+    forward, reverse, sizes = _directions(pairs, moves, pad)
     totals = np.full(len(pairs), -np.inf)
-    marks, saved = [], []
-    for d in range(last + 1):
-        if d % length == 0:
-            saved.append(forward.state())
-            marks.clear()
-        forward.step()
-        marks.append((forward.p1[0].copy(), forward.power))
-        if moves.anywhere:
-            lo, hi = max(1, d - forward.columns), min(rows, d)
-            if lo <= hi:
-                value = forward.p1[0, :, lo + 1 : hi + 2]
-                with np.errstate(divide="ignore"):
-                    logs = np.log2(value) + forward.power[:, lo + 1 : hi + 2]
-                totals = np.logaddexp2(totals, np.logaddexp2.reduce(logs, axis=1))
-        else:
-            for k in np.flatnonzero(ends == d).tolist():
-                lane = sizes[k, 0] + 1
-                totals[k] = np.log2(forward.p1[:, k, lane] @ moves.end) + forward.power[k, lane]
+    held = Backwards(forward, slice(0, 1), _totals(forward, sizes, totals))
+    rows, last = forward.rows, held.last
     inverse = np.where(moves.both > 0, 1 / np.where(moves.both > 0, moves.both, 1), 0).ravel()
     whole = np.floor(totals)
     part = np.exp2(totals - whole)[:, None]
     seen: tuple = (None, None)
     reverse.step()
     for d in range(last, 1, -1):
-        block = d // length
-        if len(saved) - 1 != block:
-            saved.pop()
-            forward.restore(saved[-1])
-            marks.clear()
-            for _ in range(length):
-                forward.step()
-                marks.append((forward.p1[0].copy(), forward.power))
         while reverse.d < last + 2 - d:
             reverse.step()
-        values, power = marks[d - block * length]
+        values, power = held[d]
         if (power is not seen[0]) or (reverse.power is not seen[1]):
             seen = power, reverse.power
             # lane i + 1 of one sweep is the same row as lane rows + 2 - i of the other
@@ -226,10 +259,108 @@ def posteriors(pairs: list[tuple[np.ndarray, np.ndarray]], moves: Moves, pad: in
             continue
         here, there = slice(lo + 1, hi + 2), slice(rows + 2 - hi, rows + 3 - lo)
         both = inverse[forward.base[:, lo : hi + 1] + forward.y[:, d - hi : d - lo + 1][:, ::-1]]
-        p = values[:, here] * reverse.p1[0, :, there][:, ::-1] * both * scale[:, here]
+        p = values[0, :, here] * reverse.p1[0, :, there][:, ::-1] * both * scale[:, here]
         out[:, d, lo : hi + 1] += add(np.minimum(p, 1))
 
 
+@dataclass
+class Counts:
+    """Expected uses of a pair model's parameters in some pairs, and the logs of their probabilities."""
+
+    init: np.ndarray  # pair, state: beginnings and ends
+    moves: np.ndarray  # pair, from, to
+    match: np.ndarray  # pair, letter of x, letter of y
+    single: np.ndarray  # pair, letter
+    logs: np.ndarray  # pair
+
+    def vectors(self) -> np.ndarray:
+        """A row for each pair: all numbers but the logs, one after the other."""
+        n = len(self.logs)
+        return np.concatenate([x.reshape(n, -1) for x in (self.init, self.moves, self.match, self.single)], axis=1)
+
+    @staticmethod
+    def of_vector(vector: np.ndarray, states: int, letters: int) -> tuple[np.ndarray, ...]:
+        """init, moves, match, single of a vector or a sum of some."""
+        cuts = np.cumsum([states, states * states, letters * letters])
+        a, b, c, d = np.split(vector, cuts)
+        return a, b.reshape(states, states), c.reshape(letters, letters), d
+
+
+def expected(pairs: list[tuple[np.ndarray, np.ndarray]], moves: Moves, pad: int) -> Counts:
+    """Counts of pairs of codes that aren't empty. A move into a cell is what comes before it, times what begins with it."""
+    forward, reverse, sizes = _directions(pairs, moves, pad)
+    n, states, t = len(pairs), len(moves.trans), moves.trans
+    totals = np.full(n, -np.inf)
+    held = Backwards(forward, slice(0, states), _totals(forward, sizes, totals))
+    rows, last, ends = forward.rows, held.last, sizes.sum(axis=1)
+    whole = np.floor(totals)
+    part = np.exp2(totals - whole)
+    init, used = np.zeros((n, states)), np.zeros((n, states, states))
+    match = np.zeros((n, last + 1, rows + 1))
+    of_x, of_y = np.zeros((n, rows + 1)), np.zeros((n, forward.columns + 1))
+    scale = lambda a, b: np.exp2(np.clip(a + b - whole[:, None], -1070, _FAR)) / part[:, None]
+    reverse.step()
+    for d in range(last, 0, -1):
+        while reverse.d < min(last, last + 2 - d):
+            reverse.step()
+        into, beside = (reverse.p1, reverse.p2) if d > 1 else (None, reverse.p1)
+        for k in np.flatnonzero(ends == d).tolist():
+            values, power = held[d]
+            lane = sizes[k, 0] + 1
+            init[k] += values[:, k, lane] * moves.end * np.exp2(power[k, lane] - whole[k]) / part[k]
+        before, power = held[d - 1]
+        lo, hi = max(1, d - forward.columns), min(rows, d)
+        if lo <= hi:  # a letter of x: from the lane before
+            above, there = slice(lo, hi + 1), slice(rows + 2 - hi, rows + 3 - lo)
+            s = scale(power[:, above], reverse.power[:, there][:, ::-1])
+            for x in range(1, states, 2):
+                to = beside[x, :, there][:, ::-1] * s
+                if d == 1:
+                    first = moves.start[x] * beside[x, :, rows + 1] * np.exp2(reverse.power[:, rows + 1] - whole) / part
+                    init[:, x] += first
+                    of_x[:, 1] += first
+                for f in (0, x):
+                    flow = before[f, :, above] * to * t[f, x]
+                    used[:, f, x] += flow.sum(axis=1)
+                    of_x[:, lo : hi + 1] += flow
+        lo, hi = max(0, d - forward.columns), min(rows, d - 1)
+        if lo <= hi:  # a letter of y: in the same lane
+            here, there = slice(lo + 1, hi + 2), slice(rows + 1 - hi, rows + 2 - lo)
+            s = scale(power[:, here], reverse.power[:, there][:, ::-1])
+            for y in range(2, states, 2):
+                to = beside[y, :, there][:, ::-1] * s
+                if d == 1:
+                    first = moves.start[y] * beside[y, :, rows + 1] * np.exp2(reverse.power[:, rows + 1] - whole) / part
+                    init[:, y] += first
+                    of_y[:, 1] += first
+                for f in (0, y):
+                    flow = before[f, :, here] * to * t[f, y]
+                    used[:, f, y] += flow.sum(axis=1)
+                    of_y[:, d - hi : d - lo + 1] += flow[:, ::-1]
+        lo, hi = max(1, d - forward.columns), min(rows, d - 1)
+        if d > 1 and lo <= hi:
+            above, there = slice(lo, hi + 1), slice(rows + 2 - hi, rows + 3 - lo)
+            if d == 2:
+                first = moves.start[0] * into[0, :, rows + 1] * np.exp2(reverse.power[:, rows + 1] - whole) / part
+                init[:, 0] += first
+                match[:, 2, 1] += first
+            before, power = held[d - 2]
+            to = into[0, :, there][:, ::-1] * scale(power[:, above], reverse.power[:, there][:, ::-1])
+            for f in range(states):
+                flow = before[f, :, above] * to * t[f, 0]
+                used[:, f, 0] += flow.sum(axis=1)
+                match[:, d, lo : hi + 1] += flow
+    letters = pad
+    both, single = np.zeros((n, letters, letters)), np.zeros((n, letters))
+    for k, (x, y) in enumerate(pairs):
+        step = match.strides
+        view = as_strided(match[k, 2:, 1:], (len(x), len(y)), (step[1] + step[2], step[1]))
+        by_x, by_y = np.eye(letters)[x], np.eye(letters)[y]
+        both[k] = by_x.T @ view @ by_y
+        single[k] = by_x.T @ of_x[k, 1 : len(x) + 1] + by_y.T @ of_y[k, 1 : len(y) + 1]
+    return Counts(init, used, both, single, totals * np.log(2))
+
+
 def batches(sizes: list[tuple[int, int]], cells: int = BATCH_CELLS) -> Iterator[list[int]]:
     """Numbers of pairs of like sizes, in batches of about so many padded cells."""
     order = sorted(range(len(sizes)), key=lambda k: (max(sizes[k]), min(sizes[k])))
@@ -313,6 +444,14 @@ class Kernel:
                 found[i, j] = value(x, y)
         return found
 
+    def counts(self, pairs: list[tuple[str, str]]) -> Iterator[tuple[list[int], Counts]]:
+        """Expected counts of the pair-HMM, lot by lot: numbers of pairs and their counts; pairs with an empty sequence have none."""
+        coded = {k: (self.code(a), self.code(b)) for k, (a, b) in enumerate(pairs) if a and b}
+        some = list(coded)
+        for lot in batches([(len(coded[k][0]), len(coded[k][1])) for k in some], BATCH_CELLS // 4):
+            numbers = [some[k] for k in lot]
+            yield numbers, expected([coded[k] for k in numbers], self.moves["h"], self.pad)
+
     def __call__(self, pairs: list[tuple[str, str]], s1: int) -> Iterator[tuple[int, np.ndarray]]:
         """See match_probabilities. Letters that the tables lack are alike; s1 above 3 counts as 3."""
         return match_probabilities(pairs, [self.moves[k] for k in self.KINDS.get(s1, "hpl")], self.code, self.pad)

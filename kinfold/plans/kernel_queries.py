@@ -111,6 +111,18 @@ def em_counts(spark, sf_dir):
     return _rounded(A.expected_parameters(_pairs(spark, sf_dir)), "value")
 
 
+EM_STEPS = 4
+
+
+@query("em_trace")
+def em_trace(spark, sf_dir):
+    """Log probabilities of the benchmark families under the first EM_STEPS models of training, and the models' gap probabilities."""
+    done = A.train(T.benchmark_sequences(spark, sf_dir), steps=EM_STEPS)
+    gaps = [(m.gap_open[0], m.gap_open[2], m.gap_extend[0], m.gap_extend[2]) for m in done.models]
+    rows = [(k, round(log, 6), *(round(x, 9) for x in g)) for k, (log, g) in enumerate(zip(done.logs, gaps, strict=False))]
+    return spark.createDataFrame(rows, "step int, log_probability double, open_1 double, open_2 double, longer_1 double, longer_2 double")
+
+
 @query("classify_strategy")
 def classify_strategy(spark, sf_dir):
     """Strategies by a classifier fitted on the length classes of the pairs."""

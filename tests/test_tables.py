@@ -81,7 +81,7 @@ def test_features_and_training(sequences):
     one = next(r for r in features if r["family"] == "g")
     assert one["path"] == "BBXB" and np.isclose(one["identity"], 0.75) and one["pair"] == "MILV-MIV"
     assert align.family_features(align.pair_features(pairs.all_pairs(sequences))).count() == 2
-    model = align.train(sequences)
+    model = align.train(sequences).model
     assert np.isclose(sum(model.init), 1) and np.isclose(sum(model.single.values()), 1)
     assert all(0 < x < 0.5 for x in model.gap_open) and all(0 < x < 1 for x in model.gap_extend)
 
