@@ -7,6 +7,7 @@ them and the refinement of large families are joins and one task for each merge
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,12 +34,13 @@ _SCORED = "family string, a int, b int, d double, i array<int>, j array<int>, p
 _TREE = "family string, node int, left int, right int, parent int, dist double, is_leaf boolean, n_leaves int"
 
 
-def score_pairs(pairs: DataFrame, model: PairModel | None = None, matrix: ScoreMatrix | None = None, s1: int = DEFAULT_STRATEGY[0]) -> DataFrame:
+def score_pairs(pairs: DataFrame, model: PairModel | None = None, matrix: ScoreMatrix | None = None, s1: int = DEFAULT_STRATEGY[0], timed: bool = False) -> DataFrame:
     """family, a, b, d (distance) and the cells of posterior that reach the cutoff as arrays i, j, p.
 
     s1: 0 pair-HMM, 1 partition function, 2 both, 3 both and the local model, by root mean square;
     pairs (family, a, b, res_a, res_b) may have a column s1 of its own. A task takes its pairs in
-    batches of like length; a long pair goes alone, in memory for a byte and a number per cell.
+    batches of like length; a long pair goes alone, in memory for a byte and a number per cell. timed
+    adds seconds, a pair's share by its cells of the time that its batch took on the clock.
     """
     model, matrix = model or PairModel(), matrix or ScoreMatrix.by_groups()
 
@@ -46,16 +48,22 @@ def score_pairs(pairs: DataFrame, model: PairModel | None = None, matrix: ScoreM
         kernel = Kernel(model, matrix)
         for frame in frames:
             for kind, part in frame.groupby("s1"):
-                rows, keys = [], part[["family", "a", "b"]].to_numpy(object)
+                order: list[int] = []
+                rows, keys, began = [], part[["family", "a", "b"]].to_numpy(object), time.perf_counter()
                 for k, p in kernel(list(zip(part["res_a"], part["res_b"], strict=True)), int(kind)):
                     _, score = best_trace(p)
                     i, j = np.nonzero(p >= CUTOFF)
                     rows.append((*keys[k], distance(score, *p.shape), i + 1, j + 1, p[i, j]))
-                yield pd.DataFrame(rows, columns=["family", "a", "b", "d", "i", "j", "p"])
+                    order.append(k)
+                found = pd.DataFrame(rows, columns=["family", "a", "b", "d", "i", "j", "p"])
+                if timed:
+                    cells = np.array([len(part["res_a"].iloc[k]) * len(part["res_b"].iloc[k]) for k in order], float)
+                    found["seconds"] = (time.perf_counter() - began) * cells / max(1.0, cells.sum())
+                yield found
 
     given = pairs if "s1" in pairs.columns else pairs.withColumn("s1", F.lit(s1))
     dealt = given.select("family", "a", "b", "res_a", "res_b", "s1").repartition("family", "a", "b")
-    return dealt.mapInPandas(run, _SCORED)
+    return dealt.mapInPandas(run, f"{_SCORED}, seconds double" if timed else _SCORED)
 
 
 def cells_of(scored: DataFrame) -> DataFrame:
@@ -259,9 +267,9 @@ def reestimated(vector: np.ndarray, model: PairModel) -> PairModel:
     opened, longer = [], []
     for k in (0, 1):
         x, y = 2 * k + 1, 2 * k + 2
-        opened += [float(moves[0, x] + moves[0, y]) / (2 * leaving)] * 2
+        opened += [float((moves[0, x] + moves[0, y]) / (2 * leaving))] * 2
         inside = moves[[x, y]].sum() or 1.0
-        longer += [float(moves[x, x] + moves[y, y]) / inside] * 2
+        longer += [float((moves[x, x] + moves[y, y]) / inside)] * 2
     match, single = match[:-1, :-1], single[:-1]
     match = match + match.T - np.diag(np.diag(match))  # of two letters in either order
     once = np.triu(match).sum()

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.functions.model import PairModel, ScoreMatrix
-from kinfold.operators import alignment, pairs
+from kinfold.functions.model import ALPHABET, PairModel
+from kinfold.operators import alignment, estimate, pairs
 from kinfold.plans.pair_queries import _MATRIX, _PAIRS
 from kinfold.plans.registry import query
 from kinfold.plans.sequence_queries import _BENCH, _CELLS
@@ -121,9 +121,24 @@ def score_sheet(spark, sf_dir):
     return parameters.read_sheet(spark, path)
 
 
-@query("matrix_file", f"SELECT x, y, CAST(s AS DOUBLE) AS s, round(exp(CAST(s AS DOUBLE) / 5), 9) AS weight FROM (VALUES {_MATRIX}) m(x, y, s)")
+_LETTERS = "a AS (SELECT unnest(string_split('" + ALPHABET + "', '')) AS x)"
+
+
+@query(
+    "matrix_file",
+    f"""WITH {_PAIRS}, {_LETTERS},
+    o AS (SELECT ra[k] AS x, rb[k] AS y FROM p, range(1, 100000) t(k) WHERE k <= least(length(ra), length(rb))),
+    c AS (SELECT x, y, count(*) AS n FROM (SELECT x, y FROM o UNION ALL SELECT y, x FROM o) GROUP BY ALL),
+    m AS (SELECT x, sum(n) AS n FROM c GROUP BY x),
+    g AS (SELECT i.x AS x, j.x AS y, coalesce(c.n, 0) + 1 AS n, coalesce(mx.n, 0) + 1 AS nx, coalesce(my.n, 0) + 1 AS ny
+          FROM a i CROSS JOIN a j LEFT JOIN c ON c.x = i.x AND c.y = j.x LEFT JOIN m mx ON mx.x = i.x LEFT JOIN m my ON my.x = j.x),
+    s AS (SELECT x, y, round(2 * log2(n * (SELECT sum(n) FROM c)::DOUBLE / (nx * ny))) + 0.0 AS s FROM g)
+    SELECT x, y, s, round(exp(s / 5), 9) AS weight FROM s""",
+)
 def matrix_file(spark, sf_dir):
-    parameters.write_matrix(spark, ScoreMatrix.by_groups(), path := new_path(spark))
+    """Log-odds scores of the letters of the benchmark's pairs, written to a file of letters and a triangle, and read again."""
+    found = estimate.matrix_of(pairs.all_pairs(T.benchmark_sequences(spark, sf_dir)))
+    parameters.write_matrix(spark, found, path := new_path(spark))
     rows = parameters.boltzmann_weights(pairs.matrix_frame(spark, parameters.read_matrix(spark, path)))
     return rows.withColumn("weight", F.round("weight", 9))
 
@@ -133,10 +148,22 @@ def _parameters(model: PairModel) -> list[tuple[str, float]]:
     return [(k, round(v, 10)) for k, v in [*named, *((f"single:{x}", v) for x, v in model.single.items()), *((f"pair:{x}{y}", v) for (x, y), v in model.pair.items())]]
 
 
-@query("model_file", "SELECT key, CAST(value AS DOUBLE) AS value FROM (VALUES " + ", ".join(f"('{k}', {v:.10f})" for k, v in _parameters(PairModel())) + ") p(key, value)")
+_NAMED = ", ".join(f"('{k}', {v:.10f})" for k, v in _parameters(PairModel()) if k.split(":")[0] not in ("single", "pair"))
+
+
+@query(
+    "model_file",
+    f"""WITH {_BENCH}, {_LETTERS},
+    n AS (SELECT unnest(string_split(residues, '')) AS x FROM b),
+    c AS (SELECT a.x, count(n.x) + 1 AS n FROM a LEFT JOIN n USING (x) GROUP BY a.x),
+    s AS (SELECT x, n / sum(n) OVER () AS v FROM c),
+    r AS (SELECT m.x, m.y, i.v * j.v * exp(0.35 * m.s) AS v FROM (VALUES {_MATRIX}) m(x, y, s) JOIN s i ON i.x = m.x JOIN s j ON j.x = m.y)
+    SELECT key, CAST(value AS DOUBLE) AS value FROM (VALUES {_NAMED}) p(key, value)
+    UNION ALL SELECT 'single:' || x, round(v, 10) FROM s UNION ALL SELECT 'pair:' || x || y, round(v / sum(v) OVER (), 10) FROM r""",
+)
 def model_file(spark, sf_dir):
-    """The parameters of the default pair model, written to a file of three lines, letters and tables, and read again."""
-    parameters.write_model(spark, PairModel(), path := new_path(spark))
+    """A pair model with the letter shares of the benchmark, written to a file of three lines, letters and tables, and read again."""
+    parameters.write_model(spark, estimate.model_of(T.benchmark_sequences(spark, sf_dir)), path := new_path(spark))
     return spark.createDataFrame(_parameters(parameters.read_model(spark, path)), "key string, value double")
 
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from kinfold.functions import udfs
 from kinfold.functions.residues import TOKENS
 from kinfold.operators import align as A
 from kinfold.operators import classify as C
+from kinfold.operators import network as N
 from kinfold.operators.pairs import all_pairs
 from kinfold.plans import kernel_sql as K
 from kinfold.plans.pair_queries import _PAIRS
 from kinfold.plans.registry import query
 from kinfold.sources import tables as T
 from kinfold.sources.parameters import feature_text
+from kinfold.sources.shared import stored
 
 
 def _pairs(spark, sf_dir):
@@ -123,13 +127,27 @@ def em_trace(spark, sf_dir):
     return spark.createDataFrame(rows, "step int, log_probability double, open_1 double, open_2 double, longer_1 double, longer_2 double")
 
 
+@query("family_times", f"WITH {_PAIRS} SELECT family, count(*) AS pairs, CAST(sum(length(ra) * length(rb)) AS BIGINT) AS cells, true AS timed FROM p GROUP BY family")
+def family_times(spark, sf_dir):
+    """Pairs and cells of each family, and whether its kernels took time by the workers' clocks, no more than the whole run did."""
+    pairs, began = _pairs(spark, sf_dir), time.perf_counter()
+    sizes = pairs.groupBy("family").agg(F.count("*").alias("pairs"), F.sum(F.col("len_a").cast("long") * F.col("len_b")).alias("cells"))
+    seconds = stored(A.score_pairs(pairs, s1=1, timed=True).groupBy("family").agg(F.sum("seconds").alias("seconds")))
+    most = (time.perf_counter() - began) * spark.sparkContext.defaultParallelism
+    return sizes.join(seconds, "family").select("family", "pairs", "cells", F.col("seconds").between(1e-9, most).alias("timed"))
+
+
+#: Epochs of the query's network.
+NETWORK_EPOCHS = 8
+
+
 @query("classify_strategy")
 def classify_strategy(spark, sf_dir):
-    """Strategies by a classifier fitted on the length classes of the pairs."""
+    """Strategies by a network fitted on the length classes of the pairs."""
     pairs = _pairs(spark, sf_dir)
     cls = F.least(F.lit(3), F.floor(F.abs(F.col("len_a") - F.col("len_b")) / 30)).cast("int")
-    _, model = C.cross_validated(pairs.select("res_a", "res_b", cls.alias("cls")))
-    return C.strategies(T.benchmark_sequences(spark, sf_dir), model)
+    network = N.train(pairs.select("res_a", "res_b", cls.alias("cls")), epochs=NETWORK_EPOCHS)
+    return C.strategies(T.benchmark_sequences(spark, sf_dir), network)
 
 
 @query(

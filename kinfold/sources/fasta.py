@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import time
 import uuid
 from collections.abc import Iterator
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from kinfold.functions.residues import clean, fasta_record, valid
+from kinfold.sources.paths import listed, open_path
 
 SCHEMA = "family string, label int, header string, residues string"
 
@@ -156,23 +156,6 @@ def wrapped(residues: str, width: int = 60) -> str:
     return "".join(residues[k : k + width] + "\n" for k in range(0, len(residues), width))
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path: that of its scheme, else the local one, which on a cluster must be shared."""
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), os.path.abspath(path)
-
-
-def _listed(path: str) -> list[fs.FileInfo]:
-    system, root = _open(path)
-    info = system.get_file_info(root)
-    if info.type == fs.FileType.File:
-        return [info]
-    found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-    shown = lambda x: not any(part[0] in "._" for part in x.path[len(root) :].strip("/").split("/"))
-    return sorted((x for x in found if x.type == fs.FileType.File and shown(x)), key=lambda x: x.path)
-
-
 class FastaSource(DataSource):
     """format("fasta") with the path of a folder, to read, write and stream families (family, label, header, residues).
 
@@ -200,7 +183,7 @@ class FastaSource(DataSource):
 
 def _records_of(root: str, name: str, strip: bool) -> Iterator[tuple]:
     """The records of a file that was listed below root."""
-    system, _ = _open(root)
+    system, _ = open_path(root)
     folder = name.rsplit("/", 2)[-2:]
     family = unquote(folder[0][7:]) if folder[0].startswith("family=") else folder[-1]
     header, parts, label = None, [], 0
@@ -221,7 +204,7 @@ class _Reader(DataSourceReader):
         self.path, self.strip = options["path"], str(options.get("stripgaps", "true")).lower() == "true"
 
     def partitions(self):
-        return [InputPartition(x.path) for x in _listed(self.path)] or [InputPartition("")]
+        return [InputPartition(x.path) for x in listed(self.path)] or [InputPartition("")]
 
     def read(self, partition):
         if partition.value:
@@ -241,7 +224,7 @@ class _StreamReader(DataSourceStreamReader):
         self.last: dict | None = None
 
     def _files(self) -> list[tuple[int, str]]:
-        return sorted((x.mtime_ns, x.path) for x in _listed(self.path) if x.mtime_ns <= (time.time() - self.SETTLE) * 1e9)
+        return sorted((x.mtime_ns, x.path) for x in listed(self.path) if x.mtime_ns <= (time.time() - self.SETTLE) * 1e9)
 
     def initialOffset(self) -> dict:
         return {"changed": 0, "path": ""}
@@ -278,7 +261,7 @@ class _Writer(DataSourceWriter):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
     def write(self, iterator):
-        system, root = _open(self.path)
+        system, root = open_path(self.path)
         task, made, out = uuid.uuid4().hex, [], None
         try:
             for row in iterator:
@@ -298,7 +281,7 @@ class _Writer(DataSourceWriter):
         return _Written([(f"{task}/{name}", name) for _, name in made])
 
     def commit(self, messages):
-        system, root = _open(self.path)
+        system, root = open_path(self.path)
         system.create_dir(root, recursive=True)
         if self.overwrite:
             for x in system.get_file_info(fs.FileSelector(root)):
@@ -311,7 +294,7 @@ class _Writer(DataSourceWriter):
         self._forget(system, root)
 
     def abort(self, messages):
-        self._forget(*_open(self.path))
+        self._forget(*open_path(self.path))
 
     def _forget(self, system: fs.FileSystem, root: str) -> None:
         if system.get_file_info(f"{root}/.job-{self.job}").type == fs.FileType.Directory:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.model import GAP_COSTS, PairModel, ScoreMatrix, gap_costs, matrix_name
 from kinfold.operators.evaluate import replace_last
+from kinfold.sources import sheets
 
 
 def _lines(spark: SparkSession, path: str) -> list[str]:
@@ -96,17 +97,26 @@ def read_pids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="family string, pid double", ignoreLeadingWhiteSpace=True)
 
 
-def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """family, tc, sp, row from a CSV without a header; row is the order within the file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("row", "line"))
-    cells = F.split("line", ",")
-    return lines.filter("line <> ''").select(cells[0].alias("family"), cells[1].cast("double").alias("tc"), cells[2].cast("double").alias("sp"), "row")
-
-
-def write_sheet(rows: DataFrame, path: str) -> None:
-    """family, tc, sp as a CSV without a header, in order of family; a sheet is a small file."""
-    lines = rows.select(F.concat_ws(",", "family", F.col("tc").cast("string"), F.col("sp").cast("string")).alias("value"), "family")
-    lines.coalesce(1).sortWithinPartitions("family").select("value").write.mode("overwrite").text(path)
+def read_sheet(spark: SparkSession, path: str, kind: str = "xlsx") -> DataFrame:
+    """family, tc, sp, row from spreadsheets without a header; row is the order within the file. kind: xlsx or csv."""
+    if kind == "csv":
+        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("row", "line")).filter("line <> ''")
+        rows = lines.select("row", F.split("line", ",").alias("cells"))
+    else:
+        sheets.register(spark)
+        rows = spark.read.format("xlsx").load(path)
+    cell = lambda k: F.try_element_at("cells", F.lit(k))
+    return rows.select(cell(1).alias("family"), cell(2).cast("double").alias("tc"), cell(3).cast("double").alias("sp"), "row")
+
+
+def write_sheet(rows: DataFrame, path: str, kind: str = "xlsx") -> None:
+    """family, tc, sp as one sheet without a header, in order of family; a sheet is a small file."""
+    ready = rows.select("family", "tc", "sp").coalesce(1).sortWithinPartitions("family")
+    if kind == "csv":
+        ready.select(F.concat_ws(",", "family", F.col("tc").cast("string"), F.col("sp").cast("string")).alias("value")).write.mode("overwrite").text(path)
+    else:
+        sheets.register(rows.sparkSession)
+        ready.write.format("xlsx").mode("overwrite").save(path)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

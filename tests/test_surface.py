@@ -116,3 +116,22 @@ def test_everything_else_works_without_llm(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert not e.HAS_LLM and 'pipeline' not in q and 'align_family' in q and not [k for k in q if k.startswith('op')]; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True)
     assert not [p for p in copy.rglob("*.py") if "kinfold.llm" in p.read_text() and p.name not in ("__spark_entry__.py", "test_entry.py", "test_surface.py")]
+
+
+def test_command_trains_classifies_and_aligns(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for f, rows in {"x": ["ACDEFGHIK", "ACDFGHIK", "ACEFGHIKL"], "y": ["MILVWY", "MIVWY"], "alone": ["ACD"]}.items():
+        (tmp_path / "in" / f).write_text("".join(f">{f}{k}\n{r}\n" for k, r in enumerate(rows)))
+    at = lambda *x: str(tmp_path.joinpath(*x))
+    assert command.run(spark, command.options([at("in"), "-o", at("model"), "-T", "2"])) > 0
+    trained = parameters.read_model(spark, at("model"))
+    assert trained.gap_open != PairModel().gap_open and parameters.read_model(spark, at("model-steps", "step=2")) == trained
+    (tmp_path / "pairs.csv").write_text("Seqs,Class\n" + "".join(f"ACD{'W' * (k % 9)}-ACD,{k % 2}\n" for k in range(18)))
+    command.run(spark, command.options(["-C", at("pairs.csv"), "-o", at("net"), "--epochs", "2"]))
+    command.run(spark, command.options([at("in"), "-o", at("out"), "-c", at("net"), "-m", at("model")]))
+    rows = fasta.read_families(spark, at("out"), strip_gaps=False).collect()
+    assert {(r["family"], r["header"]) for r in rows} == {("x", "x0"), ("x", "x1"), ("x", "x2"), ("y", "y0"), ("y", "y1"), ("alone", "alone0")}
+    for f in ("x", "y"):
+        assert len({len(r["residues"]) for r in rows if r["family"] == f}) == 1
+    with pytest.raises(SystemExit):
+        command.options(["-o", "x"])
