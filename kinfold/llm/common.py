@@ -42,6 +42,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A path in the shared folder that the innermost scratch deletes."""
+    _scratch[-1].append(path := new_path(spark))
+    return path
+
+
 def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """df written as Parquet to the shared folder and read back; for results used more than once.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import hex_sha256, pieces, scratch, shuffle_partitions, stored
+from kinfold.llm.common import hex_sha256, pieces, scratch, scratch_path, shuffle_partitions, stored
 from kinfold.llm.suffix_array import permuted_prefixes, suffix_array
 
 STRING = 200
@@ -367,11 +367,12 @@ def remove_repeated(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> Da
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("body"))
     texts = rows.groupBy(_tid("body").alias("tid")).agg(F.first("body").alias("body"), F.count("*").alias("copies"))
     name = f"kinfold_texts_{uuid.uuid4().hex}"
-    try:
-        # buckets let the texts meet their anchors and spans without another shuffle of them
-        texts.write.bucketBy(shuffle_partitions(spark), "tid").option("compression", "zstd").saveAsTable(name)
-        with scratch(spark):
+    with scratch(spark):
+        try:
+            # buckets let the texts meet their anchors and spans without another shuffle of them; they stand in the shared folder
+            written = texts.write.bucketBy(shuffle_partitions(spark), "tid").option("compression", "zstd")
+            written.option("path", scratch_path(spark)).saveAsTable(name)
             cleaned = _cleaned(spark.table(name), shard_contexts)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     return rows.select("doc_id", _tid("body").alias("tid")).join(cleaned, "tid").drop("tid")
