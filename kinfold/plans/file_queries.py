@@ -117,8 +117,8 @@ def pid_text(spark, sf_dir):
 @query("score_sheet", "SELECT n_name AS family, n_nationkey / 4.0 AS tc, n_regionkey / 8.0 AS sp, CAST(row_number() OVER (ORDER BY n_name) - 1 AS INTEGER) AS row FROM nation")
 def score_sheet(spark, sf_dir):
     rows = T.load(spark, sf_dir, "nation").select(F.col("n_name").alias("family"), (F.col("n_nationkey") / 4.0).alias("tc"), (F.col("n_regionkey") / 8.0).alias("sp"))
-    parameters.write_sheet(rows, path := new_path(spark))
-    return parameters.read_sheet(spark, path)
+    parameters.write_sheet(rows, path := new_path(spark), "xlsx")
+    return parameters.read_sheet(spark, path, "xlsx")
 
 
 _LETTERS = "a AS (SELECT unnest(string_split('" + ALPHABET + "', '')) AS x)"

@@ -97,7 +97,7 @@ def read_pids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="family string, pid double", ignoreLeadingWhiteSpace=True)
 
 
-def read_sheet(spark: SparkSession, path: str, kind: str = "xlsx") -> DataFrame:
+def read_sheet(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     """family, tc, sp, row from spreadsheets without a header; row is the order within the file. kind: xlsx or csv."""
     if kind == "csv":
         lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("row", "line")).filter("line <> ''")
@@ -109,7 +109,7 @@ def read_sheet(spark: SparkSession, path: str, kind: str = "xlsx") -> DataFrame:
     return rows.select(cell(1).alias("family"), cell(2).cast("double").alias("tc"), cell(3).cast("double").alias("sp"), "row")
 
 
-def write_sheet(rows: DataFrame, path: str, kind: str = "xlsx") -> None:
+def write_sheet(rows: DataFrame, path: str, kind: str = "csv") -> None:
     """family, tc, sp as one sheet without a header, in order of family; a sheet is a small file."""
     ready = rows.select("family", "tc", "sp").coalesce(1).sortWithinPartitions("family")
     if kind == "csv":
