@@ -1,12 +1,14 @@
 """Near copies of the pipeline: all pairs of Jaccard similarity 0.8 or more over five-word shingles.
 
-Prefix filtering finds them all. Under any one order of shingles, two sets of similarity s share a
+SimHash comes first: fingerprints and their pigeonhole join as in simhash link texts, and an exact
+check drops links under the similarity. What fingerprints can't tell is then found by prefix
+filtering, without loss. Under any one order of shingles, two sets of similarity s share a
 shingle among the first n - ceil(s n) + 1 of each. The order is by hash, but shingles that lead many
 texts come last; all documents are counted for that, and it affects the work alone. Texts that share
 a leading shingle are compared: in rounds, each with some of them, then those that are still in
-different components with each other. Parities of the shingles in hash buckets bound the difference
-of two sets from below and so rule out most pairs; the others are compared by their whole sets.
-All groups are rows of joins, never one value.
+different components with each other. The places of the first shingle that two sets share, and
+parities of the shingles in hash buckets, bound the difference of two sets from below and so rule
+out most pairs; the others are compared by their whole sets. All groups are rows of joins, never one value.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.llm import simhash
 from kinfold.llm.common import BITMAP_BITS, WHITE_SPACE, bitmap, hex_sha256, marked_by, packed, pieces, restrict, scratch, stored, unpacked
 from kinfold.llm.components import components
 
@@ -31,6 +34,8 @@ CROWD = 30
 WIDER = 1.5
 #: Members of a group that all others are compared with in each of so many rounds; in between, what is linked is merged.
 PIVOTS, ROUNDS = 8, 1
+#: Earlier shared leading shingles that a member keeps: two members are not compared again where they have one of these in common.
+EARLIER = 4
 #: Longs into which the parities are folded for a first comparison.
 FOLDS = 4
 #: Bytes of text that are turned into words at once.
@@ -150,22 +155,24 @@ def crowded_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), node (of the set of shingles), n, odd and fold (parities), lead for every row of docs."""
+    """doc_id, digest (of the text), node (of the set of shingles), n, fp (SimHash), odd and fold (parities), lead for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(crowded_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            sets = [shingles(t) for t in texts]
+            fps = pa.array(np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64))
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             lead = pa.array([leading(s, shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
             n, odd = pa.array([len(s) for s in sets], pa.int64()), [parities(s) for s in sets]
             fold = pa.array([folded(x) for x in odd], pa.list_(pa.int64()))
-            columns = [batch.column(0), batch.column(1), pa.array(nodes), n, pa.array(odd, pa.binary()), fold, lead]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "n", "odd", "fold", "lead"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes), n, fps, pa.array(odd, pa.binary()), fold, lead]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "n", "fp", "odd", "fold", "lead"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hex_sha256(text).alias("digest"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest string, node long, n long, odd binary, fold array<long>, lead array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest string, node long, n long, fp long, odd binary, fold array<long>, lead array<long>")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,47 +211,81 @@ def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, nodes: DataFr
     return stored(possible.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"))
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes that share a fingerprint with its first node, and first nodes of fingerprints that SimHash links."""
+    fps = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(fps, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    first = lambda k: fps.select(F.col("fp").alias(k), F.col("first").alias(f"_{k}"))
+    near = simhash.link_fingerprints(fps).join(first("a"), "a").join(first("b"), "b")
+    return same.unionByName(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))).distinct()
+
+
+def _placed(x: tuple[str, str], y: tuple[str, str]) -> Column:
+    """Whether sets (columns of n and of the place of a shingle) can be alike if that shingle is the first they share: all before it differ."""
+    both = F.least(F.col(x[0]) - F.col(x[1]), F.col(y[0]) - F.col(y[1]))
+    return (UNDER + OVER) * both >= OVER * (F.col(x[0]) + F.col(y[0]))
+
+
 def _stars(members: DataFrame, salt: int) -> DataFrame:
-    """a, b: each member of a group (h, node, root) with those of PIVOTS members that have another root."""
+    """a, b: each member of a group (h, node, root, n, at) with those of PIVOTS members that have another root.
+
+    Half of the pivots are any; of the others each is, in its lot of the group, the one with the least share
+    of shingles before h. That has little of its own, so it is the likeliest to be alike to many.
+    """
     # a node that is least after its bits are flipped; nodes are hashes, so each flip picks another one
     flips = [int(x) for x in _mix(np.arange(1, PIVOTS + 1, dtype=np.uint64) + np.uint64(salt * PIVOTS)).view(np.int64)]
-    least = members.groupBy("h").agg(*[F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"p{k}") for k, x in enumerate(flips)])
-    pivots = least.select("h", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(flips)]))).alias("node"))
-    pivots = pivots.join(members, ["h", "node"]).select("h", F.col("node").alias("pivot"), F.col("root").alias("other"))
-    pairs = members.join(pivots, "h").filter("node <> pivot AND root <> other")
+    lots = PIVOTS // 2
+    lot = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(lots))
+    plain = F.min(F.struct(F.col("at") / F.col("n"), "node"))
+    picks = [F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"p{k}") for k, x in enumerate(flips[lots:])]
+    found = members.withColumn("lot", lot).groupBy("h", "lot").agg(plain["node"].alias("central"), *picks)
+    found = found.groupBy("h").agg(F.collect_set("central").alias("central"), *[F.min(f"p{k}").alias(f"p{k}") for k in range(PIVOTS - lots)])
+    any_ = F.array(*[F.col(f"p{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(flips[lots:])])
+    pivots = found.select("h", F.explode(F.array_union("central", any_)).alias("node"))
+    pivots = pivots.join(members, ["h", "node"]).select("h", F.col("node").alias("pivot"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("at").alias("there"))
+    pairs = members.join(pivots, "h").filter((F.col("node") != F.col("pivot")) & (F.col("root") != F.col("other")) & _placed(("n", "at"), ("m", "there")))
     return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
 def _open(shared: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """h, node, root of the groups of shared that have at least so many members and more than one root."""
+    """shared and root, of the groups of shared that have at least so many members and more than one root."""
     roots = components(found).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = stored(shared.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root")))
+    rooted = stored(shared.join(roots, "node", "left").select(*shared.columns, F.coalesce("root", "node").alias("root")))
     groups = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
     return stored(rooted.join(groups.filter((F.col("lo") < F.col("hi")) & (F.col("n") >= least)).select("h"), "h"))
 
 
+def _rest(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: all pairs of members with different roots that size, places and folded parities allow."""
+    before = Window.partitionBy("node").orderBy("at")
+    earlier = F.array_compact(F.array(*[F.lag("h", k).over(before) for k in range(1, EARLIER + 1)]))
+    folds = nodes.select("node", *[F.col("fold")[k].alias(f"f{k}") for k in range(FOLDS)])
+    members = stored(members.join(folds, "node").withColumn("earlier", earlier))
+    s, t = (members.select(*[F.col(c).alias(f"{x}_{c}") for c in members.columns]) for x in "st")
+    differ = sum((F.bit_count(F.col(f"s_f{k}").bitwiseXOR(F.col(f"t_f{k}"))) for k in range(FOLDS)), F.lit(0))
+    fits = (F.col("s_h") == F.col("t_h")) & (F.col("s_node") < F.col("t_node")) & (F.col("s_root") != F.col("t_root"))
+    fits = fits & (OVER * F.greatest("s_n", "t_n") <= UNDER * F.least("s_n", "t_n")) & _placed(("s_n", "s_at"), ("t_n", "t_at"))
+    fits = fits & ((UNDER + OVER) * differ <= (UNDER - OVER) * (F.col("s_n") + F.col("t_n")))
+    # a pair is compared at the first shingle that both have, which no later one needs to repeat
+    fits = fits & ~F.arrays_overlap("s_earlier", "t_earlier")
+    return s.join(t, fits).select(F.col("s_node").alias("a"), F.col("t_node").alias("b")).distinct()
+
+
 def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """a, b: pairs of different nodes that are alike, enough of them to connect all that are."""
-    nodes = stored(marked.select("node", "n", "odd", "fold").dropDuplicates(["node"]))
-    heads = marked.select("node", F.explode("lead").alias("h"))
+    nodes = stored(marked.select("node", "n", "fp", "odd", "fold").dropDuplicates(["node"]))
+    heads = marked.select("node", "n", F.posexplode("lead").alias("at", "h"))
     groups = heads.groupBy("h").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("h")
-    shared = stored(heads.join(groups, "h").distinct())
-    members, tried, found = shared.withColumn("root", F.col("node")), None, None
+    shared = stored(heads.join(groups, "h").dropDuplicates(["h", "node"]))
+    tried = stored(_fingerprint_pairs(nodes))
+    found = verified(tried, docs, marked, nodes)
+    members = _open(shared, found, 2)
     for k in range(ROUNDS):
-        pairs = _stars(members, k)
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        good = verified(pairs, docs, marked, nodes)
-        found = good if found is None else found.unionByName(good)
+        pairs = stored(_stars(members, k).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        found = found.unionByName(verified(pairs, docs, marked, nodes))
         members = _open(shared, found, 3)
-    sketches = nodes.select("node", "n", *[F.col("fold")[k].alias(f"f{k}") for k in range(FOLDS)])
-    members = stored(members.join(sketches, "node"))
-    s, t = (members.select(*[F.col(c).alias(f"{x}_{c}") for c in members.columns]) for x in "st")
-    differ = sum((F.bit_count(F.col(f"s_f{k}").bitwiseXOR(F.col(f"t_f{k}"))) for k in range(FOLDS)), F.lit(0))
-    fits = (F.col("s_h") == F.col("t_h")) & (F.col("s_node") < F.col("t_node")) & (F.col("s_root") != F.col("t_root"))
-    fits = fits & (OVER * F.greatest("s_n", "t_n") <= UNDER * F.least("s_n", "t_n"))
-    fits = fits & ((UNDER + OVER) * differ <= (UNDER - OVER) * (F.col("s_n") + F.col("t_n")))
-    rest = s.join(t, fits).select(F.col("s_node").alias("a"), F.col("t_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = _rest(members, nodes).join(tried, ["a", "b"], "left_anti")
     return found.unionByName(verified(stored(rest), docs, marked, nodes))
 
 
