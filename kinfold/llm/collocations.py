@@ -2,8 +2,10 @@
 
 Each task of the first pass adds the n-grams of its texts to a count-min sketch of fixed size whose
 cells saturate at the least count; merged cells tell, by one bit each, whether they reach it. A sketch
-never underestimates, so an n-gram with a cell that stays below is rare. The second pass counts the
-others exactly, in Spark's own aggregation; those that the sketch let through in error fall away there.
+never underestimates, so an n-gram with a cell that stays below is rare. Longer n-grams have a sketch
+of their own, after that of the shorter ones, which takes in only those whose parts may be frequent: so
+rare ones don't fill its cells. The last pass counts what both let through exactly, in Spark's own
+aggregation; what they let through in error falls away there.
 N-grams are told apart by their words, not by hashes, in both passes.
 """
 
@@ -30,6 +32,8 @@ TOP = 2000
 #: Rows of the sketch, and cells of a row as a power of two. About 4 n-grams / LEAST_COUNT cells make a sketch that
 #: lets few rare n-grams through; a smaller one costs time and shuffle in the second pass, never a result.
 DEPTH, WIDTH_BITS = 3, 24
+#: Lengths of phrases that share a sketch.
+STAGES = ((1, 2), (3, LONGEST))
 #: Cells that travel together when sketches are merged.
 BLOCK_CELLS = 1 << 14
 #: Partitions of the scan that share a task, so that a sketch stays small beside its input and counts meet before they are shuffled.
@@ -107,13 +111,13 @@ class Words:
         hashes = np.array([xxhash.xxh64_intdigest(marks[p // len(words)] + words[p % len(words)]) for p in pairs.tolist()], np.uint64)
         return codes, len(pairs), hashes
 
-    def grams(self, passes=None) -> Iterator[Grams]:
-        """Phrases of 1, 2 .. LONGEST words. passes, if given, tells from hashes which can be frequent; the others are left out."""
+    def grams(self, passes=None, longest: int = LONGEST) -> Iterator[Grams]:
+        """Phrases of 1, 2 .. longest words. passes, if given, tells from n and hashes which can be frequent; the others are left out."""
         if not len(self.lengths):
             return
         words, size, single = self._single()
         at, codes, hashes = np.arange(len(words)), words, single
-        for n in range(1, LONGEST + 1):
+        for n in range(1, longest + 1):
             if n > 1:
                 # a phrase is as rare as its first and its last n - 1 words
                 alive = np.full(len(words) + 1, -1, np.int64)
@@ -126,7 +130,7 @@ class Words:
             first = np.zeros(len(hashes), np.int64)
             first[codes[::-1]] = at[::-1]
             counts = np.bincount(codes[self.own[at]], minlength=len(hashes))
-            good = np.ones(len(hashes), bool) if passes is None else passes(hashes)
+            good = np.ones(len(hashes), bool) if passes is None else passes(n, hashes)
             shown = good & (counts > 0)
             yield Grams(n, hashes[shown], counts[shown], first[shown])
             if not good.all():
@@ -183,9 +187,11 @@ def add(sketch: np.ndarray, at: np.ndarray, counts: np.ndarray, least: int) -> N
     sketch[where] = np.minimum(least, sketch[where] + sums)
 
 
-def sketch(texts: DataFrame, least: int = LEAST_COUNT, depth: int = DEPTH, bits: int = WIDTH_BITS) -> np.ndarray:
+def sketch(texts: DataFrame, least: int = LEAST_COUNT, depth: int = DEPTH, bits: int = WIDTH_BITS, sizes: tuple[int, int] = (1, LONGEST), passes=None) -> np.ndarray:
     """depth packed bitmaps of 2 ** bits: the cells that reach least. texts: lang, text.
 
+    Phrases of sizes[0] to sizes[1] words count, of which passes, if given, leaves out those with a rare part.
+
     What the driver collects has this size whatever the texts are. A block of cells meets its
     counterparts of all tasks, BLOCK_CELLS bytes from each.
     """
@@ -195,8 +201,8 @@ def sketch(texts: DataFrame, least: int = LEAST_COUNT, depth: int = DEPTH, bits:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.zeros((depth, width), kind)
         for words in words_of(batches):
-            for found in words.grams():
-                for k in range(depth):
+            for found in words.grams(passes, sizes[1]):
+                for k in range(depth if found.n >= sizes[0] else 0):
                     add(rows[k], cells(found.hashes, k, bits), found.counts, least)
         rows = rows.reshape(-1, block)
         used = np.flatnonzero(rows.any(axis=1))
@@ -242,18 +248,28 @@ def _summed(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
     return total.rename_columns(["lang", "phrase", "f"]).combine_chunks().to_batches()
 
 
-def frequent(texts: DataFrame, least: int = LEAST_COUNT, depth: int = DEPTH, bits: int = WIDTH_BITS) -> DataFrame:
-    """lang, phrase, f of all phrases of 1 to LONGEST words with f >= least, and the number of all words as the phrase ''. Stored."""
-    texts = texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // PARTITIONS_A_TASK))
-    shared = texts.sparkSession.sparkContext.broadcast(sketch(texts, least, depth, bits))
+def _passing(shared, depth: int, bits: int, sizes: tuple[int, int], before):
+    """Tells which phrases of n words can be frequent: by the broadcast sketch of their length, or by those before; all of a length that has none."""
 
-    def passes(hashes: np.ndarray) -> np.ndarray:
+    def passes(n: int, hashes: np.ndarray) -> np.ndarray:
         good = np.ones(len(hashes), bool)
-        for k in range(depth):
+        if n < sizes[0]:
+            return before(n, hashes)
+        for k in range(depth if n <= sizes[1] else 0):
             at = cells(hashes, k, bits).astype(np.int64)
             good &= (shared.value[k][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return good
 
+    return passes
+
+
+def frequent(texts: DataFrame, least: int = LEAST_COUNT, depth: int = DEPTH, bits: int = WIDTH_BITS) -> DataFrame:
+    """lang, phrase, f of all phrases of 1 to LONGEST words with f >= least, and the number of all words as the phrase ''. Stored."""
+    texts = texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // PARTITIONS_A_TASK))
+    passes = None
+    for sizes in STAGES:
+        passes = _passing(texts.sparkSession.sparkContext.broadcast(sketch(texts, least, depth, bits, sizes, passes)), depth, bits, sizes, passes)
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in words_of(batches):
             totals = words.totals()
