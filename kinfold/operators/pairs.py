@@ -73,8 +73,6 @@ def path_measures(path: Column, a: Column, b: Column) -> dict[str, Column]:
 
 
 def nearest(distances: DataFrame) -> DataFrame:
-    """family, a, b, d of the nearest pair; of equal ones that of smallest a, then b.
-
-    distances has a row for each pair, so the work is the square of a family's size, as in alignment.
-    """
-    return distances.groupBy("family").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("family", "m.a", "m.b", "m.d")
+    """family, a, b, d of the nearest pair; of equal ones that of smallest a, then b. A null d comes last, as in SQL."""
+    least = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "a", "b"))
+    return distances.groupBy("family").agg(least.alias("m")).select("family", "m.a", "m.b", "m.d")

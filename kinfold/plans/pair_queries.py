@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.logspace import best_of_three, focal_loss, log_add
 from kinfold.functions.model import ScoreMatrix
 from kinfold.operators import pairs, sparse
+from kinfold.operators.nearest import nearest_vectors
 from kinfold.plans.registry import query
 from kinfold.plans.sequence_queries import _BENCH
 from kinfold.sources import tables as T
@@ -88,10 +89,7 @@ def pair_score(spark, sf_dir):
 )
 def nearest_pair(spark, sf_dir):
     rows = T.load(spark, sf_dir, "embeddings")
-    side = lambda x: rows.select(F.col("label").cast("string").alias("family"), F.col("vec_id").alias(x), F.col("embedding").alias(f"e{x}"))
-    square = F.zip_with("ea", "eb", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    d = F.round(F.sqrt(F.aggregate(square, F.lit(0.0), lambda t, x: t + x)), 6)
-    return pairs.nearest(side("a").join(side("b"), "family").filter("a < b").select("family", "a", "b", d.alias("d")))
+    return nearest_vectors(rows.select(F.col("label").cast("string").alias("family"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("e")))
 
 
 @query("sparse_threshold", f"WITH {_DERIVED} SELECT family, a, b, i, j, round(p, 9) AS p FROM c WHERE p >= 0.05")
