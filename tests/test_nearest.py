@@ -86,7 +86,7 @@ def test_many_tiles(spark, tmp_path, sixteen_ranges):
 
 
 def test_work_of_a_large_label(spark, tmp_path):
-    """200 million pairs of one label; joined one by one they took minutes."""
+    """200 million pairs of one label."""
     vectors = np.random.default_rng(13).normal(size=(20000, 64)).astype(np.float32)
     vectors[19000] = vectors[700]
     vectors[19000, 5] += 0.5
